@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The system this package re-implements refreshes by full reload only; it has
+no stream source, watermark, window or stateful operator, so there is nothing
+to express with Structured Streaming here (see README, "Not built").
+"""
