@@ -100,9 +100,21 @@ _MODEL_QUERIES: dict[str, Callable[[Models], DataFrame]] = {
 
 
 def queries() -> dict[str, Query]:
+    from tradelens import registry_ops
+
     out: dict[str, Query] = {}
     for key, model in _MODEL_KEYS.items():
         out[key] = partial(_model, model)
     for key, fn in _MODEL_QUERIES.items():
         out[key] = partial(_on_models, fn)
+    for key, fn in registry_ops.QUERIES.items():
+        out[key] = _exported(fn)
     return out
+
+
+def _exported(fn: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return export(fn(spark, sf_dir))
+
+    run.__name__ = getattr(fn, "__name__", "query")
+    return run

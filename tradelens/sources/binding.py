@@ -201,8 +201,8 @@ def order_reviews(events: DataFrame) -> DataFrame:
         _txt("event_id").alias("review_id"),
         (F.expr("event_id div 3") * 2).cast("string").alias("order_id"),
         F.when(e % 11 == 0, F.lit(None)).otherwise(e % 5 + 1).alias("review_score"),
-        F.col("event_type").alias("review_comment_title"),
-        F.col("props").alias("review_comment_message"),
+        F.when(e % 7 == 0, F.col("event_type")).alias("review_comment_title"),
+        F.when(e % 3 == 0, F.col("props")).alias("review_comment_message"),
         F.col("ts").alias("review_creation_date"),
         F.timestamp_add("HOUR", F.lit(24), F.col("ts")).alias("review_answer_timestamp"),
     )
@@ -211,8 +211,8 @@ def order_reviews(events: DataFrame) -> DataFrame:
         _txt("event_id").alias("review_id"),
         (F.expr("event_id div 3") * 2 + 1).cast("string").alias("order_id"),
         (e % 5 + 1).alias("review_score"),
-        F.col("event_type").alias("review_comment_title"),
-        F.col("props").alias("review_comment_message"),
+        F.when(e % 7 == 0, F.col("event_type")).alias("review_comment_title"),
+        F.when(e % 3 == 0, F.col("props")).alias("review_comment_message"),
         F.col("ts").alias("review_creation_date"),
         F.timestamp_add("HOUR", F.lit(24), F.col("ts")).alias("review_answer_timestamp"),
     )
