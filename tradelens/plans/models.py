@@ -7,8 +7,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 
 from tradelens.plans import gold, marts, silver
@@ -54,24 +52,38 @@ _BUILDERS = {
 MODEL_ORDER: tuple[str, ...] = tuple(LINEAGE)
 
 
-@dataclass(frozen=True)
 class Models(Mapping[str, DataFrame]):
-    """Read-only mapping model name -> DataFrame (lazy plans)."""
+    """Read-only mapping model name -> DataFrame, built lazily on first access.
+
+    Only the models a query touches (and their inputs) are ever constructed,
+    each once; ``overrides`` stand in for models that are already materialised.
+    """
 
-    frames: dict[str, DataFrame]
+    def __init__(self, raw: Mapping[str, DataFrame],
+                 overrides: Mapping[str, DataFrame] | None = None):
+        self._env: dict[str, DataFrame] = {f"raw.{k}": v for k, v in raw.items()}
+        self._built: dict[str, DataFrame] = dict(overrides or {})
 
     def __getitem__(self, key: str) -> DataFrame:
-        return self.frames[key]
+        if key not in self._built:
+            if key not in LINEAGE:
+                raise KeyError(key)
+            _, deps = LINEAGE[key]
+            inputs = [self._env[d] if d.startswith("raw.") else self[d] for d in deps]
+            self._built[key] = _BUILDERS[key](*inputs)
+        return self._built[key]
 
     def __iter__(self):
-        return iter(self.frames)
+        return iter(MODEL_ORDER)
 
     def __len__(self) -> int:
-        return len(self.frames)
+        return len(MODEL_ORDER)
 
     def __getattr__(self, key: str) -> DataFrame:
+        if key.startswith("_"):
+            raise AttributeError(key)
         try:
-            return self.frames[key]
+            return self[key]
         except KeyError as exc:
             raise AttributeError(key) from exc
 
@@ -94,11 +106,4 @@ def build_models(
     ``overrides`` replaces a model by an existing frame, e.g. a materialised
     Parquet table, so that downstream models read it instead of recomputing it.
     """
-    env: dict[str, DataFrame] = {f"raw.{k}": v for k, v in raw.items()}
-    built: dict[str, DataFrame] = {}
-    for name in MODEL_ORDER:
-        if overrides and name in overrides:
-            built[name] = overrides[name]
-        else:
-            built[name] = build_model(name, {**env, **built})
-    return Models(built)
+    return Models(raw, overrides)

@@ -16,7 +16,7 @@ input and push column pruning into the Parquet reads.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -257,35 +257,57 @@ def geolocation(customer: DataFrame) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class RawTables:
-    """The nine typed raw tables, as lazy DataFrames."""
+_DERIVATIONS = {
+    "orders": (orders, "orders"),
+    "order_items": (order_items, "lineitem"),
+    "order_payments": (order_payments, "events"),
+    "order_reviews": (order_reviews, "events"),
+    "customers": (customers, "customer"),
+    "products": (products, "part"),
+    "sellers": (sellers, "supplier"),
+    "category_translation": (category_translation, "part"),
+    "geolocation": (geolocation, "customer"),
+}
 
-    orders: DataFrame
-    order_items: DataFrame
-    order_payments: DataFrame
-    order_reviews: DataFrame
-    customers: DataFrame
-    products: DataFrame
-    sellers: DataFrame
-    category_translation: DataFrame
-    geolocation: DataFrame
 
-    def as_dict(self) -> dict[str, DataFrame]:
-        return {name: getattr(self, name) for name in CONTRACTS}
+class RawTables(Mapping[str, DataFrame]):
+    """The nine typed raw tables as lazy DataFrames, derived on first access."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark = spark
+        self._dir = sf_dir
+        self._sources: dict[str, DataFrame] = {}
+        self._tables: dict[str, DataFrame] = {}
+
+    def source(self, name: str) -> DataFrame:
+        if name not in self._sources:
+            self._sources[name] = _read(self._spark, self._dir, name)
+        return self._sources[name]
+
+    def __getitem__(self, table: str) -> DataFrame:
+        if table not in self._tables:
+            derive, src = _DERIVATIONS[table]
+            self._tables[table] = derive(self.source(src))
+        return self._tables[table]
+
+    def __iter__(self):
+        return iter(CONTRACTS)
+
+    def __len__(self) -> int:
+        return len(CONTRACTS)
+
+    def __getattr__(self, table: str) -> DataFrame:
+        if table.startswith("_"):
+            raise AttributeError(table)
+        try:
+            return self[table]
+        except KeyError as exc:
+            raise AttributeError(table) from exc
+
+    def as_dict(self) -> "RawTables":
+        return self
 
 
 def bind(spark: SparkSession, sf_dir: str) -> RawTables:
     """Raw marketplace tables derived from the test tables under ``sf_dir``."""
-    src = {name: _read(spark, sf_dir, name) for name in SOURCE_TABLES}
-    return RawTables(
-        orders=orders(src["orders"]),
-        order_items=order_items(src["lineitem"]),
-        order_payments=order_payments(src["events"]),
-        order_reviews=order_reviews(src["events"]),
-        customers=customers(src["customer"]),
-        products=products(src["part"]),
-        sellers=sellers(src["supplier"]),
-        category_translation=category_translation(src["part"]),
-        geolocation=geolocation(src["customer"]),
-    )
+    return RawTables(spark, sf_dir)
