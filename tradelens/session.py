@@ -11,12 +11,20 @@ from pyspark.sql import SparkSession
 # Settings every job of the library relies on: ANSI arithmetic (overflow fails
 # instead of wrapping), UTC for any zoned value, AQE for runtime join choice,
 # partition coalescing and skew splitting.
+#
+# Broadcast policy: no join is broadcast from a *static* estimate (file sizes
+# and guessed selectivities can be far off for compressed, filtered inputs).
+# AQE broadcasts a side only after its shuffle stage has run and its exact
+# size is known to be under the threshold; everything else stays a sort-merge
+# join, with AQE's skew split for hot keys.
 LIBRARY_CONF = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
 }
 
 
