@@ -5,6 +5,9 @@ second time, which moves exact ties.  Every mean and ratio here is computed with
 at least 14 fractional digits, snapped to 10 (``HALF_UP``), then rounded once to
 the published scale, so ``2.625`` becomes ``2.63`` and a rate of ``0.45745`` is
 not turned into ``0.4575`` by an intermediate rounding.
+
+Arguments are SQL expressions over the frame's columns (a plain column name is
+the simplest one); each helper is one SQL expression, i.e. one JVM call.
 """
 
 from __future__ import annotations
@@ -17,44 +20,34 @@ SNAP = "decimal(28,10)"
 MICROS_PER_DAY = 86_400_000_000
 
 
-def _col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
+def exact_avg(expr: str) -> Column:
+    """Unrounded mean of a numeric expression, 18 fractional digits (NULLs skipped)."""
+    return F.expr(f"avg(cast(({expr}) as {WIDE}))")
 
-def exact_avg(c: str | Column) -> Column:
-    """Unrounded mean of a numeric column, 18 fractional digits (NULLs skipped)."""
-    return F.avg(_col(c).cast(WIDE))
 
+def exact_mean(expr: str, scale: int) -> Column:
+    """``round(avg(expr), scale)`` without double rounding; NULL when no non-NULL value."""
+    return F.expr(f"round(cast(avg(cast(({expr}) as {WIDE})) as {SNAP}), {int(scale)})")
 
-def exact_mean(c: str | Column, scale: int) -> Column:
-    """``round(avg(c), scale)`` without double rounding; NULL when no non-NULL value."""
-    return F.round(exact_avg(c).cast(SNAP), scale)
 
-
-def exact_ratio(num: str | Column, den: str | Column, scale: int) -> Column:
+def exact_ratio(num: str, den: str, scale: int) -> Column:
     """``round(num / nullif(den, 0), scale)`` on decimals, NULL for a zero denominator."""
-    d = _col(den)
-    q = _col(num).cast("decimal(30,4)") / F.when(d == 0, F.lit(None)).otherwise(d).cast(
-        "decimal(20,0)"
+    return F.expr(
+        f"round(cast(cast(({num}) as decimal(30,4)) / cast(nullif(({den}), 0) as decimal(20,0))"
+        f" as {SNAP}), {int(scale)})"
     )
-    return F.round(q.cast(SNAP), scale)
 
 
-def flag_rate(flag: str | Column, eligible: str | Column, scale: int = 4) -> Column:
+def flag_rate(flag: str, eligible: str, scale: int = 4) -> Column:
     """Mean of 1/0 of ``flag`` over the rows where ``eligible`` holds (SQL ``FILTER``)."""
-    one_zero = F.when(_col(flag), F.lit(1)).otherwise(F.lit(0))
-    return exact_mean(F.when(_col(eligible), one_zero), scale)
+    return exact_mean(
+        f"CASE WHEN ({eligible}) THEN CASE WHEN ({flag}) THEN 1 ELSE 0 END END", scale
+    )
 
 
-def delay_days(actual: str | Column, estimate: str | Column) -> Column:
+def delay_days(actual: str, estimate: str) -> Column:
     """Signed fractional days ``actual - estimate`` as a decimal (NULL if either is NULL)."""
-    micros = F.expr(
-        f"timestampdiff(MICROSECOND, {_sql(estimate)}, {_sql(actual)})"
-    ).cast("decimal(20,0)")
-    return (micros / F.lit(MICROS_PER_DAY).cast("decimal(12,0)")).cast("decimal(28,13)")
-
-
-def _sql(c: str | Column) -> str:
-    if isinstance(c, str):
-        return f"`{c}`"
-    raise TypeError("delay_days takes column names")
+    return F.expr(
+        f"cast(cast(timestampdiff(MICROSECOND, `{estimate}`, `{actual}`) as decimal(20,0))"
+        f" / cast({MICROS_PER_DAY} as decimal(12,0)) as decimal(28,13))"
+    )

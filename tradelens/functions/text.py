@@ -1,4 +1,8 @@
-"""Text cleaning expressions (all JVM-side, codegen-friendly)."""
+"""Text cleaning expressions (all JVM-side, codegen-friendly).
+
+Helpers build one SQL expression each (a single JVM call), so composing many of
+them into a plan stays cheap on the driver.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +10,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def _ref(c: str) -> str:
+    """A column name quoted for a SQL expression."""
+    return "`" + c.replace("`", "``") + "`"
 
 
 def clean_id(c: str | Column) -> Column:
     """``nullif(btrim(c), '')``: trim spaces (not tabs) and turn blanks into NULL."""
-    trimmed = F.trim(_col(c))
-    return F.when(trimmed == F.lit(""), F.lit(None).cast("string")).otherwise(trimmed)
+    if isinstance(c, str):
+        return F.expr(f"nullif(trim({_ref(c)}), '')")
+    return F.nullif(F.trim(c), F.lit(""))
 
 
 def strip_ws(c: str | Column) -> Column:
     """Strip every leading and trailing whitespace character (spaces, tabs, newlines)."""
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    if isinstance(c, str):
+        return F.expr(f"regexp_replace({_ref(c)}, '^\\\\s+|\\\\s+$', '')")
+    return F.regexp_replace(c, r"^\s+|\s+$", "")

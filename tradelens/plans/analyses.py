@@ -37,7 +37,7 @@ def category_mix(models: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def state_revenue(models: Mapping[str, DataFrame], limit: int = 5) -> DataFrame:
-    fo = models["fact_orders"].where(F.col("is_delivered")).select("order_id", "customer_id")
+    fo = models["fact_orders"].where("is_delivered").select("order_id", "customer_id")
     joined = fo.join(models["dim_customers"].select("customer_id", "customer_state"), "customer_id")
     joined = joined.join(models["order_item_summary"].select("order_id", "revenue"), "order_id")
     return (
@@ -56,7 +56,7 @@ def state_revenue(models: Mapping[str, DataFrame], limit: int = 5) -> DataFrame:
 def review_by_lateness(models: Mapping[str, DataFrame]) -> DataFrame:
     return (
         models["fact_orders"]
-        .where(F.col("has_delivery_outcome") & F.col("avg_review_score").isNotNull())
+        .where("has_delivery_outcome AND avg_review_score IS NOT NULL")
         .groupBy("is_late_delivery")
         .agg(
             F.count(F.lit(1)).alias("orders"),
@@ -66,25 +66,24 @@ def review_by_lateness(models: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def freight_share(models: Mapping[str, DataFrame]) -> DataFrame:
-    delivered = models["fact_orders"].where(F.col("is_delivered")).select("order_id")
+    delivered = models["fact_orders"].where("is_delivered").select("order_id")
     items = models["fact_order_items"].select("order_id", "price", "freight_value")
     joined = items.join(delivered, "order_id")
     return joined.agg(
         F.round(F.sum("price"), 2).alias("item_revenue"),
         F.round(F.sum("freight_value"), 2).alias("freight"),
-        exact_ratio(F.sum("freight_value") * 100, F.sum("price"), 2).alias(
+        exact_ratio("sum(freight_value) * 100", "sum(price)", 2).alias(
             "freight_pct_of_items"
         ),
     )
 
 
 def late_rate(models: Mapping[str, DataFrame]) -> DataFrame:
-    eligible = models["fact_orders"].where(F.col("has_delivery_outcome"))
-    late = F.count_if(F.col("is_late_delivery"))
+    eligible = models["fact_orders"].where("has_delivery_outcome")
     return eligible.agg(
-        F.count(F.lit(1)).alias("eligible_orders"),
-        late.alias("late_orders"),
-        exact_ratio(late * 100, F.count(F.lit(1)), 2).alias("late_pct"),
+        F.expr("count(1)").alias("eligible_orders"),
+        F.expr("count_if(is_late_delivery)").alias("late_orders"),
+        exact_ratio("count_if(is_late_delivery) * 100", "count(1)", 2).alias("late_pct"),
     )
 
 
@@ -108,20 +107,20 @@ def top10_share(models: Mapping[str, DataFrame], k: int = 10) -> DataFrame:
     )
     return both.select(
         F.round("top_revenue", 2).alias("top10_revenue"),
-        exact_ratio(F.col("top_revenue") * 100, F.col("all_revenue"), 2).alias("top10_pct"),
+        exact_ratio("top_revenue * 100", "all_revenue", 2).alias("top10_pct"),
     )
 
 
 def late_rate_by_state(
     models: Mapping[str, DataFrame], min_eligible: int = 500, limit: int = 5
 ) -> DataFrame:
-    fo = models["fact_orders"].where(F.col("is_delivered"))
+    fo = models["fact_orders"].where("is_delivered")
     joined = fo.join(models["dim_customers"].select("customer_id", "customer_state"), "customer_id")
-    eligible = F.count_if(F.col("has_delivery_outcome"))
-    late = F.count_if(F.col("is_late_delivery"))
+    eligible = "count_if(has_delivery_outcome)"
+    late = "count_if(is_late_delivery)"
     return (
         joined.groupBy("customer_state")
-        .agg(eligible.alias("eligible"), exact_ratio(late, eligible, 4).alias("late_rate"))
+        .agg(F.expr(eligible).alias("eligible"), exact_ratio(late, eligible, 4).alias("late_rate"))
         .where(F.col("eligible") >= min_eligible)
         .orderBy(F.col("late_rate").desc_nulls_last(), F.col("customer_state").asc_nulls_last())
         .limit(limit)

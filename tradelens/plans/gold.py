@@ -26,7 +26,7 @@ def dim_customers(raw_customers: DataFrame) -> DataFrame:
         clean_id("customer_unique_id").alias("customer_unique_id"),
         clean_id("customer_city").alias("customer_city"),
         clean_id("customer_state").alias("customer_state"),
-    ).where(F.col("customer_id").isNotNull())
+    ).where("customer_id IS NOT NULL")
     return first_per_key(
         cleaned, ["customer_id"], ["customer_unique_id", "customer_city", "customer_state"]
     )
@@ -37,7 +37,7 @@ def dim_sellers(raw_sellers: DataFrame) -> DataFrame:
         clean_id("seller_id").alias("seller_id"),
         clean_id("seller_city").alias("seller_city"),
         clean_id("seller_state").alias("seller_state"),
-    ).where(F.col("seller_id").isNotNull())
+    ).where("seller_id IS NOT NULL")
     return first_per_key(cleaned, ["seller_id"], ["seller_city", "seller_state"])
 
 
@@ -53,7 +53,7 @@ def dim_products(raw_products: DataFrame, category_translation: DataFrame) -> Da
         F.col("product_name_lenght").alias("product_name_length"),
         F.col("product_description_lenght").alias("product_description_length"),
         *PRODUCT_ATTRIBUTES[2:],
-    ).where(F.col("product_id").isNotNull())
+    ).where("product_id IS NOT NULL")
     translated = cleaned.join(
         category_translation.withColumnRenamed(
             "product_category_name", "source_product_category_name"
@@ -79,10 +79,9 @@ def dim_products(raw_products: DataFrame, category_translation: DataFrame) -> Da
 
 def fact_orders(silver_orders: DataFrame, review_summary: DataFrame) -> DataFrame:
     """One row per order with delay, delivery flags (three-valued) and mean review."""
-    delivered = F.col("order_delivered_customer_date")
-    estimated = F.col("order_estimated_delivery_date")
-    is_delivered = F.col("order_status") == "delivered"
-    both_known = delivered.isNotNull() & estimated.isNotNull()
+    both_known = (
+        "order_delivered_customer_date IS NOT NULL AND order_estimated_delivery_date IS NOT NULL"
+    )
     return silver_orders.join(review_summary, "order_id", "left").select(
         "order_id",
         "customer_id",
@@ -91,9 +90,11 @@ def fact_orders(silver_orders: DataFrame, review_summary: DataFrame) -> DataFram
         delay_days("order_delivered_customer_date", "order_estimated_delivery_date").alias(
             "delivery_delay_days"
         ),
-        is_delivered.alias("is_delivered"),
-        (both_known & (delivered > estimated)).alias("is_late_delivery"),
-        (is_delivered & both_known).alias("has_delivery_outcome"),
+        F.expr("order_status = 'delivered'").alias("is_delivered"),
+        F.expr(
+            f"{both_known} AND order_delivered_customer_date > order_estimated_delivery_date"
+        ).alias("is_late_delivery"),
+        F.expr(f"order_status = 'delivered' AND {both_known}").alias("has_delivery_outcome"),
         "avg_review_score",
     )
 
@@ -107,6 +108,6 @@ def fact_order_items(silver_items: DataFrame, payment_summary: DataFrame) -> Dat
         "seller_id",
         "price",
         "freight_value",
-        (F.col("price") + F.col("freight_value")).alias("item_total_value"),
+        F.expr("price + freight_value").alias("item_total_value"),
         F.col("total_payment_value").alias("order_total_payment_value"),
     )

@@ -27,13 +27,13 @@ _FACT_COLUMNS = (
 
 def delivered_orders(fact_orders: DataFrame, *extra: str) -> DataFrame:
     """Delivered orders with the per-order columns the marts weight by."""
-    return fact_orders.where(F.col("is_delivered")).select(*_FACT_COLUMNS, *extra)
+    return fact_orders.where("is_delivered").select(*_FACT_COLUMNS, *extra)
 
 
 def seller_orders(fact_order_items: DataFrame) -> DataFrame:
     """Items, revenue and freight per (seller, order)."""
     return fact_order_items.groupBy("seller_id", "order_id").agg(
-        F.count(F.lit(1)).alias("total_items"),
+        F.expr("count(1)").alias("total_items"),
         F.sum("price").alias("revenue"),
         F.sum("freight_value").alias("freight"),
     )
@@ -46,7 +46,7 @@ def category_orders(fact_order_items: DataFrame, dim_products: DataFrame) -> Dat
         fact_order_items.select("order_id", "product_id", "price")
         .join(categories, "product_id", "left")
         .select(
-            F.coalesce("product_category_name", F.lit(UNKNOWN_CATEGORY)).alias(
+            F.expr(f"coalesce(product_category_name, '{UNKNOWN_CATEGORY}')").alias(
                 "product_category"
             ),
             "order_id",
@@ -54,7 +54,7 @@ def category_orders(fact_order_items: DataFrame, dim_products: DataFrame) -> Dat
         )
         .groupBy("product_category", "order_id")
         .agg(
-            F.count(F.lit(1)).alias("total_items"),
+            F.expr("count(1)").alias("total_items"),
             F.count("price").alias("priced_items"),
             F.sum("price").alias("revenue"),
         )
@@ -67,15 +67,15 @@ def mart_seller_performance(
     so = seller_orders(fact_order_items.select("seller_id", "order_id", "price", "freight_value"))
     joined = so.join(delivered_orders(fact_orders), "order_id").join(dim_sellers, "seller_id")
     return joined.groupBy("seller_id", "seller_city", "seller_state").agg(
-        F.count(F.lit(1)).alias("total_orders"),
-        F.sum("total_items").cast("bigint").alias("total_items_sold"),
-        F.coalesce(F.sum("revenue"), F.lit(0).cast("decimal(18,2)")).alias("total_revenue"),
+        F.expr("count(1)").alias("total_orders"),
+        F.expr("cast(sum(total_items) as bigint)").alias("total_items_sold"),
+        F.expr("coalesce(sum(revenue), 0.00BD)").alias("total_revenue"),
         exact_mean("revenue", 2).alias("avg_order_value"),
         exact_mean("freight", 2).alias("avg_freight_value"),
         exact_mean("avg_review_score", 2).alias("avg_review_score"),
-        exact_mean(
-            F.when(F.col("has_delivery_outcome"), F.col("delivery_delay_days")), 2
-        ).alias("avg_delivery_delay_days"),
+        exact_mean("CASE WHEN has_delivery_outcome THEN delivery_delay_days END", 2).alias(
+            "avg_delivery_delay_days"
+        ),
         flag_rate("is_late_delivery", "has_delivery_outcome").alias("late_delivery_rate"),
     )
 
@@ -86,10 +86,10 @@ def mart_category_performance(
     co = category_orders(fact_order_items, dim_products)
     joined = co.join(delivered_orders(fact_orders), "order_id")
     return joined.groupBy("product_category").agg(
-        F.count(F.lit(1)).alias("total_orders"),
-        F.sum("total_items").cast("bigint").alias("total_items_sold"),
-        F.coalesce(F.sum("revenue"), F.lit(0).cast("decimal(18,2)")).alias("total_revenue"),
-        exact_ratio(F.sum("revenue"), F.sum("priced_items"), 2).alias("avg_price"),
+        F.expr("count(1)").alias("total_orders"),
+        F.expr("cast(sum(total_items) as bigint)").alias("total_items_sold"),
+        F.expr("coalesce(sum(revenue), 0.00BD)").alias("total_revenue"),
+        exact_ratio("sum(revenue)", "sum(priced_items)", 2).alias("avg_price"),
         exact_mean("avg_review_score", 2).alias("avg_review_score"),
         flag_rate("is_late_delivery", "has_delivery_outcome").alias("late_delivery_rate"),
     )
@@ -99,7 +99,7 @@ def delivered_customer_orders(
     dim_customers: DataFrame, fact_orders: DataFrame, order_item_summary: DataFrame
 ) -> DataFrame:
     """Delivered orders with items, joined to their customer (inner on both)."""
-    fo = fact_orders.where(F.col("is_delivered")).select(
+    fo = fact_orders.where("is_delivered").select(
         "order_id",
         "customer_id",
         "avg_review_score",
@@ -114,9 +114,9 @@ def delivered_customer_orders(
 def region_sales(orders_by_customer: DataFrame, *keys: str) -> DataFrame:
     """Orders, revenue, mean ticket (items + freight) and mean review per region key."""
     return orders_by_customer.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_orders"),
-        F.coalesce(F.sum("revenue"), F.lit(0).cast("decimal(18,2)")).alias("total_revenue"),
-        exact_mean(F.col("revenue") + F.col("freight"), 2).alias("avg_ticket"),
+        F.expr("count(1)").alias("total_orders"),
+        F.expr("coalesce(sum(revenue), 0.00BD)").alias("total_revenue"),
+        exact_mean("revenue + freight", 2).alias("avg_ticket"),
         exact_mean("avg_review_score", 2).alias("avg_review_score"),
     )
 

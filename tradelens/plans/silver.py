@@ -24,7 +24,7 @@ def orders(raw_orders: DataFrame) -> DataFrame:
         clean_id("customer_id").alias("customer_id"),
         "order_status",
         *ORDER_TIMESTAMPS,
-    ).where(F.col("order_id").isNotNull())
+    ).where("order_id IS NOT NULL")
 
 
 def order_items(raw_items: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def order_items(raw_items: DataFrame) -> DataFrame:
         clean_id("seller_id").alias("seller_id"),
         "price",
         "freight_value",
-    ).where(F.col("order_id").isNotNull())
+    ).where("order_id IS NOT NULL")
 
 
 def category_translation(raw_translation: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def category_translation(raw_translation: DataFrame) -> DataFrame:
     cleaned = raw_translation.select(
         clean_id("product_category_name").alias("product_category_name"),
         clean_id("product_category_name_english").alias("product_category_name_english"),
-    ).where(F.col("product_category_name").isNotNull())
+    ).where("product_category_name IS NOT NULL")
     return first_per_key(cleaned, ["product_category_name"], ["product_category_name_english"])
 
 
@@ -52,7 +52,7 @@ def order_payment_summary(raw_payments: DataFrame) -> DataFrame:
     """Total of every payment component per order (no dedup of components)."""
     return (
         raw_payments.select(clean_id("order_id").alias("order_id"), "payment_value")
-        .where(F.col("order_id").isNotNull())
+        .where("order_id IS NOT NULL")
         .groupBy("order_id")
         .agg(F.sum("payment_value").alias("total_payment_value"))
     )
@@ -62,7 +62,7 @@ def order_review_summary(raw_reviews: DataFrame) -> DataFrame:
     """Mean of the non-NULL scores per order; repeated review ids all count."""
     return (
         raw_reviews.select(clean_id("order_id").alias("order_id"), "review_score")
-        .where(F.col("order_id").isNotNull())
+        .where("order_id IS NOT NULL")
         .groupBy("order_id")
         .agg(exact_avg("review_score").alias("avg_review_score"))
     )
