@@ -1,10 +1,10 @@
 """Marts: seller, category and regional sales with their proper weights.
 
-Every mart first aggregates the item rows to (dimension, order) -- a partial
-plus final hash aggregate, so a hot seller, category or order is combined map
-side before it is shuffled -- and only then meets ``fact_orders`` on
-``order_id``.  Reviews and lateness are therefore order-weighted, prices of the
-category mart item-weighted, and averages never average averages.
+Item rows are reduced to (dimension, order) totals before the order-level
+metrics are averaged, so reviews and lateness are order-weighted, prices of
+the category mart item-weighted, and averages never average averages.  Every
+aggregate is partial + final (a hot seller, category or order is combined map
+side before it is shuffled).
 """
 
 from __future__ import annotations
@@ -64,8 +64,26 @@ def category_orders(fact_order_items: DataFrame, dim_products: DataFrame) -> Dat
 def mart_seller_performance(
     dim_sellers: DataFrame, fact_orders: DataFrame, fact_order_items: DataFrame
 ) -> DataFrame:
-    so = seller_orders(fact_order_items.select("seller_id", "order_id", "price", "freight_value"))
-    joined = so.join(delivered_orders(fact_orders), "order_id").join(dim_sellers, "seller_id")
+    """Per seller: orders, items, revenue, order-weighted means and late rate.
+
+    Items meet the delivered orders first, so both sides are shuffled by
+    ``order_id`` once and the (seller, order) totals reuse that partitioning
+    (order-level columns ride along as grouping keys: they depend on the order
+    only).  This equals grouping first and joining after because ``fact_orders``
+    holds one row per order (a silver test enforces it before gold is built),
+    and it saves a full shuffle of item-level rows.
+    """
+    items = fact_order_items.select("seller_id", "order_id", "price", "freight_value")
+    per_order = (
+        items.join(delivered_orders(fact_orders), "order_id")
+        .groupBy("seller_id", *_FACT_COLUMNS)
+        .agg(
+            F.expr("count(1)").alias("total_items"),
+            F.sum("price").alias("revenue"),
+            F.sum("freight_value").alias("freight"),
+        )
+    )
+    joined = per_order.join(dim_sellers, "seller_id")
     return joined.groupBy("seller_id", "seller_city", "seller_state").agg(
         F.expr("count(1)").alias("total_orders"),
         F.expr("cast(sum(total_items) as bigint)").alias("total_items_sold"),
