@@ -12,7 +12,7 @@ from fixture import raw_tables
 from tradelens.contracts import CONTRACTS
 from tradelens.operators.quality import DataQualityError
 from tradelens.plans.lineage import lineage_edges
-from tradelens.plans.pipeline import run_refresh
+from tradelens.plans.refresh import run_refresh
 from tradelens.sinks.reload import read_table
 from tradelens.sources.csv import write_csv
 

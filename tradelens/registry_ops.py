@@ -14,7 +14,7 @@ from tradelens.contracts import CONTRACTS
 from tradelens.operators import checks, quality
 from tradelens.plans import profiles, reconcile
 from tradelens.plans.models import build_models
-from tradelens.plans.pipeline import run_refresh
+from tradelens.plans.refresh import run_refresh
 from tradelens.session import scratch_path
 from tradelens.sinks import records, reload
 from tradelens.sources import csv as csv_source
@@ -294,8 +294,8 @@ def out_seller_json(spark, sf_dir):
     return records.to_json_records(m["mart_seller_performance"])
 
 
-# --- pipeline -------------------------------------------------------------------------
-def pipeline_refresh_summary(spark, sf_dir):
+# --- refresh ---------------------------------------------------------------------------
+def refresh_summary(spark, sf_dir):
     raw = _raw(spark, sf_dir)
     landing = _landing(spark, raw, list(CONTRACTS))
     result = run_refresh(spark, landing, scratch_path(spark, "warehouse"))
@@ -303,9 +303,16 @@ def pipeline_refresh_summary(spark, sf_dir):
 
 
 QUERIES = {
-    name: fn
-    for name, fn in globals().items()
-    if callable(fn)
-    and getattr(fn, "__module__", None) == __name__
-    and name.split("_")[0] in {"dq", "dt", "src", "raw", "sink", "prof", "out", "pipeline"}
+    fn.__name__: fn
+    for fn in (
+        dq_missing_columns, dq_duplicate_keys, dq_negative_money, dq_out_of_bounds,
+        dq_date_order, dq_null_heavy, dq_report, dq_gate, dq_extract_issues, dq_type_rejects,
+        dt_nonempty, dt_unique_columns, dt_between, dt_not_null, dt_unique,
+        dt_reconcile_revenue, dt_reconcile_detail, dt_suite_summary,
+        src_csv_roundtrip, src_header_normalize, src_trim_strings,
+        raw_typed_orders, raw_typed_order_items, raw_delivered_sample, src_sample_counts,
+        sink_full_reload, sink_projection, sink_row_counts,
+        prof_view_counts, prof_heaviest_product, out_seller_json,
+        refresh_summary,
+    )
 }
