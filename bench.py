@@ -23,8 +23,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tradelens.contracts import CONTRACTS  # noqa: E402
 from tradelens.plans import serving  # noqa: E402
-from tradelens.plans.models import MODEL_ORDER, build_models, qualified  # noqa: E402
-from tradelens.session import local_session, scratch_path  # noqa: E402
+from tradelens.plans.models import MODEL_ORDER, build_models  # noqa: E402
+from tradelens.plans.refresh import RefreshResult, publish_layer  # noqa: E402
+from tradelens.session import local_session, run_concurrently, scratch_path  # noqa: E402
 from tradelens.sinks.reload import publish, read_table  # noqa: E402
 from tradelens.sources.binding import bind  # noqa: E402
 
@@ -56,7 +57,10 @@ def main() -> None:
 
     raw_src = bind(spark, sf_dir)
     out["load_raw"] = timed(
-        lambda: [publish(raw_src[t], warehouse, CONTRACTS[t].destination_table) for t in CONTRACTS]
+        lambda: run_concurrently({
+            t: (lambda t=t: publish(raw_src[t], warehouse, CONTRACTS[t].destination_table))
+            for t in CONTRACTS
+        })
     )
     raw = {t: read_table(spark, warehouse, CONTRACTS[t].destination_table) for t in CONTRACTS}
 
@@ -65,18 +69,11 @@ def main() -> None:
     for name, q in SERVED.items():
         out[name] = median_of_three(lambda q=q: q(views))
 
-    def refresh() -> dict:
-        env = build_models(raw)
-        done = {}
-        for model in MODEL_ORDER:
-            publish(env[model], warehouse, qualified(model))
-            done[model] = read_table(spark, warehouse, qualified(model))
-            env = build_models(raw, overrides=done)
-        return done
-
+    env = {f"raw.{t}": df for t, df in raw.items()}
     t0 = time.perf_counter()
-    materialised = refresh()
+    publish_layer(spark, warehouse, MODEL_ORDER, env, RefreshResult())
     out["refresh_models"] = time.perf_counter() - t0
+    materialised = {m: env[m] for m in MODEL_ORDER}
     # (b) silver, dimensions and facts published; marts still computed per query.
     lower = {k: v for k, v in materialised.items() if not k.startswith("mart_")}
     facts = build_models(raw, overrides=lower)

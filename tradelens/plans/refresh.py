@@ -20,7 +20,7 @@ from tradelens.operators.checks import GOLD_TESTS, SILVER_TESTS, assert_suite, r
 from tradelens.operators.quality import QualityReport, validate_frame
 from tradelens.plans.models import LINEAGE, MODEL_ORDER, SILVER, build_model, qualified
 from tradelens.plans.reconcile import reconcile_revenue
-from tradelens.session import scratch_path
+from tradelens.session import run_concurrently, scratch_path
 from tradelens.sinks.reload import load_dataset, publish, read_table
 from tradelens.sources.csv import extract_datasets, validate_required_files
 from tradelens.sources.typed import type_rejects, typed_view
@@ -56,6 +56,22 @@ def validate_extracted(extracted: dict[str, DataFrame]) -> QualityReport:
     return QualityReport(issues)
 
 
+def _levels(names: list[str]) -> list[list[str]]:
+    """Models grouped so that each group depends only on earlier groups."""
+    done: set[str] = set()
+    levels = []
+    pending = list(names)
+    while pending:
+        ready = [
+            n for n in pending
+            if all(d.startswith("raw.") or d in done or d not in names for d in LINEAGE[n][1])
+        ]
+        levels.append(ready)
+        done.update(ready)
+        pending = [n for n in pending if n not in ready]
+    return levels
+
+
 def _stage(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
     if not df.columns:
         return df
@@ -64,12 +80,21 @@ def _stage(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _publish_layer(spark: SparkSession, warehouse: str, names: Iterable[str],
-                   env: dict[str, DataFrame], result: RefreshResult) -> None:
-    for name in names:
-        df = build_model(name, env)
-        result.model_rows[qualified(name)] = publish(df, warehouse, qualified(name))
-        env[name] = read_table(spark, warehouse, qualified(name))
+def publish_layer(spark: SparkSession, warehouse: str, names: Iterable[str],
+                  env: dict[str, DataFrame], result: RefreshResult) -> None:
+    """Build, publish and read back the named models, level by level.
+
+    ``env`` maps ``raw.<table>`` and already published models to DataFrames; it
+    is extended with the published (read-back) models.
+    """
+    for level in _levels(list(names)):
+        frames = {name: build_model(name, env) for name in level}
+        rows = run_concurrently(
+            {n: (lambda n=n: publish(frames[n], warehouse, qualified(n))) for n in level}
+        )
+        for name in level:
+            result.model_rows[qualified(name)] = rows[name]
+            env[name] = read_table(spark, warehouse, qualified(name))
 
 
 def run_refresh(
@@ -94,7 +119,9 @@ def run_refresh(
 
     # multiLine CSV is read once into columnar text (one task per file), so the
     # validation and the load below scan Parquet, not the CSV again.
-    extracted = {name: _stage(spark, name, df) for name, df in extracted.items()}
+    extracted = run_concurrently(
+        {name: (lambda n=name, df=df: _stage(spark, n, df)) for name, df in extracted.items()}
+    )
 
     logger.info("Step 3/6 — validating")
     report = validate_extracted(extracted)
@@ -104,21 +131,26 @@ def run_refresh(
 
     logger.info("Step 4/6 — loading raw tables")
     env: dict[str, DataFrame] = {}
-    for name, df in extracted.items():
-        contract = CONTRACTS[name]
-        result.raw_rows[contract.destination_table] = load_dataset(
-            typed_view(df, contract), contract, warehouse
-        )
-        env[f"raw.{name}"] = read_table(spark, warehouse, contract.destination_table)
+    loaded = run_concurrently(
+        {
+            name: (lambda n=name, df=df: load_dataset(typed_view(df, CONTRACTS[n]), CONTRACTS[n],
+                                                      warehouse))
+            for name, df in extracted.items()
+        }
+    )
+    for name in extracted:
+        table = CONTRACTS[name].destination_table
+        result.raw_rows[table] = loaded[name]
+        env[f"raw.{name}"] = read_table(spark, warehouse, table)
 
     logger.info("Step 5/6 — silver models and tests")
     silver = [m for m in MODEL_ORDER if LINEAGE[m][0] == SILVER]
-    _publish_layer(spark, warehouse, silver, env, result)
+    publish_layer(spark, warehouse, silver, env, result)
     result.tests += assert_suite(run_suite(env, SILVER_TESTS))
 
     logger.info("Step 6/6 — gold models and tests")
     gold = [m for m in MODEL_ORDER if LINEAGE[m][0] != SILVER]
-    _publish_layer(spark, warehouse, gold, env, result)
+    publish_layer(spark, warehouse, gold, env, result)
     result.tests += assert_suite(run_suite(env, GOLD_TESTS))
     raw = {k[4:]: v for k, v in env.items() if k.startswith("raw.")}
     mismatches = [r.asDict() for r in reconcile_revenue(raw, env).collect()]

@@ -15,7 +15,7 @@ from tradelens.operators import checks, quality
 from tradelens.plans import profiles, reconcile
 from tradelens.plans.models import build_models
 from tradelens.plans.refresh import run_refresh
-from tradelens.session import scratch_path
+from tradelens.session import run_concurrently, scratch_path
 from tradelens.sinks import records, reload
 from tradelens.sources import csv as csv_source
 from tradelens.sources import typed
@@ -210,11 +210,14 @@ def dt_suite_summary(spark, sf_dir):
 def _landing(spark, raw: dict[str, DataFrame], names: list[str], rename=None) -> str:
     """Write the named raw tables as the source CSV files into a fresh landing folder."""
     root = scratch_path(spark, "landing")
-    for name in names:
+
+    def land(name: str) -> None:
         df = raw[name]
         if rename:
             df = df.toDF(*[rename(c) for c in df.columns])
         csv_source.write_csv(df, f"{root}/{CONTRACTS[name].csv_filename}")
+
+    run_concurrently({n: (lambda n=n: land(n)) for n in names})
     return root
 
 

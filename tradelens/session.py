@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -66,3 +68,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint location."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+# Independent writes (tables of one dependency level) are submitted as
+# concurrent Spark jobs, one driver thread each; the scheduler interleaves
+# their tasks, so small tables do not leave the cluster idle.
+MAX_CONCURRENT_JOBS = 8
+
+
+def run_concurrently(tasks: dict[str, Callable[[], object]]) -> dict[str, object]:
+    """Run independent job-submitting callables on driver threads; results by key."""
+    if len(tasks) <= 1:
+        return {k: fn() for k, fn in tasks.items()}
+    with ThreadPoolExecutor(max_workers=min(MAX_CONCURRENT_JOBS, len(tasks))) as pool:
+        futures = {k: pool.submit(fn) for k, fn in tasks.items()}
+        return {k: f.result() for k, f in futures.items()}
