@@ -38,6 +38,17 @@ def test_load_projects_and_replaces(spark, tmp_dir):
     assert reload.load_dataset(df.limit(0), A, tmp_dir) == 0
 
 
+def test_old_versions_are_dropped(spark, tmp_dir):
+    import os
+
+    df = spark.createDataFrame([(1,)], "a long")
+    for _ in range(4):
+        reload.load_dataset(df, A, tmp_dir)
+    versions = [v for v in os.listdir(f"{tmp_dir}/raw/a") if v.startswith("v=")]
+    assert len(versions) == reload.KEEP_VERSIONS
+    assert f"v={reload.current_version(spark, tmp_dir, 'raw.a')}" in versions
+
+
 def test_failed_reload_keeps_old_version(spark, tmp_dir):
     df = spark.createDataFrame([(1,), (2,)], "a long")
     reload.load_dataset(df, A, tmp_dir)
