@@ -100,3 +100,19 @@ def test_enum_and_bounds_rejected(spark):
     r = CONTRACTS["order_reviews"]
     df = spark.createDataFrame([("1",), ("9",)], "review_score string")
     assert {x["column"]: x["n_rows"] for x in typed.type_rejects(df, r).collect()} == {"review_score": 1}
+
+
+def test_validation_and_rejects_in_one_aggregate(spark):
+    c = CONTRACTS["order_items"]
+    df = spark.createDataFrame(
+        [("o1", "1", "p", "s", "2020-01-01 10:00:00", "-1.00", "2", "x"),
+         ("o2", "x", "p", "s", None, "2.00", "1", None)],
+        ", ".join(f"{n} string" for n in c.expected_columns) + ", debug string",
+    )
+    issues = typed.validate_text(df, c)
+    got = {(r["check"], r["column"]): r["n_rows"] for r in issues.collect()}
+    assert got[("type_rejected", "order_item_id")] == 1
+    assert got[("negative_monetary", "price")] == 1
+    assert got[("unexpected_columns", None)] == 2
+    plan = issues._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 3  # one for the checks, two for the key check

@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tradelens.contracts import CONTRACTS
 from tradelens.operators.checks import GOLD_TESTS, SILVER_TESTS, assert_suite, run_suite
-from tradelens.operators.quality import QualityReport, validate_frame
+from tradelens.operators.quality import QualityReport
 from tradelens.plans.models import LINEAGE, MODEL_ORDER, SILVER, build_model, qualified
 from tradelens.plans.reconcile import reconcile_revenue
 from tradelens.session import run_concurrently, scratch_path
 from tradelens.sinks.reload import load_dataset, publish, read_table
 from tradelens.sources.csv import extract_datasets, validate_required_files
-from tradelens.sources.typed import type_rejects, typed_view
+from tradelens.sources.typed import typed_view, validate_text
 
 logger = logging.getLogger(__name__)
 
@@ -44,12 +44,13 @@ class RefreshResult:
 
 
 def validate_extracted(extracted: dict[str, DataFrame]) -> QualityReport:
-    """Contract checks plus type rejects of every extracted dataset, as one report."""
+    """Contract checks plus type rejects of every extracted dataset, as one report.
+
+    One aggregate scan per dataset (plus the grouped duplicate-key count).
+    """
     parts = []
     for name, df in extracted.items():
-        contract = CONTRACTS[name]
-        parts.append(validate_frame(typed_view(df, contract), contract))
-        parts.append(type_rejects(df, contract))
+        parts.append(validate_text(df, CONTRACTS[name]))
     issues = parts[0]
     for p in parts[1:]:
         issues = issues.unionByName(p)

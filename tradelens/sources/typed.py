@@ -93,3 +93,36 @@ def typed_view(df: DataFrame, contract: DatasetContract) -> DataFrame:
             for c in df.columns
         ]
     )
+
+
+def validate_text(df: DataFrame, contract: DatasetContract) -> DataFrame:
+    """Contract checks of the typed view plus type rejects, in one scan of ``df``.
+
+    The aggregate reads the text columns once: each contract column appears
+    cast (for the checks) and as text (to count values that did not fit).
+    """
+    from tradelens.operators.quality import issue_struct, validate_frame
+
+    rules = contract.rules
+    typed_cols = [c for c in df.columns if c in rules]
+    raw_name = {c: f"__text_{i}" for i, c in enumerate(typed_cols)}
+    both = df.select(
+        *[(_typed(df[c], rules[c]) if c in rules else df[c]).alias(c) for c in df.columns],
+        *[df[c].alias(raw_name[c]) for c in typed_cols],
+    )
+    extra = []
+    for i, c in enumerate(typed_cols):
+        key = f"__rej{i}"
+        n = F.col(key)
+        extra.append((
+            key,
+            F.count_if(_violates(F.col(raw_name[c]), F.col(c), rules[c])),
+            issue_struct(
+                TYPE_REJECTED, ERROR, c, n,
+                F.format_string(f"%d row(s) with a value that does not fit {c} "
+                                f"({rules[c].dtype.simpleString()})", n),
+                n > 0,
+            ),
+        ))
+    return validate_frame(both, contract, columns=list(df.columns), extra=extra)
+
