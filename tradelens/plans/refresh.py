@@ -21,7 +21,7 @@ from tradelens.operators.quality import QualityReport
 from tradelens.plans.models import LINEAGE, MODEL_ORDER, SILVER, build_model, qualified
 from tradelens.plans.reconcile import reconcile_revenue
 from tradelens.session import run_concurrently, scratch_path
-from tradelens.sinks.reload import load_dataset, publish, read_table
+from tradelens.sinks.reload import delete_path, load_dataset, publish, read_table
 from tradelens.sources.csv import extract_datasets, validate_required_files
 from tradelens.sources.typed import typed_view, validate_text
 
@@ -73,11 +73,12 @@ def _levels(names: list[str]) -> list[list[str]]:
     return levels
 
 
-def _stage(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
+def _stage(spark: SparkSession, name: str, df: DataFrame, paths: list[str]) -> DataFrame:
     if not df.columns:
         return df
     path = scratch_path(spark, f"stage-{name}")
     df.write.parquet(path)
+    paths.append(path)
     return spark.read.parquet(path)
 
 
@@ -138,8 +139,10 @@ def run_refresh(
 
     # multiLine CSV is read once into columnar text (one task per file), so the
     # validation and the load below scan Parquet, not the CSV again.
+    staged: list[str] = []
     extracted = run_concurrently(
-        {name: (lambda n=name, df=df: _stage(spark, n, df)) for name, df in extracted.items()}
+        {name: (lambda n=name, df=df: _stage(spark, n, df, staged))
+         for name, df in extracted.items()}
     )
 
     logger.info("Step 3/6 — validating")
@@ -161,6 +164,8 @@ def run_refresh(
         table = CONTRACTS[name].destination_table
         result.raw_rows[table] = loaded[name]
         env[f"raw.{name}"] = read_table(spark, warehouse, table)
+    for path in staged:  # the raw tables are published; the staged text is done
+        delete_path(spark, path)
 
     logger.info("Step 5/6 — silver models and tests")
     silver = [m for m in MODEL_ORDER if LINEAGE[m][0] == SILVER]
