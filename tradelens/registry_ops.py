@@ -7,13 +7,15 @@ work still grows with the whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradelens.contracts import CONTRACTS
 from tradelens.operators import checks, quality
 from tradelens.plans import profiles, reconcile
-from tradelens.plans.models import build_models
+from tradelens.plans.models import Models, build_models
 from tradelens.plans.refresh import run_refresh
 from tradelens.session import run_concurrently, scratch_path
 from tradelens.sinks import records, reload
@@ -22,11 +24,11 @@ from tradelens.sources import typed
 from tradelens.sources.binding import bind
 
 
-def _raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _raw(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
     return bind(spark, sf_dir).as_dict()
 
 
-def _key_mod(column: str, m: int) -> F.Column:
+def _key_mod(column: str, m: int) -> Column:
     return F.trim(F.col(column)).cast("bigint") % m == 0
 
 
@@ -42,19 +44,19 @@ def _text(df: DataFrame) -> DataFrame:
 
 
 # --- validators -----------------------------------------------------------------
-def dq_missing_columns(spark, sf_dir):
+def dq_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _raw(spark, sf_dir)["orders"].drop("order_approved_at", "order_status")
     issues = quality.validate_frame(orders, CONTRACTS["orders"])
     return issues.where(F.col("check") == quality.MISSING_COLUMNS)
 
 
-def dq_duplicate_keys(spark, sf_dir):
+def dq_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir)
     parts = [quality.duplicate_keys(df, CONTRACTS[n]) for n, df in raw.items()]
     return _union([p for p in parts if p is not None])
 
 
-def _negated_items(raw: dict[str, DataFrame]) -> DataFrame:
+def _negated_items(raw: Mapping[str, DataFrame]) -> DataFrame:
     items = raw["order_items"]
     return items.withColumn(
         "price", F.when(_key_mod("order_id", 997), -F.col("price")).otherwise(F.col("price"))
@@ -66,13 +68,13 @@ def _negated_items(raw: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def dq_negative_money(spark, sf_dir):
+def dq_negative_money(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _negated_items(_raw(spark, sf_dir))
     issues = quality.validate_frame(items, CONTRACTS["order_items"])
     return issues.where(F.col("check") == quality.NEGATIVE_MONETARY)
 
 
-def dq_out_of_bounds(spark, sf_dir):
+def dq_out_of_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviews = _raw(spark, sf_dir)["order_reviews"]
     score = (
         F.when(_key_mod("review_id", 97), F.lit(0))
@@ -85,7 +87,7 @@ def dq_out_of_bounds(spark, sf_dir):
     return issues.where(F.col("check") == quality.OUT_OF_BOUNDS)
 
 
-def dq_date_order(spark, sf_dir):
+def dq_date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _raw(spark, sf_dir)["orders"]
     early = F.timestamp_add("HOUR", F.lit(-1), F.col("order_purchase_timestamp"))
     delivered = F.when(_key_mod("order_id", 71), early).otherwise(
@@ -97,20 +99,20 @@ def dq_date_order(spark, sf_dir):
     return issues.where(F.col("check") == quality.DATE_ORDERING)
 
 
-def dq_null_heavy(spark, sf_dir):
+def dq_null_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = quality.validate_all(_raw(spark, sf_dir))
     return report.issues.where(F.col("check") == quality.NULL_HEAVY)
 
 
-def dq_report(spark, sf_dir):
+def dq_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.validate_all(_raw(spark, sf_dir)).issues
 
 
-def dq_gate(spark, sf_dir):
+def dq_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.validate_all(_raw(spark, sf_dir)).summary()
 
 
-def dq_extract_issues(spark, sf_dir):
+def dq_extract_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir)
     orders = raw["orders"].withColumn("debug_column", F.lit("x"))
     sellers = raw["sellers"].where(F.col("seller_id") == "__none__")
@@ -125,7 +127,7 @@ def dq_extract_issues(spark, sf_dir):
     )
 
 
-def dq_type_rejects(spark, sf_dir):
+def dq_type_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _text(_raw(spark, sf_dir)["order_items"])
     items = items.withColumn(
         "price", F.when(_key_mod("order_id", 499), F.lit("n/a")).otherwise(F.col("price"))
@@ -137,12 +139,12 @@ def dq_type_rejects(spark, sf_dir):
 
 
 # --- table tests --------------------------------------------------------------------
-def _models(spark, sf_dir):
+def _models(spark: SparkSession, sf_dir: str) -> tuple[Mapping[str, DataFrame], Models]:
     raw = _raw(spark, sf_dir)
     return raw, build_models(raw)
 
 
-def dt_nonempty(spark, sf_dir):
+def dt_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, m = _models(spark, sf_dir)
     frames = {
         "fact_orders": m["fact_orders"],
@@ -163,7 +165,7 @@ def _keyed(df: DataFrame, model: str, cols: list[str]) -> DataFrame:
     )
 
 
-def dt_unique_columns(spark, sf_dir):
+def dt_unique_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, m = _models(spark, sf_dir)
     return _union(
         [
@@ -176,38 +178,39 @@ def dt_unique_columns(spark, sf_dir):
     )
 
 
-def dt_between(spark, sf_dir):
+def dt_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _negated_items(_raw(spark, sf_dir))
     return checks.between(items, "price", 0).select("order_id", "order_item_id", "price")
 
 
-def dt_not_null(spark, sf_dir):
+def dt_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, m = _models(spark, sf_dir)
     return checks.not_null(m["dim_products"], "product_category_name").select("product_id")
 
 
-def dt_unique(spark, sf_dir):
+def dt_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir)
     return checks.unique(raw["order_reviews"], "review_id")
 
 
-def dt_reconcile_revenue(spark, sf_dir):
+def dt_reconcile_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, m = _models(spark, sf_dir)
     return reconcile.reconcile_revenue(raw, m)
 
 
-def dt_reconcile_detail(spark, sf_dir):
+def dt_reconcile_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, m = _models(spark, sf_dir)
     return reconcile.reconcile_detail(raw, m)
 
 
-def dt_suite_summary(spark, sf_dir):
+def dt_suite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, m = _models(spark, sf_dir)
     return checks.run_suite(m, checks.ALL_TESTS)
 
 
 # --- sources ----------------------------------------------------------------------
-def _landing(spark, raw: dict[str, DataFrame], names: list[str], rename=None) -> str:
+def _landing(spark: SparkSession, raw: Mapping[str, DataFrame], names: list[str],
+             rename: Callable[[str], str] | None = None) -> str:
     """Write the named raw tables as the source CSV files into a fresh landing folder."""
     root = scratch_path(spark, "landing")
 
@@ -221,21 +224,21 @@ def _landing(spark, raw: dict[str, DataFrame], names: list[str], rename=None) ->
     return root
 
 
-def src_csv_roundtrip(spark, sf_dir):
+def src_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir)
     root = _landing(spark, raw, ["order_reviews"])
     text = csv_source.extract_dataset(spark, "order_reviews", data_dir=root)
     return typed.to_typed(text, CONTRACTS["order_reviews"])
 
 
-def src_header_normalize(spark, sf_dir):
+def src_header_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir)
     root = _landing(spark, raw, ["sellers"], rename=lambda c: f"  {c.upper()} ")
     text = csv_source.extract_dataset(spark, "sellers", data_dir=root)
     return typed.to_typed(text, CONTRACTS["sellers"])
 
 
-def src_trim_strings(spark, sf_dir):
+def src_trim_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir)
     root = _landing(spark, raw, ["customers"])
     text = csv_source.extract_dataset(
@@ -244,24 +247,24 @@ def src_trim_strings(spark, sf_dir):
     return typed.to_typed(text, CONTRACTS["customers"])
 
 
-def raw_typed_orders(spark, sf_dir):
+def raw_typed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed.to_typed(_text(_raw(spark, sf_dir)["orders"]), CONTRACTS["orders"])
 
 
-def raw_typed_order_items(spark, sf_dir):
+def raw_typed_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed.to_typed(_text(_raw(spark, sf_dir)["order_items"]), CONTRACTS["order_items"])
 
 
-def raw_delivered_sample(spark, sf_dir):
+def raw_delivered_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.delivered_sample(_raw(spark, sf_dir)["orders"])
 
 
-def src_sample_counts(spark, sf_dir):
+def src_sample_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.sample_counts(_raw(spark, sf_dir))
 
 
 # --- sinks --------------------------------------------------------------------------
-def sink_full_reload(spark, sf_dir):
+def sink_full_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir)
     root = scratch_path(spark, "warehouse")
     contract = CONTRACTS["orders"]
@@ -271,34 +274,34 @@ def sink_full_reload(spark, sf_dir):
     return reload.read_table(spark, root, contract.destination_table)
 
 
-def sink_projection(spark, sf_dir):
+def sink_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = _raw(spark, sf_dir)["customers"]
     shaped = customers.drop("customer_unique_id").withColumn("debug_column", F.lit("x"))
     return reload.project_to_contract(shaped, CONTRACTS["customers"])
 
 
-def sink_row_counts(spark, sf_dir):
+def sink_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir)
     counts = reload.load_all(raw, CONTRACTS, scratch_path(spark, "warehouse"))
     return spark.createDataFrame(sorted(counts.items()), "table_name string, n_rows long")
 
 
-def prof_view_counts(spark, sf_dir):
+def prof_view_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, m = _models(spark, sf_dir)
     return profiles.view_counts(m)
 
 
-def prof_heaviest_product(spark, sf_dir):
+def prof_heaviest_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.heaviest_product(_raw(spark, sf_dir)["products"])
 
 
-def out_seller_json(spark, sf_dir):
+def out_seller_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, m = _models(spark, sf_dir)
     return records.to_json_records(m["mart_seller_performance"])
 
 
 # --- refresh ---------------------------------------------------------------------------
-def refresh_summary(spark, sf_dir):
+def refresh_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir)
     landing = _landing(spark, raw, list(CONTRACTS))
     result = run_refresh(spark, landing, scratch_path(spark, "warehouse"))
