@@ -147,3 +147,30 @@ def test_rebuild_is_repeatable(spark, models):
     again = build_models(raw_tables(spark))
     for name in ("mart_seller_performance", "mart_category_performance", "mart_geography_sales"):
         assert sorted(map(tuple, again[name].collect())) == sorted(map(tuple, models[name].collect()))
+
+
+def test_analyses_on_the_fixture(models):
+    from tradelens.plans import analyses
+
+    # eligible o1, o2, o6, o8; late o1, o8
+    f1 = analyses.late_rate(models).collect()[0]
+    assert (f1["eligible_orders"], f1["late_orders"], f1["late_pct"]) == (4, 2, D("50.00"))
+    # E4: late (o1 3.0, o8 1) vs on time (o2 5, o6 4)
+    e4 = {r["is_late_delivery"]: (r["orders"], r["avg_review_score"])
+          for r in analyses.review_by_lateness(models).collect()}
+    assert e4 == {True: (2, D("2.00")), False: (2, D("4.50"))}
+    # E5: delivered items 370.00 price, 37.00 freight
+    e5 = analyses.freight_share(models).collect()[0]
+    assert (e5["item_revenue"], e5["freight"], e5["freight_pct_of_items"]) == (
+        D("370.00"), D("37.00"), D("10.00"))
+    # three sellers, all in the top 10
+    f2 = analyses.top10_share(models).collect()[0]
+    assert (f2["top10_revenue"], f2["top10_pct"]) == (D("290.00"), D("100.00"))
+    # SP has o1, o2, o6 eligible and o1 late; RJ has none eligible
+    f3 = [(r["customer_state"], r["eligible"], r["late_rate"])
+          for r in analyses.late_rate_by_state(models, min_eligible=1).collect()]
+    assert f3 == [("SP", 3, D("0.3333"))]
+    # E3: delivered orders and item revenue per state
+    e3 = [(r["customer_state"], r["delivered_orders"], r["item_revenue"])
+          for r in analyses.state_revenue(models).collect()]
+    assert e3 == [("SP", 5, D("280.00")), ("RJ", 1, D("10.00"))]
