@@ -83,8 +83,12 @@ def mart_seller_performance(
             F.sum("freight_value").alias("freight"),
         )
     )
-    joined = per_order.join(dim_sellers, "seller_id")
-    return joined.groupBy("seller_id", "seller_city", "seller_state").agg(
+    # Aggregate per seller *before* meeting the dimension: a seller with a large
+    # share of all orders is combined map side (partial aggregate) instead of
+    # landing in one join task, and the join sees one row per seller.  Same
+    # result: city and state depend on seller_id only (one row per seller after
+    # dedup) and the inner join only filters.
+    per_seller = per_order.groupBy("seller_id").agg(
         F.expr("count(1)").alias("total_orders"),
         F.expr("cast(sum(total_items) as bigint)").alias("total_items_sold"),
         F.expr("coalesce(sum(revenue), 0.00BD)").alias("total_revenue"),
@@ -96,6 +100,21 @@ def mart_seller_performance(
         ),
         flag_rate("is_late_delivery", "has_delivery_outcome").alias("late_delivery_rate"),
     )
+    # per_seller on the left: a filter on seller_id (a keyed lookup) then pushes
+    # through both aggregates into the item scan.
+    return per_seller.join(dim_sellers, "seller_id").select(
+        "seller_id",
+        "seller_city",
+        "seller_state",
+        "total_orders",
+        "total_items_sold",
+        "total_revenue",
+        "avg_order_value",
+        "avg_freight_value",
+        "avg_review_score",
+        "avg_delivery_delay_days",
+        "late_delivery_rate",
+    )
 
 
 def mart_category_performance(
