@@ -6,6 +6,8 @@ from tradelens.functions.numeric import (
     exact_mean,
     exact_ratio,
     flag_rate,
+    mean_of_sums,
+    wide_sum,
 )
 from tradelens.functions.text import clean_id, strip_ws
 
@@ -16,5 +18,7 @@ __all__ = [
     "exact_mean",
     "exact_ratio",
     "flag_rate",
+    "mean_of_sums",
     "strip_ws",
+    "wide_sum",
 ]

@@ -30,6 +30,24 @@ def exact_mean(expr: str, scale: int) -> Column:
     return F.expr(f"round(cast(avg(cast(({expr}) as {WIDE})) as {SNAP}), {int(scale)})")
 
 
+def wide_sum(expr: str) -> Column:
+    """Partial sum for a two-level mean: ``sum(cast(expr as decimal(28,14)))``."""
+    return F.expr(f"sum(cast(({expr}) as {WIDE}))")
+
+
+def mean_of_sums(total: str, count: str, scale: int) -> Column:
+    """Combine partial sums and counts into ``exact_mean``'s result.
+
+    ``avg`` on decimals is the sum (``decimal(38,14)``) divided by the count
+    cast to ``decimal(20,0)``; this does the same division on summed parts, so
+    a mean computed in two levels equals the one computed in one.
+    """
+    return F.expr(
+        f"round(cast(sum({total}) / cast(nullif(sum({count}), 0) as decimal(20,0))"
+        f" as {SNAP}), {int(scale)})"
+    )
+
+
 def exact_ratio(num: str, den: str, scale: int) -> Column:
     """``round(num / nullif(den, 0), scale)`` on decimals, NULL for a zero denominator."""
     return F.expr(

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.functions import exact_mean, exact_ratio, flag_rate
+from tradelens.functions import exact_mean, exact_ratio, flag_rate, mean_of_sums, wide_sum
 
 UNKNOWN_CATEGORY = "unknown"
 
@@ -132,29 +132,39 @@ def mart_category_performance(
     )
 
 
-def delivered_customer_orders(
-    dim_customers: DataFrame, fact_orders: DataFrame, order_item_summary: DataFrame
-) -> DataFrame:
-    """Delivered orders with items, joined to their customer (inner on both)."""
-    fo = fact_orders.where("is_delivered").select(
-        "order_id",
-        "customer_id",
-        "avg_review_score",
-        "is_late_delivery",
-        "has_delivery_outcome",
-    )
-    return fo.join(order_item_summary, "order_id").join(
-        dim_customers.select("customer_id", "customer_state", "customer_city"), "customer_id"
+def customer_totals(fact_orders: DataFrame, order_item_summary: DataFrame) -> DataFrame:
+    """Per customer: delivered orders with items, revenue, and partial sums/counts.
+
+    Aggregated *before* the customer dimension is joined, so a customer with a
+    large share of all orders is combined map side and the join sees one row
+    per customer.  The regional means are then combined from these parts
+    (``mean_of_sums``), which equals the one-level mean exactly.
+    """
+    fo = fact_orders.where("is_delivered").select("order_id", "customer_id", "avg_review_score")
+    return (
+        fo.join(order_item_summary, "order_id")
+        .groupBy("customer_id")
+        .agg(
+            F.expr("count(1)").alias("n_orders"),
+            F.sum("revenue").alias("revenue"),
+            wide_sum("revenue + freight").alias("ticket_sum"),
+            F.expr("count(revenue + freight)").alias("ticket_n"),
+            wide_sum("avg_review_score").alias("review_sum"),
+            F.expr("count(avg_review_score)").alias("review_n"),
+        )
     )
 
 
-def region_sales(orders_by_customer: DataFrame, *keys: str) -> DataFrame:
+def region_sales(per_customer: DataFrame, dim_customers: DataFrame, *keys: str) -> DataFrame:
     """Orders, revenue, mean ticket (items + freight) and mean review per region key."""
-    return orders_by_customer.groupBy(*keys).agg(
-        F.expr("count(1)").alias("total_orders"),
+    joined = per_customer.join(
+        dim_customers.select("customer_id", "customer_state", "customer_city"), "customer_id"
+    )
+    return joined.groupBy(*keys).agg(
+        F.expr("cast(sum(n_orders) as bigint)").alias("total_orders"),
         F.expr("coalesce(sum(revenue), 0.00BD)").alias("total_revenue"),
-        exact_mean("revenue + freight", 2).alias("avg_ticket"),
-        exact_mean("avg_review_score", 2).alias("avg_review_score"),
+        mean_of_sums("ticket_sum", "ticket_n", 2).alias("avg_ticket"),
+        mean_of_sums("review_sum", "review_n", 2).alias("avg_review_score"),
     )
 
 
@@ -162,7 +172,8 @@ def mart_geography_sales(
     dim_customers: DataFrame, fact_orders: DataFrame, order_item_summary: DataFrame
 ) -> DataFrame:
     return region_sales(
-        delivered_customer_orders(dim_customers, fact_orders, order_item_summary),
+        customer_totals(fact_orders, order_item_summary),
+        dim_customers,
         "customer_state",
         "customer_city",
     )

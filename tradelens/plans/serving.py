@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.plans.marts import delivered_customer_orders, region_sales
+from tradelens.plans.marts import customer_totals, region_sales
 
 MAX_LIMIT = 100
 SELLER_ID_MAX = 32
@@ -83,11 +83,9 @@ def categories(models: Mapping[str, DataFrame], limit: int = 100) -> DataFrame:
 def states(models: Mapping[str, DataFrame], limit: int = 100) -> DataFrame:
     """Per customer state, aggregated from the facts (not from the rounded city mart)."""
     n = check_limit(limit)
-    orders = delivered_customer_orders(
-        models["dim_customers"], models["fact_orders"], models["order_item_summary"]
-    )
+    per_customer = customer_totals(models["fact_orders"], models["order_item_summary"])
     return (
-        region_sales(orders, "customer_state")
+        region_sales(per_customer, models["dim_customers"], "customer_state")
         .orderBy(
             F.col("total_revenue").desc_nulls_last(), F.col("customer_state").asc_nulls_last()
         )
