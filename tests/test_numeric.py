@@ -7,6 +7,8 @@ import random
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 
+from pyspark.sql import functions as F
+
 from tradelens.functions import delay_days, exact_mean, exact_ratio, flag_rate
 
 
@@ -84,3 +86,19 @@ def test_delay_days_are_signed_fractional_days(spark):
             want = Decimal(int(d.total_seconds() * 1_000_000)) / Decimal(86_400_000_000)
         assert abs(value - want) < Decimal("1e-12")
     assert got[-1] is None
+
+
+def test_two_level_mean_equals_one_level(spark):
+    from tradelens.functions import mean_of_sums, wide_sum
+
+    rng = random.Random(11)
+    rows = []
+    for g in range(300):
+        for i in range(rng.randint(1, 12)):
+            v = None if rng.random() < 0.15 else Decimal(rng.randint(-99999, 999999)).scaleb(-3)
+            rows.append((g, i % 4, v))
+    df = spark.createDataFrame(rows, "g int, sub int, v decimal(12,3)")
+    one = {r["g"]: r["m"] for r in df.groupBy("g").agg(exact_mean("v", 2).alias("m")).collect()}
+    parts = df.groupBy("g", "sub").agg(wide_sum("v").alias("s"), F.expr("count(v)").alias("n"))
+    two = {r["g"]: r["m"] for r in parts.groupBy("g").agg(mean_of_sums("s", "n", 2).alias("m")).collect()}
+    assert one == two
