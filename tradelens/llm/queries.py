@@ -116,23 +116,21 @@ ORACLE_SQL = {
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
 ), sets AS (
-  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS items FROM words
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [hash(array_to_string(ws, ' '))]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: hash(array_to_string(ws[i:i + 3], ' ')))) END AS items FROM words
 ), each AS (
-  SELECT doc_id, unnest(items) AS item FROM sets
-), sizes AS (
-  SELECT doc_id, len(items) AS n FROM sets
+  SELECT doc_id, len(items) AS n, unnest(items) AS item FROM sets
 ), links AS (
-  SELECT a.doc_id AS x, b.doc_id AS y FROM each a JOIN each b ON a.item = b.item AND a.doc_id <> b.doc_id
-  JOIN sizes s ON s.doc_id = a.doc_id JOIN sizes t ON t.doc_id = b.doc_id
-  GROUP BY a.doc_id, b.doc_id, s.n, t.n HAVING 100 * count(*) >= 85 * (s.n + t.n - count(*))
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM each a JOIN each b ON a.item = b.item AND a.doc_id < b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
 ), reach AS (
   SELECT doc_id AS x, doc_id AS y FROM documents
   UNION
-  SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+  SELECT r.x, l.y FROM reach r JOIN (SELECT x, y FROM links UNION ALL SELECT y, x FROM links) l ON l.x = r.y
 )
-SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, min(r.y) AS component_id
-FROM sizes s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.n""",
+SELECT s.doc_id, CAST(len(s.items) AS BIGINT) AS n_shingles, min(r.y) AS component_id
+FROM sets s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.items)""",
     "op10_repeated_windows": rf"""
 WITH words AS (
   SELECT doc_id, {_WORDS} AS ws FROM documents

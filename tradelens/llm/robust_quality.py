@@ -161,8 +161,9 @@ def robust_estimates(vectors: DataFrame, h: float = 0.75, steps: int = 4) -> tup
     few = spherical.count() <= BROADCAST_GROUPS
     flat = vectors.agg(*_moments(names, F.lit(True)))
     flat = _cholesky(flat, names).select(*_estimate_columns(names))
-    whole = spherical.select("grp").withColumn("_one", F.lit(1)).join(F.broadcast(flat.withColumn("_one", F.lit(1))), "_one")
-    starts = [spherical, whole.select("grp", *_estimate_columns(names)).withColumn("logdet", F.lit(float("inf")))]
+    one = flat.first()  # a single row of estimates over all groups
+    whole = spherical.select("grp", *[F.lit(one[c]).cast("double").alias(c) for c in _estimate_columns(names) if c != "logdet"])
+    starts = [spherical, whole.withColumn("logdet", F.lit(float("inf")))]
     ends = []
     for estimate in starts:
         for _ in range(steps):
