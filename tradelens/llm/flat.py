@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Bits for a place in a slice beside a hash (a text has fewer than 2^28 items).
 PLACE_BITS = 28
 #: Measured bytes up to which per-row lists are broadcast.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 1 << 20
 #: Bytes of text handled at once inside a task (a longer text is one slice).
 SLICE_BYTES = 2 << 20
 
@@ -196,14 +196,14 @@ def row_key(docs: DataFrame) -> DataFrame:
     return id_text(docs).withColumn("text_hash", F.xxhash64("text"))
 
 
-def beside_rows(rows: DataFrame, lists: DataFrame, n_bytes: int) -> DataFrame:
+def beside_rows(rows: DataFrame, lists: DataFrame, n_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
     """Rows left-joined with per-row lists on doc_id (null-safe) and text_hash.
 
-    Lists of up to ``BROADCAST_BYTES`` (measured) are broadcast, so texts are
+    Lists of up to ``most`` bytes (measured) are broadcast, so texts are
     not shuffled; larger ones meet the rows in a sort-merge join.
     """
     r, x = rows.alias("r"), lists.alias("x")
     on = F.col("r.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("r.text_hash") == F.col("x.text_hash"))
-    if n_bytes <= BROADCAST_BYTES:
+    if n_bytes <= most:
         x = F.broadcast(x)
     return r.join(x, on, "left").select("r.*", *[F.col(f"x.{c}") for c in lists.columns if c not in ("doc_id", "text_hash")])

@@ -41,15 +41,16 @@ from tradelens.llm.run_index import RunLengthIndex
 from tradelens.llm.stored import stored
 
 WIDTH, GRAM = 50, 24
-#: Text bytes per shard of anchors and piece bytes per index; shards at least.
-SHARD_BYTES, INDEX_BYTES, LEAST_SHARDS = 32 << 20, 2 << 20, 48
+#: Text bytes per packed batch and per shard of anchors, piece bytes per index; shards at least.
+BATCH_BYTES, SHARD_BYTES, INDEX_BYTES, LEAST_SHARDS = 8 << 20, 16 << 20, 2 << 20, 48
 _LAST = np.iinfo(np.int64).max
 _ENTRY = np.dtype([("h", "<u8"), ("r", "<u8"), ("doc", "<u4"), ("lo", "<u4"), ("n", "u1")])
 
 
 def _entries(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """Rows (shard, docs, entries): the runs of a batch, column by column, by their anchors' shard."""
-    for b in batches:
+    parts = (b.slice(lo, hi - lo) for b in batches for lo, hi in doc_slices(flat_text(b.column("text"))[1], BATCH_BYTES))
+    for b in parts:
         buf, offsets = flat_text(b.column("text"))
         ids = b.column("doc_id").fill_null(_LAST).to_numpy()
         hashes = b.column("text_hash").to_numpy()
@@ -164,8 +165,8 @@ def _match(t: pa.Table) -> pa.Table:
     index = RunLengthIndex(text, first, ids, WIDTH)
     width = int(size.max())
     row, at, owner = [], [], []
-    for a in range(0, len(size), 1 << 15):
-        part = size[a : a + (1 << 15)]
+    for a in range(0, len(size), 1 << 13):
+        part = size[a : a + (1 << 13)]
         patterns = np.zeros((len(part), width), np.int64)
         inside = np.arange(width)[None, :] < part[:, None]
         patterns[inside] = text[first[a] : first[a + len(part)]]
