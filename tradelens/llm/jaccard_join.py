@@ -10,7 +10,8 @@ Points are dealt to cells by the shingles of their prefix: sets that reach the
 similarity share one of their smallest n - ceil(t n) + 1 hashes.  Every cell
 has an R-tree (a cell of up to ``FANOUT`` points is one leaf); a query point
 descends where the bound allows a link, and each point proposes its smallest
-surviving neighbours of other components.  Proposals are verified on the full
+surviving neighbours of other components (over all cells: one in the first
+round, twice as many in each later one).  Proposals are verified on the full
 sets, components are merged, and rounds follow until no pair is left that the
 bound allows, that is not connected and that was not refuted.  So no link is
 lost, and a group of near copies proposes a few pairs per member, never all.
@@ -30,12 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradelens.llm.components import components
 from tradelens.llm.flat import (
-    BROADCAST_BYTES,
     beside_rows,
     doc_slices,
     flat_text,
@@ -50,7 +50,9 @@ from tradelens.llm.flat import (
 from tradelens.llm.stored import stored
 
 SHINGLE, PERCENT = 4, 85
-GROUPS, FANOUT, CELL = 32, 16, 2000
+GROUPS, FANOUT, CELL, HUB = 32, 16, 2000, 500
+#: Measured bytes of verdicts and visits (a few per near copy) that may be broadcast.
+BROADCAST_LISTS = 16 << 20
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,13 +103,36 @@ def _points(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _visits(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The set of each row, once per visit."""
     for b in batches:
         buf, offsets = flat_text(b.column("text"))
         for lo, hi in doc_slices(offsets):
             h, first = shingle_sets(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
             sets = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("class").slice(lo, hi - lo), sets], ["class", "items"])
+            visits = b.column("visits").slice(lo, hi - lo)
+            row = pa.array(np.repeat(np.arange(hi - lo), np.diff(np.array(visits.offsets))))
+            flat = visits.flatten()
+            yield pa.RecordBatch.from_arrays(
+                [flat.field("part"), flat.field("hub"), b.column("class").slice(lo, hi - lo).take(row), sets.take(row)], ["part", "hub", "class", "items"]
+            )
+
+
+def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Sets sorted by part, the hub's first -> exact verdicts on (hub, class)."""
+    hub, own = None, np.zeros(0, np.int64)
+    for b in batches:
+        hubs, names, items = b.column("hub").to_pylist(), b.column("class").to_pylist(), b.column("items")
+        out = []
+        for k, (h, name) in enumerate(zip(hubs, names, strict=True)):
+            values = items[k].values.to_numpy()
+            if h == name:
+                hub, own = h, values
+            elif h == hub:
+                shared = len(np.intersect1d(own, values, assume_unique=True))
+                out.append((h, name, 100 * shared >= percent * (len(own) + len(values) - shared)))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "linked"])
 
 
 class CountTree:
@@ -242,7 +267,10 @@ def join_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
         proposed = stored(dealt.mapInArrow(lambda x, most=most: _propose(x, percent, most), "a long, b long").distinct(), "proposed")
         if turn and proposed.isEmpty():
             break
-        checked = stored(_verified(rows, classes, proposed, width, percent), "checked")
+        # A class offers its smallest partners over all cells: one at first, twice as many each turn.
+        place = F.row_number().over(Window.partitionBy("b").orderBy("a"))
+        offered = proposed.withColumn("k", place).where(F.col("k") <= most).select("a", "b")
+        checked = stored(_verified(rows, classes, offered, width, percent).distinct(), "checked")
         new = checked.where("linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
         no = checked.where(~F.col("linked")).select("a", "b")
@@ -277,7 +305,7 @@ def one_of_each(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -
     verdict = stored(verdict.where("NOT first OR k > 1").select("doc_id", "text_hash", F.col("first").alias("_first")), "verdict")
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"))
-    judged = beside_rows(rows, verdict, verdict.count() * 64)
+    judged = beside_rows(rows, verdict, verdict.count() * 64, BROADCAST_LISTS)
     once = judged.where("_first").dropDuplicates(["doc_id", "text_hash"])
     return judged.where("_first IS NULL").unionByName(once).select("_doc.*")
 
@@ -287,15 +315,23 @@ def _text_hash():
 
 
 def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b, linked: the exact similarity of the classes' sets, rebuilt from one text of each class."""
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = stored(wanted.join(classes, "class").select("class", F.col("one.doc_id").alias("d"), F.col("one.text_hash").alias("h")), "wanted")
-    small = F.broadcast if wanted.count() * 64 <= BROADCAST_BYTES else (lambda x: x)
-    texts = rows.join(small(wanted), rows["doc_id"].eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("class", "text")
-    sets = texts.mapInArrow(lambda x: _sets(x, width), "class long, items array<long>").dropDuplicates(["class"])
-    sets = stored(sets, "sets")
-    left = pairs.join(sets.select(F.col("class").alias("b"), F.col("items").alias("y")), "b")
-    both = left.join(sets.select(F.col("class").alias("a"), F.col("items").alias("x")), "a")
-    shared = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - shared
-    return both.select("a", "b", (100 * shared >= percent * union).alias("linked"))
+    """a, b, linked: the exact similarity of the classes' sets, rebuilt from one text of each class.
+
+    The smaller class of a pair is the hub that the other's set visits; a hub
+    of many is copied, one copy per ``HUB`` visitors.
+    """
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("copies"))
+    part = lambda salt: F.xxhash64("hub", salt.cast("int"))
+    come = pairs.join(hubs, "a").select(F.col("a").alias("hub"), F.col("b").alias("class"), F.pmod(F.xxhash64("b"), F.col("copies")).alias("salt"))
+    own = hubs.select(F.col("a").alias("hub"), F.col("a").alias("class"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+    visits = come.select("hub", "class", F.col("salt").cast("int").alias("salt")).unionByName(own)
+    lists = visits.groupBy("class").agg(F.collect_list(F.struct(part(F.col("salt")).alias("part"), "hub")).alias("visits"))
+    lists = lists.join(classes.select("class", "one"), "class").select(F.col("one.doc_id").alias("doc_id"), F.col("one.text_hash").alias("text_hash"), "class", "visits")
+    lists = stored(lists, "visits")
+    size = lists.agg(F.sum(F.size("visits") * 16 + 64)).first()[0] or 0
+    found = beside_rows(rows, lists, size, BROADCAST_LISTS).where("visits IS NOT NULL")
+    sets = found.mapInArrow(lambda x: _visits(x, width), "part long, hub long, class long, items array<long>")
+    sets = sets.repartition("part").sortWithinPartitions("part", F.col("hub") != F.col("class"), "hub")
+    return sets.mapInArrow(lambda x: _compare(x, percent), "a long, b long, linked boolean")
+
+
