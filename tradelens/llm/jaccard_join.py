@@ -11,7 +11,7 @@ similarity share one of their smallest n - ceil(t n) + 1 hashes.  Every cell
 has an R-tree (a cell of up to ``FANOUT`` points is one leaf); a query point
 descends where the bound allows a link, and each point proposes its smallest
 surviving neighbours of other components (over all cells: one in the first
-round, twice as many in each later one).  Proposals are verified on the full
+round, four times as many in each later one).  Proposals are verified on the full
 sets, components are merged, and rounds follow until no pair is left that the
 bound allows, that is not connected and that was not refuted.  So no link is
 lost, and a group of near copies proposes a few pairs per member, never all.
@@ -50,7 +50,7 @@ from tradelens.llm.flat import (
 from tradelens.llm.stored import stored
 
 SHINGLE, PERCENT = 4, 85
-GROUPS, FANOUT, CELL, HUB = 32, 16, 2000, 500
+GROUPS, FANOUT, CELL, HUB = 128, 16, 2000, 500
 #: Measured bytes of verdicts and visits (a few per near copy) that may be broadcast.
 BROADCAST_LISTS = 16 << 20
 
@@ -73,6 +73,11 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
     return h, np.searchsorted(row, np.arange(len(n) + 1))
 
 
+def _narrow(most: int) -> str:
+    """The narrowest type for counts up to ``most``."""
+    return "u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4"
+
+
 def _row_ids(b: pa.RecordBatch, lo: int, hi: int) -> list[pa.Array]:
     return [b.column(c).slice(lo, hi - lo) for c in ("doc_id", "text_hash")]
 
@@ -97,7 +102,7 @@ def _points(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
                     pa.array(n, pa.int64()),
                     pa.array(name),
                     pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(take)], pa.int32()), pa.array(cells)),
-                    pa.array([p.astype("<u2").tobytes() if p.max(initial=0) < 1 << 16 else p.tobytes() for p in points], pa.binary()),
+                    pa.array([p.astype(_narrow(m)).tobytes() for p, m in zip(points, points.max(axis=1).tolist(), strict=True)], pa.binary()),
                 ],
                 ["doc_id", "text_hash", "n", "class", "cells", "point"],
             )
@@ -161,27 +166,29 @@ class CountTree:
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs i < j of one cell whose bound reaches the similarity."""
-        step = 20_000
+        step = 2_000
         for a in range(0, len(self.size), step):
             query, node = np.arange(a, min(a + step, len(self.size))), self.root[a : a + step]
             for children, box, low, high in reversed(self.levels):
-                ok = self._reach(query, box[node], low[node], high[node])
+                ok = self._reach(query, node, box, low, high)
                 query, node = query[ok], node[ok]
                 n = children[node + 1] - children[node]
                 query = np.repeat(query, n)
                 node = np.repeat(children[node] - np.cumsum(n) + n, n) + np.arange(len(query))
             later = node > query
             query, node = query[later], node[later]
-            for c in range(0, len(query), 200_000):
-                q, k = query[c : c + 200_000], node[c : c + 200_000]
-                ok = self._reach(q, self.points[k], self.size[k], self.size[k])
-                yield q[ok], k[ok]
+            ok = self._reach(query, node, self.points, self.size, self.size)
+            yield query[ok], node[ok]
 
-    def _reach(self, query: np.ndarray, box: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    def _reach(self, query: np.ndarray, node: np.ndarray, box: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether sizes and summed minima allow a link of a point with something in a box."""
         p, n = self.percent, self.size[query]
-        near = (100 * high >= p * n) & (100 * n >= p * low)
-        overlap = np.minimum(self.points[query], box).sum(axis=1, dtype=np.int64)
-        return near & ((100 + p) * overlap >= p * (n + np.maximum(low, (p * n + 99) // 100)))
+        low, high = low[node], high[node]
+        ok = (100 * high >= p * n) & (100 * n >= p * low)
+        least = p * (n + np.maximum(low, (p * n + 99) // 100))
+        for k in np.array_split(np.flatnonzero(ok), max(1, int(ok.sum()) // 20_000)):
+            ok[k] = (100 + p) * np.minimum(self.points[query[k]], box[node[k]]).sum(axis=1, dtype=np.int64) >= least[k]
+        return ok
 
 
 def _propose(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -190,7 +197,11 @@ def _propose(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iter
     def flush(t: pa.Table) -> pa.RecordBatch:
         part = np.searchsorted(np.unique(t["part"].to_numpy()), t["part"].to_numpy())
         size, name, comp = t["n"].to_numpy(), t["class"].to_numpy(), t["comp"].to_numpy()
-        points = np.stack([np.frombuffer(x, "<u2" if len(x) == 2 * GROUPS else "<u4").astype(np.uint32) for x in t["point"].to_pylist()])
+        raw = [x.as_buffer() for x in t["point"]]
+        widest = max(len(x) for x in raw) // GROUPS
+        points = np.empty((len(raw), GROUPS), np.uint16 if widest < 4 else np.uint32)
+        for k, x in enumerate(raw):
+            points[k] = np.frombuffer(x, f"<u{len(x) // GROUPS}")
         order = np.lexsort((name, size, part))
         part, size, name, comp, points = part[order], size[order], name[order], comp[order], points[order]
         refuted = {int(name[k]): set(x) for k, x in enumerate(t["refuted"].take(pa.array(order)).to_pylist()) if x}
@@ -216,7 +227,7 @@ def _propose(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iter
     for b in batches:
         held.append(b)
         rows += b.num_rows
-        if rows >= 100_000:  # all parts but the last are complete
+        if rows >= 40_000:  # all parts but the last are complete
             t = pa.Table.from_batches(held).combine_chunks()
             part = t["part"].to_numpy()
             cut = int(np.flatnonzero(np.r_[True, part != part[-1]])[-1])
@@ -263,11 +274,11 @@ def join_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     while True:
         dealt = _parts(members, points, turn == 0).select("part", "class", "comp", "n", "point", "refuted")
         dealt = dealt.repartition("part").sortWithinPartitions("part")
-        most = 1 << min(turn, 10)
+        most = 4 ** min(turn, 10)
         proposed = stored(dealt.mapInArrow(lambda x, most=most: _propose(x, percent, most), "a long, b long").distinct(), "proposed")
         if turn and proposed.isEmpty():
             break
-        # A class offers its smallest partners over all cells: one at first, twice as many each turn.
+        # A class offers its smallest partners over all cells: one at first, four times as many each turn.
         place = F.row_number().over(Window.partitionBy("b").orderBy("a"))
         offered = proposed.withColumn("k", place).where(F.col("k") <= most).select("a", "b")
         checked = stored(_verified(rows, classes, offered, width, percent).distinct(), "checked")
