@@ -246,6 +246,8 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None
 def _chunk_logs(chunks: list[str], pieces: Pieces, table: np.ndarray, count: int) -> np.ndarray:
     """Natural log probability of each chunk's letters under every language."""
     out = np.zeros((len(chunks), count))
+    if not count:
+        return out
     words = [letters(c) for c in chunks]
     parts = [(i, p) for i, w in enumerate(words) if w for p in word_parts(w)]
     owner = np.array([i for i, _ in parts], np.int64)
