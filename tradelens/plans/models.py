@@ -107,3 +107,16 @@ def build_models(
     Parquet table, so that downstream models read it instead of recomputing it.
     """
     return Models(raw, overrides)
+
+
+def register_models(models: Mapping[str, DataFrame]) -> list[str]:
+    """Temporary views ``silver_<model>`` and ``analytics_<model>`` for SQL users; their names.
+
+    Views are lazy: a SQL query plans only the models it names.
+    """
+    names = []
+    for model in MODEL_ORDER:
+        layer = "silver" if LINEAGE[model][0] == "silver" else "analytics"
+        models[model].createOrReplaceTempView(f"{layer}_{model}")
+        names.append(f"{layer}_{model}")
+    return names

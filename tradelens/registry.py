@@ -21,9 +21,6 @@ from tradelens.sources.binding import bind
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# The threshold of the late-rate-by-state finding is 500 eligible orders on the
-# full source data; the test tables hold about 200 per state at sf0.01.
-LATE_STATE_MIN_ELIGIBLE = 100
 SAMPLE_SELLER_ID = "26"
 INJECTION_TEXT = "' OR 1=1 --"
 
@@ -93,9 +90,9 @@ _MODEL_QUERIES: dict[str, Callable[[Models], DataFrame]] = {
     "an_freight_share": analyses.freight_share,
     "an_late_rate": analyses.late_rate,
     "an_top10_share": analyses.top10_share,
-    "an_late_rate_by_state": lambda m: analyses.late_rate_by_state(
-        m, min_eligible=LATE_STATE_MIN_ELIGIBLE
-    ),
+    # The documented finding uses 500 eligible orders; the second key shows the parameter.
+    "an_late_rate_by_state": analyses.late_rate_by_state,
+    "an_late_rate_by_state_min100": lambda m: analyses.late_rate_by_state(m, min_eligible=100),
 }
 
 

@@ -2,7 +2,7 @@
 
 The driver's test data is a TPC-H-shaped star schema plus an ``events`` table.
 Each raw table is derived from it by integer arithmetic that DuckDB can express
-identically (see ``oracle_queries.py``), so every model can be checked against
+identically (see ``oracle_duckdb.py``), so every model can be checked against
 an independent SQL engine on the same input.  The derivation deliberately
 plants the dirty cases the models must handle: padded and blank ids, duplicate
 dimension rows that must lose, untranslated and blank categories, missing
