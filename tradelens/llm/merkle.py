@@ -102,8 +102,8 @@ def neighbours(rows: DataFrame, columns: list[str]) -> DataFrame:
     ends = rows.join(small(before.select(F.col("_before").alias("_key"))), "_key", "left_semi")
     ends = ends.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("_tie")))).where("_n = 1")
     ends = ends.select(F.col("_key").alias("_before"), got.alias("_end")).join(small(before), "_before").select("_bucket", "_end")
-    starts = inner.where(F.col("_next").isNull()).join(ends, "_bucket", "left").withColumn("_next", F.col("_end")).drop("_end")
-    out = inner.where(F.col("_next").isNotNull()).unionByName(starts)
+    # The window's partitioning serves this join, too: texts are shuffled once.
+    out = inner.join(ends, "_bucket", "left").withColumn("_next", F.coalesce("_next", "_end")).drop("_end")
     return out.select("*", *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns]).drop("_key", "_tie", "_bucket", "_next")
 
 
@@ -115,7 +115,8 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     near_edited, near_next, first_edited (paragraph).
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = neighbours(with_fingerprint(rows, "text"), ["text", "leaves"])
+    # Only texts are shuffled; trees are built where both texts are.
+    rows = with_fingerprint(with_fingerprint(neighbours(rows, ["text"]), "text"), "next_text", "next_")
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     edited = "concat(substring(text, 1, CAST(n_chars - n_chars DIV 3 AS INT)), substring(next_text, 1, CAST(n_chars DIV 3 AS INT)))"
     rows = with_fingerprint(rows.withColumn("edited", F.expr(edited)), "edited", "edited_")
