@@ -7,7 +7,8 @@ overlap of their sets from above, and those of a point and a box (the largest
 counts below a tree node) bound the overlap with everything in the box.
 
 Points are dealt to cells by the shingles of their prefix: sets that reach the
-similarity share one of their smallest n - ceil(t n) + 1 hashes.  Every cell
+similarity share one of their smallest n - ceil(t n) + 1 hashes.  Of cells with
+equal members (by 128 bits of hash) one is searched.  Every cell
 has an R-tree (a cell of up to ``FANOUT`` points is one leaf); a query point
 descends where the bound allows a link, and each point proposes its smallest
 surviving neighbours of other components (over all cells: one in the first
@@ -15,6 +16,8 @@ round, four times as many in each later one).  Proposals are verified on the ful
 sets, components are merged, and rounds follow until no pair is left that the
 bound allows, that is not connected and that was not refuted.  So no link is
 lost, and a group of near copies proposes a few pairs per member, never all.
+Components only grow and refuted pairs stay so: a cell that was searched whole
+and had no such pair has none later and takes no part in the next rounds.
 
 A cell of over ``CELL`` points is split: first each part by itself; later its
 members of the commonest component stay in parts and the few others visit all.
@@ -192,18 +195,18 @@ class CountTree:
 
 
 def _propose(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Sorted members of whole cells (by part) -> pairs of classes to verify."""
+    """Sorted members of whole cells (by part) -> pairs of classes to verify, and rows (null, null, cell) of the cells with pairs."""
 
     def flush(t: pa.Table) -> pa.RecordBatch:
         part = np.searchsorted(np.unique(t["part"].to_numpy()), t["part"].to_numpy())
-        size, name, comp = t["n"].to_numpy(), t["class"].to_numpy(), t["comp"].to_numpy()
+        size, name, comp, cell = (t[c].to_numpy() for c in ("n", "class", "comp", "cell"))
         raw = [x.as_buffer() for x in t["point"]]
         widest = max(len(x) for x in raw) // GROUPS
         points = np.empty((len(raw), GROUPS), np.uint16 if widest < 4 else np.uint32)
         for k, x in enumerate(raw):
             points[k] = np.frombuffer(x, f"<u{len(x) // GROUPS}")
         order = np.lexsort((name, size, part))
-        part, size, name, comp, points = part[order], size[order], name[order], comp[order], points[order]
+        part, size, name, comp, cell, points = part[order], size[order], name[order], comp[order], cell[order], points[order]
         refuted = {int(name[k]): set(x) for k, x in enumerate(t["refuted"].take(pa.array(order)).to_pylist()) if x}
         left, right = [], []
         for i, j in CountTree(part, size, points, percent).pairs():
@@ -211,16 +214,19 @@ def _propose(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iter
             left.append(i[other])
             right.append(j[other])
         i, j = np.concatenate(left), np.concatenate(right)
-        a, b, at = np.minimum(name[i], name[j]), np.maximum(name[i], name[j]), part[i]
+        a, b, at, cell = np.minimum(name[i], name[j]), np.maximum(name[i], name[j]), part[i], cell[i]
         if refuted and len(a):
             ok = np.array([y not in refuted.get(x, ()) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
-            a, b, at = a[ok], b[ok], at[ok]
+            a, b, at, cell = a[ok], b[ok], at[ok], cell[ok]
+        cell = np.unique(cell)
         order = np.lexsort((a, b, at))  # each larger name proposes its `most` smallest partners in a cell
         a, b, at = a[order], b[order], at[order]
         new = np.r_[True, (b[1:] != b[:-1]) | (at[1:] != at[:-1])] if len(a) else np.zeros(0, bool)
         place = np.arange(len(a)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(a) else np.zeros(0, np.int64)
         ab = np.unique(np.stack([a[place < most], b[place < most]], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ab[:, 0], pa.int64()), pa.array(ab[:, 1], pa.int64())], ["a", "b"])
+        pairs, cells = pa.nulls(len(ab), pa.int64()), pa.nulls(len(cell), pa.int64())
+        cols = ((pa.array(ab[:, 0]), cells), (pa.array(ab[:, 1]), cells), (pairs, pa.array(cell)))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols], ["a", "b", "cell"])
 
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -266,18 +272,27 @@ def join_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     )
     classes = stored(classes, "classes")
     cells = classes.select(F.explode("cells").alias("cell"), "class")
-    many = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    # A class is once in a cell, so exclusive ors name the members; most cells of a pair of near copies hold just them.
+    names = [F.bit_xor("class").alias("x"), F.bit_xor(F.xxhash64("class")).alias("y")]
+    many = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), *names).where("m > 1")
+    many = many.groupBy("m", "x", "y").agg(F.min("cell").alias("cell")).select("cell", "m")
     members = stored(cells.join(many, "cell"), "members")
     points = classes.select("class", "n", "point", F.col("class").alias("comp"), F.lit(None).cast("array<long>").alias("refuted"))
     links = refuted = None
     turn = 0
     while True:
-        dealt = _parts(members, points, turn == 0).select("part", "class", "comp", "n", "point", "refuted")
+        dealt = _parts(members, points, turn == 0).select("part", "cell", "class", "comp", "n", "point", "refuted")
         dealt = dealt.repartition("part").sortWithinPartitions("part")
         most = 4 ** min(turn, 10)
-        proposed = stored(dealt.mapInArrow(lambda x, most=most: _propose(x, percent, most), "a long, b long").distinct(), "proposed")
+        found = dealt.mapInArrow(lambda x, most=most: _propose(x, percent, most), "a long, b long, cell long")
+        found = stored(found.distinct(), "proposed")
+        proposed = found.where("cell IS NULL").select("a", "b")
         if turn and proposed.isEmpty():
             break
+        # The first round searches a split cell by its parts only, so it stays.
+        busy = found.where("cell IS NOT NULL").select("cell", F.lit(True).alias("busy"))
+        members = members.join(busy, "cell", "left").where(F.col("busy") | F.lit(turn == 0) & (F.col("m") > CELL)).drop("busy")
+        members = stored(members, "members")
         # A class offers its smallest partners over all cells: one at first, four times as many each turn.
         place = F.row_number().over(Window.partitionBy("b").orderBy("a"))
         offered = proposed.withColumn("k", place).where(F.col("k") <= most).select("a", "b")
