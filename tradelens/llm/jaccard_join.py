@@ -12,9 +12,10 @@ equal members (by 128 bits of hash) one is searched.  Every cell
 has an R-tree (a cell of up to ``FANOUT`` points is one leaf); a query point
 descends where the bound allows a link, and each point proposes its smallest
 surviving neighbours of other components (over all cells: one in the first
-round, four times as many in each later one).  Proposals are verified on the full
+round, ``MORE`` times as many in each later one).  Proposals are verified on the full
 sets, components are merged, and rounds follow until no pair is left that the
-bound allows, that is not connected and that was not refuted.  So no link is
+bound allows, that is not connected and that was not refuted (or a round has
+offered all such pairs).  So no link is
 lost, and a group of near copies proposes a few pairs per member, never all.
 Components only grow and refuted pairs stay so: a cell that was searched whole
 and had no such pair has none later and takes no part in the next rounds.
@@ -53,7 +54,7 @@ from tradelens.llm.flat import (
 from tradelens.llm.stored import stored
 
 SHINGLE, PERCENT = 4, 85
-GROUPS, FANOUT, CELL, HUB = 128, 16, 2000, 500
+GROUPS, FANOUT, CELL, HUB, MORE = 128, 16, 2000, 500, 32
 #: Measured bytes of verdicts and visits (a few per near copy) that may be broadcast.
 BROADCAST_LISTS = 16 << 20
 
@@ -195,7 +196,10 @@ class CountTree:
 
 
 def _propose(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Sorted members of whole cells (by part) -> pairs of classes to verify, and rows (null, null, cell) of the cells with pairs."""
+    """Sorted members of whole cells (by part) -> pairs of classes to verify.
+
+    Rows (null, null, cell) name the cells with pairs; a row of nulls says that pairs were held back.
+    """
 
     def flush(t: pa.Table) -> pa.RecordBatch:
         part = np.searchsorted(np.unique(t["part"].to_numpy()), t["part"].to_numpy())
@@ -224,8 +228,13 @@ def _propose(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iter
         new = np.r_[True, (b[1:] != b[:-1]) | (at[1:] != at[:-1])] if len(a) else np.zeros(0, bool)
         place = np.arange(len(a)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(a) else np.zeros(0, np.int64)
         ab = np.unique(np.stack([a[place < most], b[place < most]], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        pairs, cells = pa.nulls(len(ab), pa.int64()), pa.nulls(len(cell), pa.int64())
-        cols = ((pa.array(ab[:, 0]), cells), (pa.array(ab[:, 1]), cells), (pairs, pa.array(cell)))
+        held_back = [None] if (place >= most).any() else []
+        others = pa.nulls(len(cell) + len(held_back), pa.int64())
+        cols = (
+            (pa.array(ab[:, 0]), others),
+            (pa.array(ab[:, 1]), others),
+            (pa.nulls(len(ab), pa.int64()), pa.array([*cell.tolist(), *held_back], pa.int64())),
+        )
         return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols], ["a", "b", "cell"])
 
     held: list[pa.RecordBatch] = []
@@ -245,19 +254,19 @@ def _propose(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iter
         yield flush(pa.Table.from_batches(held).combine_chunks())
 
 
-def _parts(members: DataFrame, points: DataFrame, first: bool) -> DataFrame:
-    """Members of the cells that have several components, dealt to parts of bounded size."""
-    rows = members.join(points, "class")
-    if first:
-        part = F.xxhash64("cell", F.pmod(F.xxhash64("class"), F.greatest(F.lit(1), F.ceil(F.col("m") / CELL))))
-        return rows.withColumn("part", part)
-    per = rows.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("k"))
-    per = per.groupBy("cell").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    rows = rows.join(per.select("cell", "major"), "cell")
+def _parts(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """part, cell, class, comp: members of the cells that have several components, dealt to parts of bounded size."""
     n_parts = F.greatest(F.lit(1), F.ceil(F.col("m") / CELL)).cast("int")
-    own = F.array(F.pmod(F.xxhash64("class"), n_parts).cast("int"))
-    at = F.when(F.col("comp") == F.col("major"), own).otherwise(F.sequence(F.lit(0), n_parts - 1))
-    return rows.withColumn("_at", F.explode(at)).withColumn("part", F.xxhash64("cell", F.col("_at").cast("long"))).drop("_at", "major")
+    own = F.pmod(F.xxhash64("class"), n_parts).cast("int")
+    if roots is None:
+        rows = members.withColumn("comp", F.col("class")).withColumn("_at", own)
+    else:
+        rows = members.join(roots, "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
+        per = rows.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("k"))
+        per = per.groupBy("cell").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        at = F.when(F.col("comp") == F.col("major"), F.array(own)).otherwise(F.sequence(F.lit(0), n_parts - 1))
+        rows = rows.join(per.select("cell", "major"), "cell").withColumn("_at", F.explode(at))
+    return rows.select(F.xxhash64("cell", "_at").alias("part"), "cell", "class", "comp")
 
 
 def join_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -277,38 +286,42 @@ def join_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     many = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), *names).where("m > 1")
     many = many.groupBy("m", "x", "y").agg(F.min("cell").alias("cell")).select("cell", "m")
     members = stored(cells.join(many, "cell"), "members")
-    points = classes.select("class", "n", "point", F.col("class").alias("comp"), F.lit(None).cast("array<long>").alias("refuted"))
-    links = refuted = None
-    turn = 0
-    while True:
-        dealt = _parts(members, points, turn == 0).select("part", "cell", "class", "comp", "n", "point", "refuted")
-        dealt = dealt.repartition("part").sortWithinPartitions("part")
-        most = 4 ** min(turn, 10)
+    links = refuted = roots = None
+    turn, done = 0, False
+    while not done:
+        points = classes.select("class", "n", "point")
+        if refuted is None:
+            points = points.withColumn("refuted", F.lit(None).cast("array<long>"))
+        else:
+            points = points.join(refuted.groupBy(F.col("a").alias("class")).agg(F.collect_set("b").alias("refuted")), "class", "left")
+        # Names are dealt first; points join them once, on their way to the parts.
+        dealt = _parts(members, roots).join(points, "class").repartition("part").sortWithinPartitions("part")
+        most = MORE ** min(turn, 4)
         found = dealt.mapInArrow(lambda x, most=most: _propose(x, percent, most), "a long, b long, cell long")
         found = stored(found.distinct(), "proposed")
-        proposed = found.where("cell IS NULL").select("a", "b")
-        if turn and proposed.isEmpty():
-            break
-        # The first round searches a split cell by its parts only, so it stays.
-        busy = found.where("cell IS NOT NULL").select("cell", F.lit(True).alias("busy"))
-        members = members.join(busy, "cell", "left").where(F.col("busy") | F.lit(turn == 0) & (F.col("m") > CELL)).drop("busy")
-        members = stored(members, "members")
-        # A class offers its smallest partners over all cells: one at first, four times as many each turn.
+        proposed = found.where("a IS NOT NULL").select("a", "b")
+        # A class offers its smallest partners over all cells.
         place = F.row_number().over(Window.partitionBy("b").orderBy("a"))
-        offered = proposed.withColumn("k", place).where(F.col("k") <= most).select("a", "b")
+        offered = stored(proposed.withColumn("k", place).where(F.col("k") <= most).select("a", "b"), "offered")
+        n_proposed, n_held = found.agg(F.count("a"), F.count_if(F.coalesce("a", "cell").isNull())).first()
+        n_offered = offered.count()
+        # The first round searches split cells by their parts only; later ones search all.
+        done = turn > 0 and n_held == 0 and n_offered == n_proposed
+        if turn and not n_offered:
+            break
+        if not done:
+            busy = found.where("a IS NULL AND cell IS NOT NULL").select("cell", F.lit(True).alias("busy"))
+            members = members.join(busy, "cell", "left").where(F.col("busy") | F.lit(turn == 0) & (F.col("m") > CELL)).drop("busy")
+            members = stored(members, "members")
         checked = stored(_verified(rows, classes, offered, width, percent).distinct(), "checked")
         new = checked.where("linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
         no = checked.where(~F.col("linked")).select("a", "b")
         refuted = no if refuted is None else refuted.unionByName(no)
         roots = stored(components(links).withColumnRenamed("node", "class"), "roots")
-        against = refuted.groupBy(F.col("a").alias("class")).agg(F.collect_set("b").alias("refuted"))
-        points = (
-            classes.select("class", "n", "point").join(roots, "class", "left").join(against, "class", "left")
-            .select("class", "n", "point", F.coalesce("root", "class").alias("comp"), "refuted")
-        )
         turn += 1
-    named = classes.select("class", "low").join(points.select("class", "comp"), "class")
+    points = classes.select("class").join(roots, "class", "left").select("class", F.coalesce("root", "class").alias("comp"))
+    named = classes.select("class", "low").join(points, "class")
     lows = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     named = named.join(lows, "comp").select("class", "component_id", F.col("comp").alias("group"))
     out = full.select("doc_id", "text_hash", "n", "class").join(named, "class")
