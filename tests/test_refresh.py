@@ -34,6 +34,10 @@ def test_refresh_builds_and_tests_every_layer(spark, tmp_dir):
     # Running the refresh again gives the same tables.
     again = run_refresh(spark, f"{tmp_dir}/landing", f"{tmp_dir}/wh")
     assert again.table_rows() == result.table_rows()
+    # A part of the datasets is reloaded beside the raw tables already published.
+    part = run_refresh(spark, f"{tmp_dir}/landing", f"{tmp_dir}/wh", datasets=["sellers"])
+    assert list(part.raw_rows) == ["raw.sellers"]
+    assert part.model_rows == result.model_rows
 
 
 def test_validation_error_loads_nothing(spark, tmp_dir):
@@ -45,6 +49,13 @@ def test_validation_error_loads_nothing(spark, tmp_dir):
     assert not os.path.exists(f"{tmp_dir}/wh")
 
 
+def test_part_of_the_datasets_needs_the_others_published(spark, tmp_dir):
+    land(raw_tables(spark), f"{tmp_dir}/landing")
+    with pytest.raises(FileNotFoundError, match="no published version"):
+        run_refresh(spark, f"{tmp_dir}/landing", f"{tmp_dir}/wh", datasets=["sellers"])
+    assert not os.path.exists(f"{tmp_dir}/wh")
+
+
 def test_missing_source_file_fails_before_reading(spark, tmp_dir):
     raw = raw_tables(spark)
     land({"orders": raw["orders"]}, f"{tmp_dir}/landing")

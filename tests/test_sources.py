@@ -78,6 +78,58 @@ def test_quoted_newlines_and_quotes_stay_one_record(spark, tmp_dir):
     assert got == [("r1", "o1", 'line one\nline "two"'), ("r2", "o2", "plain")]
 
 
+def test_no_break_spaces_are_trimmed(spark, tmp_dir):
+    write(tmp_dir, ORDERS, "order_id,customer_id\n\u00a0o1\u00a0,\u2003c1 \n")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        df = csv_source.extract_dataset(spark, ORDERS, data_dir=tmp_dir, trim_string_columns=True)
+    assert [tuple(r) for r in df.collect()] == [("o1", "c1")]
+
+
+@pytest.mark.parametrize("row", ["s2,2,rio, de janeiro,RJ", "s3,3"])
+@pytest.mark.parametrize("dataset", ["sellers", "order_reviews"])
+def test_ragged_rows_stop_the_read(spark, tmp_dir, dataset, row):
+    write(tmp_dir, CONTRACTS[dataset].csv_filename, f"a,b,c,d\ns1,1,x,SP\n{row}\n")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        df = csv_source.extract_dataset(spark, dataset, data_dir=tmp_dir, check_empty=False)
+    with pytest.raises(Exception, match="MALFORMED_RECORD_IN_PARSING|Malformed"):
+        df.select("a").collect()
+
+
+def test_every_file_of_a_dataset_has_the_same_header(spark, tmp_dir):
+    folder = os.path.join(tmp_dir, CONTRACTS["sellers"].csv_filename)
+    os.mkdir(folder)
+    write(folder, "a.csv", "seller_id,seller_zip_code_prefix\ns1,1\n")
+    write(folder, "b.csv", "SELLER_ID,seller_zip_code_prefix\ns2,2\n")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        df = csv_source.extract_dataset(spark, "sellers", data_dir=tmp_dir)
+        assert sorted(tuple(r) for r in df.collect()) == [("s1", "1"), ("s2", "2")]
+        write(folder, "c.csv", "seller_zip_code_prefix,seller_id\n3,s3\n")
+        df = csv_source.extract_dataset(spark, "sellers", data_dir=tmp_dir, check_empty=False)
+    with pytest.raises(Exception, match="header"):
+        df.collect()
+
+
+def test_a_large_file_is_split_unless_it_holds_free_text(spark, tmp_dir):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        n = {}
+        for dataset in ("order_items", "order_reviews"):
+            c = CONTRACTS[dataset]
+            names = c.expected_columns
+            lines = (",".join(f"{k}" for _ in names) for k in range(20_000))
+            write(tmp_dir, c.csv_filename, "\n".join([",".join(names), *lines]) + "\n")
+            df = csv_source.extract_dataset(spark, dataset, data_dir=tmp_dir)
+            assert df.count() == 20_000
+            n[dataset] = df.rdd.getNumPartitions()
+        assert n["order_items"] > 4 and n["order_reviews"] == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_typed_projection_counts_rejects(spark):
     c = CONTRACTS["order_items"]
     df = spark.createDataFrame(

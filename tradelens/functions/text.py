@@ -23,7 +23,7 @@ def clean_id(c: str | Column) -> Column:
 
 
 def strip_ws(c: str | Column) -> Column:
-    """Strip every leading and trailing whitespace character (spaces, tabs, newlines)."""
+    """Strip every leading and trailing whitespace character (Unicode's, so U+00A0 too)."""
     if isinstance(c, str):
-        return F.expr(f"regexp_replace({_ref(c)}, '^\\\\s+|\\\\s+$', '')")
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+        return F.expr(f"regexp_replace({_ref(c)}, '(?U)^\\\\s+|\\\\s+$', '')")
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradelens.contracts import CONTRACTS
+from tradelens.contracts import CONTRACTS, contract_for
 from tradelens.operators.checks import GOLD_TESTS, SILVER_TESTS, assert_suite, run_suite
 from tradelens.operators.quality import QualityReport
 from tradelens.plans.models import LINEAGE, MODEL_ORDER, SILVER, build_model, qualified
@@ -77,8 +77,8 @@ def _stage(spark: SparkSession, name: str, df: DataFrame, paths: list[str]) -> D
     if not df.columns:
         return df
     path = scratch_path(spark, f"stage-{name}")
-    df.write.parquet(path)
     paths.append(path)
+    df.write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -117,6 +117,43 @@ def publish_layer(spark: SparkSession, warehouse: str, names: Iterable[str],
             env[name] = read_table(spark, warehouse, qualified(name))
 
 
+def _load_raw(spark: SparkSession, extracted: dict[str, DataFrame], warehouse: str,
+              result: RefreshResult) -> dict[str, DataFrame]:
+    """Stage, validate and reload the extracted datasets; the published raw tables."""
+    # CSV is read once into columnar text, so the validation and the load below
+    # scan Parquet, not the CSV again.
+    staged: list[str] = []
+    try:
+        extracted = run_concurrently(
+            {name: (lambda n=name, df=df: _stage(spark, n, df, staged))
+             for name, df in extracted.items()}
+        )
+
+        logger.info("Step 3/6 — validating")
+        report = validate_extracted(extracted)
+        report.log_summary()
+        report.raise_for_errors()
+        result.warnings = report.warnings
+
+        logger.info("Step 4/6 — loading raw tables")
+        loaded = run_concurrently(
+            {
+                name: (lambda n=name, df=df: load_dataset(typed_view(df, CONTRACTS[n]), CONTRACTS[n],
+                                                          warehouse))
+                for name, df in extracted.items()
+            }
+        )
+    finally:  # also where a check stops the run
+        for path in staged:
+            delete_path(spark, path)
+    raw = {}
+    for name in extracted:
+        table = CONTRACTS[name].destination_table
+        result.raw_rows[table] = loaded[name]
+        raw[f"raw.{name}"] = read_table(spark, warehouse, table)
+    return raw
+
+
 def run_refresh(
     spark: SparkSession,
     source_dir: str,
@@ -126,8 +163,14 @@ def run_refresh(
     trim_string_columns: bool = False,
 ) -> RefreshResult:
     """Refresh everything from the CSV landing folder into the warehouse folder."""
-    names = list(CONTRACTS) if datasets is None else list(datasets)
+    names = [contract_for(n).name for n in (CONTRACTS if datasets is None else datasets)]
     result = RefreshResult()
+    # Datasets that are not reloaded come from the warehouse; one that is missing
+    # there ends the run before anything is written.
+    env = {
+        f"raw.{n}": read_table(spark, warehouse, c.destination_table)
+        for n, c in CONTRACTS.items() if n not in names
+    }
 
     logger.info("Step 1/6 — checking source files")
     validate_required_files(spark, names, data_dir=source_dir)
@@ -137,35 +180,7 @@ def run_refresh(
         spark, names, data_dir=source_dir, trim_string_columns=trim_string_columns
     )
 
-    # multiLine CSV is read once into columnar text (one task per file), so the
-    # validation and the load below scan Parquet, not the CSV again.
-    staged: list[str] = []
-    extracted = run_concurrently(
-        {name: (lambda n=name, df=df: _stage(spark, n, df, staged))
-         for name, df in extracted.items()}
-    )
-
-    logger.info("Step 3/6 — validating")
-    report = validate_extracted(extracted)
-    report.log_summary()
-    report.raise_for_errors()
-    result.warnings = report.warnings
-
-    logger.info("Step 4/6 — loading raw tables")
-    env: dict[str, DataFrame] = {}
-    loaded = run_concurrently(
-        {
-            name: (lambda n=name, df=df: load_dataset(typed_view(df, CONTRACTS[n]), CONTRACTS[n],
-                                                      warehouse))
-            for name, df in extracted.items()
-        }
-    )
-    for name in extracted:
-        table = CONTRACTS[name].destination_table
-        result.raw_rows[table] = loaded[name]
-        env[f"raw.{name}"] = read_table(spark, warehouse, table)
-    for path in staged:  # the raw tables are published; the staged text is done
-        delete_path(spark, path)
+    env |= _load_raw(spark, extracted, warehouse, result)
 
     logger.info("Step 5/6 — silver models and tests")
     silver = [m for m in MODEL_ORDER if LINEAGE[m][0] == SILVER]
