@@ -263,3 +263,33 @@ def test_pipeline_near_copies(spark):
     df = table(spark, [(i, " ".join(w)) for i, w in enumerate(texts)])
     assert sorted(r.doc_id for r in corpus_pipeline.stage_jaccard_join(spark, df, None).collect()) == [0, 2, 3]
     assert jaccard_join.one_of_each(df).count() == 4
+
+
+def test_hmm_states_differ(spark):
+    """Few training texts, each of words that follow one another: every round learns from all, states stay apart."""
+    for n in (1, 3, 20):
+        rows = [(i, np.tile(np.array([0, 1, 2, 3], "<u2"), 30).tobytes()) for i in range(n)]
+        seqs = spark.createDataFrame(rows, "doc_id long, seq binary")
+        start = hmm_lm.initial()
+        seen = [np.frombuffer(rows[0][1], "<u2")]
+        hmm = hmm_lm.train(seqs)
+        assert abs(hmm.emit - hmm.emit[:, :1]).max() > 0.05
+        assert hmm_lm.log_likelihood(seen, hmm)[0] > hmm_lm.log_likelihood(seen, start)[0]
+    none = hmm_lm.train(seqs.limit(0))
+    assert (none.emit == start.emit).all() and (none.move == start.move).all()
+
+
+def test_hmm_rounds_read_all_rows(spark):
+    """Rounds over many rows equal rounds over all of them in plain steps."""
+    rng = np.random.default_rng(3)
+    seqs = [rng.integers(0, 6, 12).astype("<u2") for _ in range(40)]
+    df = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(seqs)], "doc_id long, seq binary")
+    hmm = hmm_lm.initial()
+    for _ in range(hmm_lm.ROUNDS):
+        start, move, emit = hmm_lm.baum_welch_counts(seqs, hmm)
+        overall = emit.sum(axis=1, keepdims=True) + 0.5
+        emit = emit + 20.0 * overall / overall.sum()
+        start, move = start + 0.1, move + 0.1
+        hmm = hmm_lm.Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    got = hmm_lm.train(df)
+    assert np.allclose(got.emit, hmm.emit) and np.allclose(got.move, hmm.move) and np.allclose(got.start, hmm.start)

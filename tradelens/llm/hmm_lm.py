@@ -7,8 +7,8 @@ are looked up by a join.  A state emits one of ``SYMBOLS`` words, the end, or a
 class of the remaining words (by their last letters); within a class a word
 has its smoothed share of the class's counts.
 
-Each round's expected counts are summed per partition and then by Spark, and
-cover more of the training texts, the last one all of them.  Scoring is the
+Each round's expected counts cover all training texts; they are summed per
+partition and then by Spark.  Scoring is the
 scaled forward recursion over the whole text: the exact likelihood.  Sequences
 of over ``LONGEST`` tokens are trained on in consecutive parts (never scored so).
 
@@ -35,8 +35,8 @@ from tradelens.llm.stored import stored
 
 COMMON, SYMBOLS, CLASSES = 1 << 18, 1 << 13, 1 << 11
 STATES = 8
-#: Share of the training texts that each round reads.
-ROUNDS = (1 / 32, 1 / 32, 1 / 32, 1 / 16, 1 / 16, 1 / 8, 1 / 4, 1.0)
+#: Baum-Welch rounds; each reads all training texts.
+ROUNDS = 8
 LONGEST = 1 << 20
 _FLUSH = 300_000
 
@@ -156,28 +156,33 @@ def baum_welch_counts(seqs: list[np.ndarray], hmm: Hmm) -> tuple[np.ndarray, np.
     """Expected start, move and emission counts of the sequences."""
     _, flat, first = _padded(seqs)
     steps = len(first) - 1
-    emitted = hmm.emit[flat]
+    # States are rows here: sums and products run over consecutive tokens.
+    emitted = np.take(np.ascontiguousarray(hmm.emit.T), flat, axis=1)
+    step = np.ascontiguousarray(hmm.move.T)
     alpha, scale = np.empty_like(emitted), np.empty(len(flat))
     for t in range(steps):
         a, b = first[t], first[t + 1]
-        now = hmm.start * emitted[a:b] if not t else (alpha[first[t - 1] : first[t - 1] + b - a] @ hmm.move) * emitted[a:b]
-        scale[a:b] = now.sum(axis=1)
-        alpha[a:b] = now / scale[a:b, None]
+        now = alpha[:, a:b]
+        before = step @ alpha[:, first[t - 1] : first[t - 1] + b - a] if t else hmm.start[:, None]
+        np.multiply(before, emitted[:, a:b], out=now)
+        scale[a:b] = 1.0 / now.sum(axis=0)
+        now *= scale[a:b]
     move = np.zeros((STATES, STATES))
-    beta = np.ones((0, STATES))
+    beta = np.ones((STATES, 0))
     for t in range(steps - 1, -1, -1):
         a, b = first[t], first[t + 1]
-        back = np.ones((b - a, STATES))
+        back = np.ones((STATES, b - a))
         if t + 1 < steps:
             c, d = first[t + 1], first[t + 2]
-            later = emitted[c:d] * beta / scale[c:d, None]
-            move += alpha[a : a + d - c].T @ later
-            back[: d - c] = later @ hmm.move.T
+            later = emitted[:, c:d] * beta
+            later *= scale[c:d]
+            move += alpha[:, a : a + d - c] @ later.T
+            np.matmul(hmm.move, later, out=back[:, : d - c])
         beta = back
-        alpha[a:b] *= back
-    gamma = alpha / alpha.sum(axis=1, keepdims=True)
-    emit = np.stack([np.bincount(flat, gamma[:, k], minlength=len(hmm.emit)) for k in range(STATES)], axis=1)
-    return gamma[: first[1]].sum(axis=0), move * hmm.move, emit
+        alpha[:, a:b] *= back
+    alpha /= alpha.sum(axis=0)
+    emit = np.stack([np.bincount(flat, g, minlength=len(hmm.emit)) for g in alpha], axis=1)
+    return alpha[:, : first[1]].sum(axis=1), move * hmm.move, emit
 
 
 def _symbols(texts: DataFrame, lex: Lexicon) -> DataFrame:
@@ -241,14 +246,13 @@ def _groups(b: pa.RecordBatch, most: int, column: str = "seq") -> Iterator[tuple
         yield first, rows
 
 
-def train(seqs: DataFrame, rounds: tuple[float, ...] = ROUNDS) -> Hmm:
-    """Baum-Welch over ``seq`` (16-bit symbols); each round reads the given share of the rows."""
+def train(seqs: DataFrame, rounds: int = ROUNDS) -> Hmm:
+    """Baum-Welch over ``seq`` (16-bit symbols); each round reads all rows.  Without a row the initial model stays."""
     hmm = initial()
     spark = seqs.sparkSession
     size = len(hmm.emit)
     sums = [F.sum(f"g{k}").alias(f"g{k}") for k in range(STATES)]
-    place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) / (1 << 20)
-    for k, share in enumerate(rounds):
+    for _ in range(rounds):
         shared = spark.sparkContext.broadcast(hmm)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -264,8 +268,9 @@ def train(seqs: DataFrame, rounds: tuple[float, ...] = ROUNDS) -> Hmm:
             at = np.flatnonzero(total.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *[pa.array(total[at, k]) for k in range(STATES)]], ["at", *[f"g{k}" for k in range(STATES)]])
 
-        rows = seqs.where(place < share) if k < len(rounds) - 1 else seqs
-        got = rows.select("seq").mapInArrow(expect, "at int, " + ", ".join(f"g{k} double" for k in range(STATES))).groupBy("at").agg(*sums).toArrow()
+        got = seqs.select("seq").mapInArrow(expect, "at int, " + ", ".join(f"g{k} double" for k in range(STATES))).groupBy("at").agg(*sums).toArrow()
+        if not got.num_rows:
+            break
         total = np.zeros((size + STATES + 1, STATES))
         total[got["at"].to_numpy()] = np.stack([got[f"g{k}"].to_numpy() for k in range(STATES)], axis=1)
         emit, move, start = total[:size], total[size:-1], total[-1]
