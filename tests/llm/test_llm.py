@@ -293,3 +293,37 @@ def test_hmm_rounds_read_all_rows(spark):
         hmm = hmm_lm.Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
     got = hmm_lm.train(df)
     assert np.allclose(got.emit, hmm.emit) and np.allclose(got.move, hmm.move) and np.allclose(got.start, hmm.start)
+
+
+def test_jaccard_blocks_are_bounded(spark, monkeypatch):
+    """A passage shared by otherwise different documents: no part outgrows two blocks, each pair of blocks is in one part."""
+    monkeypatch.setattr(jaccard_join, "CELL", 10)
+    members = spark.createDataFrame([(7, i, 200) for i in range(200)] + [(8, i, 4) for i in range(4)], "cell long, class long, m long")
+    roots = spark.createDataFrame([(i, 0) for i in range(30)], "class long, root long")
+    rows = [(r.part, r.side, r["class"], r.cell, r.comp) for r in jaccard_join._parts(members, roots).collect()]
+    parts = {}
+    for part, side, name, cell, comp in rows:
+        parts.setdefault((cell, part), []).append((side, name, comp))
+    assert max(len(x) for x in parts.values()) <= 50  # blocks are dealt by hash
+    met = Counter()
+    for (cell, _), x in parts.items():
+        for s, a, ca in x:
+            for t, b, cb in x:
+                if (a < b and s == t == 2 or (s, t) == (0, 1)) and ca != cb:
+                    met[cell, min(a, b), max(a, b)] += 1
+    want = {(7, a, b) for a in range(200) for b in range(a + 1, 200) if b >= 30}
+    assert set(met) == want and set(met.values()) == {1}
+
+
+def test_jaccard_shared_passage(spark, monkeypatch):
+    """Near copies among documents of one shared passage are found with the passage's shingles last or not."""
+    rng = random.Random(21)
+    passage = prose(rng, 60)
+    texts = [prose(rng, 40, "klmnop") + " " + passage for _ in range(80)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, texts[i] + " end") for i in range(0, 80, 4)]
+    df, want = table(spark, rows), brute.components(rows)
+    for orders in (1, 3):
+        monkeypatch.setattr(jaccard_join, "CELL", 10)
+        monkeypatch.setattr(jaccard_join, "ORDERS", orders)
+        got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join_components(df).collect()], key=str)
+        assert got == want

@@ -20,8 +20,12 @@ lost, and a group of near copies proposes a few pairs per member, never all.
 Components only grow and refuted pairs stay so: a cell that was searched whole
 and had no such pair has none later and takes no part in the next rounds.
 
-A cell of over ``CELL`` points is split: first each part by itself; later its
-members of the commonest component stay in parts and the few others visit all.
+A cell of over ``CELL`` points is dealt to blocks of about ``CELL``: first each
+block is searched by itself; later the members of the commonest component have
+blocks of their own, and each block of the others meets itself and every other
+block once, a pair of blocks in one part.  A shingle that many sets hold makes
+such a cell where it is in their prefixes, so shingles found to make one come
+last in the order that prefixes are taken from (any order finds all links).
 
 Null text and text without a word have an empty set and link with nothing; a
 text of fewer words than a shingle is one shingle; rows with equal sets share
@@ -55,6 +59,8 @@ from tradelens.llm.stored import stored
 
 SHINGLE, PERCENT = 4, 85
 GROUPS, FANOUT, CELL, HUB, MORE = 128, 16, 2000, 500, 32
+#: Orders of shingles tried at most, and commonest shingles put last by each (8 bytes each, shipped to tasks).
+ORDERS, COMMON = 3, 1 << 16
 #: Measured bytes of verdicts and visits (a few per near copy) that may be broadcast.
 BROADCAST_LISTS = 16 << 20
 
@@ -86,7 +92,8 @@ def _row_ids(b: pa.RecordBatch, lo: int, hi: int) -> list[pa.Array]:
     return [b.column(c).slice(lo, hi - lo) for c in ("doc_id", "text_hash")]
 
 
-def _points(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _points(batches: Iterator[pa.RecordBatch], width: int, percent: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows with their points and prefixes; ``common`` shingles come last in a prefix's order."""
     for b in batches:
         buf, offsets = flat_text(b.column("text"))
         for lo, hi in doc_slices(offsets):
@@ -97,7 +104,8 @@ def _points(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
             name = mix64(total[first[1:]] - total[first[:-1]] + n.astype(np.uint64)).view(np.int64)
             take = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
             place = np.arange(len(h)) - first[row]
-            cells = h[place < take[row]].view(np.int64)
+            ranked = h[np.lexsort((h, np.isin(h, common), row))] if len(common) else h
+            cells = ranked[place < take[row]].view(np.int64)
             counts = np.bincount(row * GROUPS + (mix64(h) % np.uint64(GROUPS)).astype(np.int64), minlength=len(n) * GROUPS)
             points = counts.astype("<u4").reshape(-1, GROUPS)
             yield pa.RecordBatch.from_arrays(
@@ -148,10 +156,11 @@ class CountTree:
     """R-trees over the points of many cells: each level boxes runs of ``FANOUT`` nodes of a cell.
 
     Points are sorted by cell and size.  A node keeps the largest count of
-    every group and the smallest and largest size below it.
+    every group and the smallest and largest size below it.  ``target`` is the
+    cell that a point searches: its own, an earlier one, or -1 for none.
     """
 
-    def __init__(self, cell: np.ndarray, size: np.ndarray, points: np.ndarray, percent: int) -> None:
+    def __init__(self, cell: np.ndarray, target: np.ndarray, size: np.ndarray, points: np.ndarray, percent: int) -> None:
         self.percent = percent
         self.size, self.points = size, points
         self.levels = []  # (child of node, box, least size, largest size), leaves first
@@ -166,21 +175,23 @@ class CountTree:
             _, box, low, high = self.levels[-1]
             if len(np.unique(owner)) == len(owner):
                 break
-        self.root = np.searchsorted(owner, cell)
+        self.queries = np.flatnonzero(np.isin(target, owner))
+        self.root = np.searchsorted(owner, target[self.queries])
+        self.own = target == cell
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs i < j of one cell whose bound reaches the similarity."""
+        """Pairs of a point and one of its target cell whose bound reaches the similarity, each once."""
         step = 2_000
-        for a in range(0, len(self.size), step):
-            query, node = np.arange(a, min(a + step, len(self.size))), self.root[a : a + step]
+        for a in range(0, len(self.queries), step):
+            query, node = self.queries[a : a + step], self.root[a : a + step]
             for children, box, low, high in reversed(self.levels):
                 ok = self._reach(query, node, box, low, high)
                 query, node = query[ok], node[ok]
                 n = children[node + 1] - children[node]
                 query = np.repeat(query, n)
                 node = np.repeat(children[node] - np.cumsum(n) + n, n) + np.arange(len(query))
-            later = node > query
-            query, node = query[later], node[later]
+            once = (node > query) | ~self.own[query]
+            query, node = query[once], node[once]
             ok = self._reach(query, node, self.points, self.size, self.size)
             yield query[ok], node[ok]
 
@@ -209,11 +220,13 @@ def _propose(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iter
         points = np.empty((len(raw), GROUPS), np.uint16 if widest < 4 else np.uint32)
         for k, x in enumerate(raw):
             points[k] = np.frombuffer(x, f"<u{len(x) // GROUPS}")
-        order = np.lexsort((name, size, part))
-        part, size, name, comp, cell, points = part[order], size[order], name[order], comp[order], cell[order], points[order]
+        side = t["side"].to_numpy()  # 0 is searched by 1, 2 by itself
+        order = np.lexsort((name, size, side, part))
+        part, side, size, name, comp, cell, points = part[order], side[order], size[order], name[order], comp[order], cell[order], points[order]
         refuted = {int(name[k]): set(x) for k, x in enumerate(t["refuted"].take(pa.array(order)).to_pylist()) if x}
         left, right = [], []
-        for i, j in CountTree(part, size, points, percent).pairs():
+        target = np.where(side == 0, -1, np.where(side == 1, 3 * part, 3 * part + 2))
+        for i, j in CountTree(3 * part + side, target, size, points, percent).pairs():
             other = (comp[i] != comp[j]) & (name[i] != name[j])
             left.append(i[other])
             right.append(j[other])
@@ -255,32 +268,50 @@ def _propose(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iter
 
 
 def _parts(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """part, cell, class, comp: members of the cells that have several components, dealt to parts of bounded size."""
-    n_parts = F.greatest(F.lit(1), F.ceil(F.col("m") / CELL)).cast("int")
-    own = F.pmod(F.xxhash64("class"), n_parts).cast("int")
+    """part, side, cell, class, comp: members of the cells that have several components, dealt to parts of bounded size.
+
+    A part is a small cell or a block, searched by itself (side 2), or a pair
+    of blocks of a split cell, of which one (1) searches the other (0).
+    """
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / CELL)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
     if roots is None:
-        rows = members.withColumn("comp", F.col("class")).withColumn("_at", own)
+        rows = members.withColumn("comp", F.col("class")).withColumn("_b", blocks("m")).withColumn("_x", own("_b"))
+        rows = rows.withColumn("_y", F.col("_x")).withColumn("side", F.lit(2))
     else:
         rows = members.join(roots, "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
         per = rows.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("k"))
-        per = per.groupBy("cell").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        at = F.when(F.col("comp") == F.col("major"), F.array(own)).otherwise(F.sequence(F.lit(0), n_parts - 1))
-        rows = rows.join(per.select("cell", "major"), "cell").withColumn("_at", F.explode(at))
-    return rows.select(F.xxhash64("cell", "_at").alias("part"), "cell", "class", "comp")
+        per = per.groupBy("cell").agg(F.max_by(F.struct("comp", "k"), F.struct("k", "comp")).alias("e"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("comps"))
+        per = per.where("comps > 1").select("cell", F.col("e.comp").alias("major"), F.col("m").alias("_m"), (F.col("m") - F.col("e.k")).alias("_o"), F.col("e.k").alias("_k"))
+        per = per.withColumn("_bo", F.when(F.col("_m") <= CELL, 1).otherwise(blocks("_o"))).withColumn("_bk", F.when(F.col("_m") <= CELL, 0).otherwise(blocks("_k")))
+        # Blocks 0 to _bo - 1 are the others', the rest the commonest component's; whole cells have block 0 only.
+        rows = rows.join(per, "cell").withColumn("_large", (F.col("comp") == F.col("major")) & (F.col("_bk") > 0))
+        rows = rows.withColumn("_x", F.when(F.col("_large"), F.col("_bo") + F.pmod(F.xxhash64("class"), F.greatest("_bk", F.lit(1)))).otherwise(own("_bo")).cast("int"))
+        last = F.when(F.col("_large"), F.col("_bo") - 1).otherwise(F.col("_bo") + F.col("_bk") - 1)
+        rows = rows.withColumn("_y", F.explode(F.sequence(F.lit(0), last)))
+        rows = rows.withColumn("side", F.when(F.col("_x") == F.col("_y"), 2).when(F.col("_x") < F.col("_y"), 0).otherwise(1))
+    return rows.select(F.xxhash64("cell", F.least("_x", "_y"), F.greatest("_x", "_y")).alias("part"), "side", "cell", "class", "comp")
 
 
 def join_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id (smallest doc_id of linked documents), group of every row."""
     rows = row_key(docs)
     schema = "doc_id long, text_hash long, n long, class long, cells array<long>, point binary"
-    seen = stored(rows.mapInArrow(lambda x: _points(x, width, percent), schema), "points")
-    full = seen.where("n > 0")
-    classes = full.groupBy("class").agg(
-        F.min("doc_id").alias("low"), F.min_by(F.struct("doc_id", "text_hash"), F.struct("doc_id", "text_hash")).alias("one"), F.first("n").alias("n"),
-        F.first("cells").alias("cells"), F.first("point").alias("point"),
-    )
-    classes = stored(classes, "classes")
-    cells = classes.select(F.explode("cells").alias("cell"), "class")
+    common = np.zeros(0, np.uint64)
+    for k in range(ORDERS):
+        seen = stored(rows.mapInArrow(lambda x, common=common: _points(x, width, percent, common), schema), "points")
+        full = seen.where("n > 0")
+        classes = full.groupBy("class").agg(
+            F.min("doc_id").alias("low"), F.min_by(F.struct("doc_id", "text_hash"), F.struct("doc_id", "text_hash")).alias("one"), F.first("n").alias("n"),
+            F.first("cells").alias("cells"), F.first("point").alias("point"),
+        )
+        classes = stored(classes, "classes")
+        cells = classes.select(F.explode("cells").alias("cell"), "class")
+        if k < ORDERS - 1:
+            large = cells.groupBy("cell").count().where(F.col("count") > CELL).orderBy(F.desc("count"), "cell").limit(COMMON).toArrow()
+            if not large.num_rows:
+                break
+            common = np.union1d(common, large["cell"].to_numpy().view(np.uint64))
     # A class is once in a cell, so exclusive ors name the members; most cells of a pair of near copies hold just them.
     names = [F.bit_xor("class").alias("x"), F.bit_xor(F.xxhash64("class")).alias("y")]
     many = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), *names).where("m > 1")
