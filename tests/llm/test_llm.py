@@ -327,3 +327,12 @@ def test_jaccard_shared_passage(spark, monkeypatch):
         monkeypatch.setattr(jaccard_join, "ORDERS", orders)
         got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join_components(df).collect()], key=str)
         assert got == want
+
+
+def test_language_fit_reads_long_runs_whole(spark):
+    """Only the first part of the run has the letter a; the fit counts the rest as well."""
+    path = queries.vocabulary(queries.PIECE_VOCABULARY)
+    model = language_id.fit(spark.createDataFrame([(0, "a" * 39 + "z" * 400, "l")], "doc_id long, text string, lang string"), path)
+    names = language_id.Pieces(path).names
+    mass = lambda c: sum(model.table[i, 0] for i, n in enumerate(names) if set(n) == {c})
+    assert mass("z") > mass("a")

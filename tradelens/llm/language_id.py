@@ -9,8 +9,8 @@ of that word table.
 
 The fit uses a bounded sample of labelled documents per language (a hash of the
 id picks them); prediction covers every whole text.  Words are runs between
-white space without their non-letters, in lower case; a longer word is scored
-in parts of ``LONGEST`` characters.
+white space without their non-letters, in lower case; a longer word is fitted
+on and scored in parts of ``LONGEST`` characters, the mark of its start included.
 
 Null text, and text without a letter, is ``und`` with score 0; rows with null
 language are predicted but not learned from; with nothing to learn every row is
@@ -168,7 +168,8 @@ def fit(labelled: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS, ro
                 words: Counter = Counter()
                 for chunk, n in raw.items():
                     if w := letters(chunk):
-                        words[w[:LONGEST]] += n
+                        for part in word_parts(w):
+                            words[part] += n
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())],
                     ["lang", "word", "n"],
@@ -187,7 +188,7 @@ def fit(labelled: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS, ro
             total = np.zeros_like(model.table)
             for b in batches:
                 lang, n = np.array(b.column("lang").to_pylist()), b.column("n").to_numpy()
-                words = [MARK + w for w in b.column("word").to_pylist()]
+                words = b.column("word").to_pylist()
                 for j, name in enumerate(model.languages):
                     own = np.flatnonzero(lang == name)
                     for at, lattice in pieces.lattices([words[i] for i in own]):
