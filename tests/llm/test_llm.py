@@ -336,3 +336,10 @@ def test_language_fit_reads_long_runs_whole(spark):
     names = language_id.Pieces(path).names
     mass = lambda c: sum(model.table[i, 0] for i, n in enumerate(names) if set(n) == {c})
     assert mass("z") > mass("a")
+
+
+def test_largest_source_is_whole(spark):
+    """Token counts where doubles fall short of the largest source's own count."""
+    top, z = next((t, z) for t in range(30_000_000_001, 30_000_001_000) for z in (1.1, 1.3, 1.7) if math.floor((1 / z) * (t * z) + 1e-6) < t)
+    sources = spark.createDataFrame([(top, 1 / z), (5, 1e-12), (0, 0.0)], "tokens long, weight double")
+    assert sorted(r.budget for r in sources.select(mixing._budget(top * z, top).alias("budget")).collect()) == [0, 5, top]

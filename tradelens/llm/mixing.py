@@ -92,6 +92,13 @@ def _bisect(sources: DataFrame, target_entropy: float | None, max_repeats: float
     return lo if target_entropy is not None else hi
 
 
+def _budget(spend: float, top: int | None) -> Column:
+    """Whole tokens of a source's share of ``spend``; with ``top`` that source is taken exactly once and none less."""
+    # A millionth of a token keeps rounding from taking a whole epoch's last document.
+    share = F.floor(F.col("weight") * spend + 1e-6).cast("long")
+    return share if top is None else F.when(F.col("tokens") == top, F.col("tokens")).otherwise(F.greatest("tokens", share))
+
+
 def plan_mix(
     docs: DataFrame,
     target_entropy_share: float | None = None,
@@ -123,8 +130,7 @@ def plan_mix(
     z = sources.where("tokens > 0").agg(F.sum(F.exp(exponent * F.col("l")))).first()[0] or 1.0
     spend = float(top) * z if budget is None else budget
     sources = sources.withColumn("weight", F.when(F.col("tokens") > 0, F.exp(exponent * F.col("l")) / z).otherwise(0.0))
-    # A millionth of a token keeps rounding from taking a whole epoch's last document.
-    sources = sources.withColumn("budget", F.floor(F.col("weight") * spend + 1e-6).cast("long")).withColumn(
+    sources = sources.withColumn("budget", _budget(spend, top if budget is None else None)).withColumn(
         "epochs", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1).cast("int")
     )
     sources = sources.withColumn("part", F.when(F.col("tokens") > 0, F.col("budget") - F.col("epochs") * F.col("tokens")).otherwise(-1)).withColumn(
