@@ -168,6 +168,7 @@ def test_hard_negatives(spark, monkeypatch, blocks):
     rows += [(100, [], None, "x", 1, 2), (200, None, 1, "x", 1, 2), (300, [1.0, None, 0.0, 0.0, 0.0], 1, "x", 1, 2), (None, vectors[1], 1, "x", 1, 2)]
     rows += [(400, [math.nan, 1.0, 1.0, 1.0, 1.0], 0, "x", 1, 2), (500, [math.inf, 1.0, 1.0, 1.0, 1.0], 0, "x", 1, 2), rows[0], rows[0]]
     rows += [(600, [0.0] * 5, 1, "x", 1, 2), (700, [], 2, "x", 1, 2), (801, [0.5, 0.5], 2, "x", 1, 2)]
+    rows += [(900, [0.7, 0.7, 0.25, 0.25, k / 8], 1, "x", 1, 2) for k in range(8)]  # one id, many vectors
     got = mined(spark, rows)
     assert got == plain_mine(integer_rows(rows)) and len(got) > 50
     assert mined(spark, rows[:3]) == plain_mine(integer_rows(rows[:3]))
@@ -181,7 +182,7 @@ def test_cover_tree_skips_nodes_and_keeps_its_promises():
     tree = hard_negatives.CoverTree(points)
     assert sorted(tree.order.tolist()) == list(range(2000))
     norms = (points.astype(float) ** 2).sum(axis=1)
-    vectors = np.c_[points, np.sqrt(norms.max() - norms)]
+    vectors, blur = np.c_[points, np.sqrt(norms.max() - norms)], 1e-6 * math.sqrt(norms.max())
 
     def below(node):
         a, b = tree.bucket[node]
@@ -190,26 +191,27 @@ def test_cover_tree_skips_nodes_and_keeps_its_promises():
     for node, children in enumerate(tree.children):
         rows = below(node)
         far = np.linalg.norm(vectors[rows] - vectors[tree.centre[node]], axis=1)
-        assert far.max() <= tree.reach[node] + 1e-6  # covering
+        assert far.max() <= tree.reach[node]  # covering
         for x in children:
-            assert tree.reach[x] <= tree.reach[node] / hard_negatives.BASE + 1e-6
+            assert tree.reach[x] <= tree.reach[node] / hard_negatives.BASE + blur
             for y in children:
                 apart = np.linalg.norm(vectors[tree.centre[x]] - vectors[tree.centre[y]])
-                assert x == y or apart > tree.reach[node] / hard_negatives.BASE - 1e-6  # separation
+                assert x == y or apart > tree.reach[node] / hard_negatives.BASE - blur  # separation
     ids, wanted = [[i] for i in range(2000)], rng.random(2000) < 0.8
     for i in range(50):
         scores = points @ points[i]
-        for low, high in ((-math.inf, math.inf), (int(0.3 * scores[i]), int(0.9 * scores[i]))):
-            want = sorted((-int(s), j) for j, s in enumerate(scores) if wanted[j] and low <= s <= high and j != i)[:7]
-            got, verified = tree.search(points[i], wanted, ids, 7, low, high, i)
-            assert [(-s, j) for s, j in got] == want
-            assert verified < 700  # most leaves are never opened
+        windows = [(-math.inf, math.inf), (int(0.3 * scores[i]), int(0.9 * scores[i])), (int(0.5 * scores[i]), int(0.6 * scores[i]))]
+        wants = [sorted((-int(s), j) for j, s in enumerate(scores) if wanted[j] and low <= s <= high and j != i)[:7] for low, high in windows]
+        for asked, want in (windows, wants), (windows[:1], wants[:1]):
+            got, verified = tree.search(points[i], wanted & (np.arange(2000) != i), ids, 7, asked, i)
+            assert [[(-s, j) for s, j in one] for one in got] == want
+        assert verified < 400  # most leaves are never opened
 
 
 def test_cover_tree_large_components_and_overflow():
     points = np.array([[3 * 10**9, 1], [10**9, -5], [-(10**9), 7]], np.int64)
     tree = hard_negatives.CoverTree(points)
-    got, _ = tree.search(np.array([10**9, 10**9 // 3]), np.ones(3, bool), [[1], [2], [3]], 3, -math.inf, math.inf)
-    assert got == sorted([(int(p[0]) * 10**9 + int(p[1]) * (10**9 // 3), i + 1) for i, p in enumerate(points)], reverse=True)
+    got, _ = tree.search(np.array([10**9, 10**9 // 3]), np.ones(3, bool), [[1], [2], [3]], 3, [(-math.inf, math.inf)])
+    assert got[0] == sorted([(int(p[0]) * 10**9 + int(p[1]) * (10**9 // 3), i + 1) for i, p in enumerate(points)], reverse=True)
     with pytest.raises(ArithmeticError):
-        tree.search(np.array([10**18, 10**18]), np.ones(3, bool), [[1], [2], [3]], 3, -math.inf, math.inf)
+        tree.search(np.array([10**18, 10**18]), np.ones(3, bool), [[1], [2], [3]], 3, [(-math.inf, math.inf)])

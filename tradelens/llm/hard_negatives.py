@@ -43,8 +43,10 @@ from tradelens.llm.stored import stored
 BLOCK, ANCHORS = 4096, 1024
 #: Ratio of covering radii of two levels, and the size up to which a node is a leaf.
 BASE, LEAF = 1.3, 24
-#: Largest absolute products that doubles hold exactly.
-EXACT = float(1 << 53)
+#: Bounds below which floats of each width hold every integer.
+SINGLE, DOUBLE = float(1 << 24), float(1 << 53)
+#: Rounding of distances, as a part of the largest norm; every covering radius is widened by it.
+BLUR = 1e-7
 
 
 class CoverTree:
@@ -52,12 +54,12 @@ class CoverTree:
 
     def __init__(self, points: np.ndarray) -> None:
         n = len(points)
-        # Products of integers are exact in doubles up to EXACT, in longs beyond.
-        peak = float(np.abs(points).max(initial=0))
-        self.peak, self.points = peak, points
-        norms = (points.astype(np.float64) ** 2).sum(axis=1)
+        self.points = points
+        self.peak = float(np.abs(points).max(initial=0))
+        plain = points.astype(np.float64)
+        norms = (plain**2).sum(axis=1)
         self.radius = math.sqrt(norms.max(initial=0.0))
-        augmented = np.c_[points.astype(np.float64), np.sqrt(np.maximum(norms.max(initial=0.0) - norms, 0))]
+        self.vectors = np.c_[plain, np.sqrt(np.maximum(self.radius**2 - norms, 0))]
         self.order = np.zeros(n, np.int64)
         self.centre: list[int] = []
         self.reach: list[float] = []
@@ -65,21 +67,19 @@ class CoverTree:
         self.bucket: list[tuple[int, int]] = []
         self._filled = 0
         if n:
-            far = self._distance(augmented, np.arange(n), 0)
-            self._build(augmented, np.arange(n), far)
-        self.sorted_points = points[self.order]
-        self.exact_points = self.sorted_points.astype(np.float64)
-        self.centres = self.points[self.centre] if n else points
-        self.exact_centres = self.centres.astype(np.float64)
+            self._build(np.arange(n), self._distance(np.arange(n), 0))
         self.angle = 2 * np.arcsin(np.clip(np.array(self.reach) / (2 * self.radius or 1), 0, 1))
+        del self.vectors
+        self.double = plain
+        self.single = plain.astype(np.float32) if self.peak < SINGLE else None
 
-    @staticmethod
-    def _distance(vectors: np.ndarray, rows: np.ndarray, centre: int) -> np.ndarray:
-        return np.sqrt(((vectors[rows] - vectors[centre]) ** 2).sum(axis=1))
+    def _distance(self, rows: np.ndarray, centre: int) -> np.ndarray:
+        """Distances on the sphere of radius M, up to ``BLUR`` times M."""
+        return np.sqrt(np.maximum(2 * (self.radius**2 - self.vectors[rows] @ self.vectors[centre]), 0))
 
     def _node(self, centre: int, reach: float) -> int:
         self.centre.append(centre)
-        self.reach.append(reach)
+        self.reach.append(reach + BLUR * self.radius)
         self.children.append([])
         self.bucket.append((0, 0))
         return len(self.centre) - 1
@@ -90,22 +90,23 @@ class CoverTree:
         self.order[start : self._filled] = rows
         return start, self._filled
 
-    def _build(self, vectors: np.ndarray, rows: np.ndarray, far: np.ndarray) -> None:
+    def _build(self, rows: np.ndarray, far: np.ndarray) -> None:
         """Nodes from the root down; the first row of each set is its centre."""
-        root = self._node(int(rows[0]), float(far.max()))
-        work = [(root, rows, far)]
+        work = [(self._node(int(rows[0]), float(far.max())), rows, far)]
         while work:
             node, rows, far = work.pop()
-            reach = self.reach[node]
-            if len(rows) <= LEAF or reach == 0:
+            reach = float(far.max())
+            if len(rows) <= LEAF or reach <= BLUR * self.radius:
                 self.bucket[node] = self._fill(rows)
                 continue
             # Farthest rows become centres until all lie within the next level's radius:
             # covered by it, centres farther apart than it, the old centre among them.
             near, owner, centres = far.copy(), np.zeros(len(rows), np.int64), [0]
+            near[0] = 0
             while near.max() > reach / BASE:
                 c = int(near.argmax())
-                d = self._distance(vectors, rows, int(rows[c]))
+                d = self._distance(rows, int(rows[c]))
+                d[c] = 0
                 closer = d < near
                 near[closer], owner[closer] = d[closer], len(centres)
                 centres.append(c)
@@ -124,65 +125,83 @@ class CoverTree:
             if alone:  # centres that cover nothing else are verified together
                 self.bucket[node] = self._fill(np.array(alone))
 
-    def _products(self, exact: np.ndarray, whole: np.ndarray, query: np.ndarray, limit: float) -> np.ndarray:
-        return exact @ query.astype(np.float64) if limit < EXACT else whole @ query
-
-    def search(self, query: np.ndarray, wanted: np.ndarray, ids: list[list[int]], k: int, low: float, high: float, but: int | None = None) -> tuple[list[tuple[int, int]], int]:
-        """The first k (score, id) with low <= score <= high among wanted points, and the points verified.
+    def products(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Exact inner products: in floats as far as they hold every integer, else in longs."""
+        limit = self.peak * float(np.abs(query).max(initial=0)) * max(self.points.shape[1], 1)
+        if limit >= 2.0**63:
+            raise ArithmeticError("inner products exceed a long")
+        if limit < SINGLE and self.single is not None:
+            return self.single[rows] @ query.astype(np.float32)
+        return self.double[rows] @ query.astype(np.float64) if limit < DOUBLE else self.points[rows] @ query
+
+    def search(
+        self,
+        query: np.ndarray,
+        wanted: np.ndarray,
+        ids: list[list[int]],
+        k: int,
+        windows: list[tuple[float, float]],
+        but: int | None = None,
+    ) -> tuple[list[list[tuple[int, int]]], int]:
+        """Per window the first k (score, id) with low <= score <= high, and the points verified.
 
         ``wanted`` marks points (by their row in the matrix), ``ids`` holds each
-        point's ids ascending; ``but`` is an id to leave out.
+        point's ids ascending; ``but`` is an id to leave out, no wanted point's
+        only one.  The best nodes are opened in rounds of 1, 2, 4 and so on, so few rounds meet many nodes.
         """
+        best: list[list[tuple[int, int]]] = [[] for _ in windows]  # (score, -id), the worst kept one first
         if not len(self.order):
-            return [], 0
-        limit = self.peak * float(np.abs(query).max(initial=0)) * max(self.points.shape[1], 1)
-        if limit >= 2.0**63:
-            raise ArithmeticError("inner products exceed a long")
+            return best, 0
         scale = math.sqrt(float((query.astype(np.float64) ** 2).sum())) * self.radius
         slack = 1e-9 * scale + 1e-6
+        at = np.arccos(np.clip(self.products(np.array(self.centre), query) / (scale or 1.0), -1, 1))
+        tops = (scale * np.cos(np.maximum(at - self.angle, 0)) + slack).tolist()
+        bottoms = (scale * np.cos(np.minimum(at + self.angle, np.pi)) - slack).tolist()
+        least = [low for low, _ in windows]
+
+        def of_use(node: int) -> bool:
+            return any(tops[node] >= x and bottoms[node] <= high for x, (_, high) in zip(least, windows, strict=True))
 
-        def bounds(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if not scale:
-                return np.zeros(len(nodes)), np.zeros(len(nodes))
-            got = self._products(self.exact_centres[nodes], self.centres[nodes], query, limit)
-            at = np.arccos(np.clip(got / scale, -1, 1))
-            top = scale * np.cos(np.maximum(at - self.angle[nodes], 0)) + slack
-            return scale * np.cos(np.minimum(at + self.angle[nodes], np.pi)) - slack, top
-
-        best: list[tuple[int, int]] = []  # (score, -id), the worst kept one first
-        verified = 0
-        heap = [(-math.inf, 0)]
+        verified, width = 0, 1
+        heap = [(-tops[0], 0)]
         while heap:
-            top, node = heapq.heappop(heap)
-            if -top < low or (len(best) == k and -top < best[0][0]):
-                break  # best first: no later node is better
-            a, b = self.bucket[node]
-            if b > a:
-                scores = self._products(self.exact_points[a:b], self.sorted_points[a:b], query, limit)
-                verified += b - a
-                least = max(low, best[0][0]) if len(best) == k else low
-                rows = self.order[a:b]
-                hit = np.flatnonzero((scores >= least) & (scores <= high) & wanted[rows])
+            rows = []
+            for _ in range(min(width, len(heap))):
+                _, node = heapq.heappop(heap)
+                if not of_use(node):
+                    continue
+                a, b = self.bucket[node]
+                if b > a:
+                    rows.append(self.order[a:b])
+                for child in self.children[node]:
+                    if of_use(child):
+                        heapq.heappush(heap, (-tops[child], child))
+            width *= 2
+            if not rows:
+                continue
+            some = np.concatenate(rows)
+            some = some[wanted[some]]
+            scores = self.products(some, query)
+            verified += len(some)
+            for w, (low, high) in enumerate(windows):
+                kept = best[w]
+                hit = np.flatnonzero((scores >= least[w]) & (scores <= high))
                 if len(hit) > k:  # ties with the k-th stay
                     hit = hit[scores[hit] >= np.partition(scores[hit], len(hit) - k)[len(hit) - k]]
-                for row, score in zip(rows[hit].tolist(), scores[hit].tolist(), strict=True):
+                for row, score in zip(some[hit].tolist(), scores[hit].tolist(), strict=True):
                     for i in ids[row]:
                         if i == but:
                             continue
                         item = (int(score), -i)
-                        if len(best) < k:
-                            heapq.heappush(best, item)
-                        elif item > best[0]:
-                            heapq.heapreplace(best, item)
+                        if len(kept) < k:
+                            heapq.heappush(kept, item)
+                        elif item > kept[0]:
+                            heapq.heapreplace(kept, item)
                         else:
                             break
-            nodes = np.array(self.children[node], np.int64)
-            if len(nodes):
-                bottom, tops = bounds(nodes)
-                least = max(low, best[0][0]) if len(best) == k else low
-                for j in np.flatnonzero((tops >= least) & (bottom <= high)).tolist():
-                    heapq.heappush(heap, (-float(tops[j]), int(nodes[j])))
-        return [(s, -i) for s, i in sorted(best, reverse=True)], verified
+                if len(kept) == k:
+                    least[w] = max(low, kept[0][0])
+        return [[(s, -i) for s, i in sorted(kept, reverse=True)] for kept in best], verified
 
 
 def quantised(rows: DataFrame, *, scale: int = 256, label: F.Column | None = None) -> DataFrame:
@@ -212,31 +231,30 @@ def _search_blocks(points: DataFrame, anchors: DataFrame, n_blocks: int, n_group
     each_group = F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("grp")
     left = points.select("*", each_group)
     right = anchors.select("*", each_block)
-    schema = "anchor long, anchor_id long, positive_id long, positive_score long, other_id long, score long"
+    schema = "anchor long, anchor_id long, place long, positive_id long, positive_score long, other_id long, score long"
 
     def run(ours: pa.Table, theirs: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int | None, int | None, int, int]] = []
+        out: list[tuple[int | None, ...]] = []
         if ours.num_rows and theirs.num_rows:
             tree = CoverTree(_matrix(ours.column("vector"), width))
             labels = ours.column("label").to_numpy()
             ids = ours.column("ids").to_pylist()
+            lowest, lone = np.array([x[0] for x in ids]), np.array([len(x) == 1 for x in ids])
             queries = _matrix(theirs.column("vector"), width)
             positives = theirs.column("positives").to_pylist() if windows else None
             names = zip(theirs.column("anchor").to_pylist(), theirs.column("anchor_id").to_pylist(), theirs.column("label").to_pylist(), strict=True)
             for j, (anchor, anchor_id, label) in enumerate(names):
                 if windows is None:
-                    found, _ = tree.search(queries[j], labels == label, ids, k, -math.inf, math.inf, anchor_id)
-                    out += [(anchor, anchor_id, None, None, i, s) for s, i in found]
+                    wanted = (labels == label) & ~(lone & (lowest == anchor_id))
+                    found, _ = tree.search(queries[j], wanted, ids, k, [(-math.inf, math.inf)], anchor_id)
+                    out += [(anchor, anchor_id, None, None, None, i, s) for s, i in found[0]]
                     continue
-                wanted = labels != label
-                for p in positives[j]:
-                    score = p["score"]
-                    low, high = -(-windows[0] * score // 100), windows[1] * score // 100
-                    if low <= high:
-                        found, _ = tree.search(queries[j], wanted, ids, k, low, high)
-                        out += [(anchor, anchor_id, p["id"], score, i, s) for s, i in found]
-        columns = list(zip(*out, strict=True)) or [[]] * 6
-        names = ["anchor", "anchor_id", "positive_id", "positive_score", "other_id", "score"]
+                asked = [(-(-windows[0] * p["score"] // 100), windows[1] * p["score"] // 100) for p in positives[j]]
+                lists, _ = tree.search(queries[j], labels != label, ids, k, asked)
+                for place, (p, found) in enumerate(zip(positives[j], lists, strict=True)):
+                    out += [(anchor, anchor_id, place, p["id"], p["score"], i, s) for s, i in found]
+        columns = list(zip(*out, strict=True)) or [[]] * 7
+        names = ["anchor", "anchor_id", "place", "positive_id", "positive_score", "other_id", "score"]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names)
 
     return left.groupBy("block", "grp").cogroup(right.groupBy("block", "grp")).applyInArrow(run, schema)
@@ -273,7 +291,7 @@ def mine(rows: DataFrame, is_anchor: F.Column, *, n_positives: int = 5, n_negati
     )
     asked = anchors.join(positives, ["anchor", "anchor_id"])
     found = _search_blocks(points, asked, n_blocks, n_groups, width, n_negatives, window)
-    best = Window.partitionBy("anchor", "anchor_id", "positive_id").orderBy(F.col("score").desc(), "other_id")
+    best = Window.partitionBy("anchor", "anchor_id", "place").orderBy(F.col("score").desc(), "other_id")
     return (
         found.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= n_negatives)
