@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradelens.functions import exact_mean, exact_ratio, flag_rate, mean_of_sums, wide_sum
+from tradelens.operators.hot_keys import lookup_join
 
 UNKNOWN_CATEGORY = "unknown"
 
@@ -30,35 +31,47 @@ def delivered_orders(fact_orders: DataFrame, *extra: str) -> DataFrame:
     return fact_orders.where("is_delivered").select(*_FACT_COLUMNS, *extra)
 
 
+def by_order(fact_order_items: DataFrame, *columns: str) -> DataFrame:
+    """Item rows dealt by order: the totals per (dimension, order) and the join with the
+    orders that follows need no further exchange of item rows."""
+    return fact_order_items.select("order_id", *columns).repartition("order_id")
+
+
+def _seller_totals(items: DataFrame) -> DataFrame:
+    return items.groupBy("seller_id", "order_id").agg(
+        F.expr("count(1)").alias("total_items"),
+        F.sum("price").alias("revenue"),
+        F.sum("freight_value").alias("freight"),
+    )
+
+
 def seller_orders(fact_order_items: DataFrame) -> DataFrame:
     """Items, revenue and freight per (seller, order)."""
-    return fact_order_items.groupBy("seller_id", "order_id").agg(
+    return _seller_totals(fact_order_items)
+
+
+def _with_category(items: DataFrame, dim_products: DataFrame) -> DataFrame:
+    """Items with their product's category; frequent and missing products are not shuffled."""
+    known = lookup_join(items, dim_products, "product_id", ["product_category_name"])
+    return known.select(
+        F.expr(f"coalesce(product_category_name, '{UNKNOWN_CATEGORY}')").alias("product_category"),
+        "order_id",
+        "price",
+    )
+
+
+def _category_totals(items: DataFrame) -> DataFrame:
+    return items.groupBy("product_category", "order_id").agg(
         F.expr("count(1)").alias("total_items"),
+        F.count("price").alias("priced_items"),
         F.sum("price").alias("revenue"),
-        F.sum("freight_value").alias("freight"),
     )
 
 
 def category_orders(fact_order_items: DataFrame, dim_products: DataFrame) -> DataFrame:
     """Items, priced items and revenue per (category, order); no product -> ``unknown``."""
-    categories = dim_products.select("product_id", "product_category_name")
-    return (
-        fact_order_items.select("order_id", "product_id", "price")
-        .join(categories, "product_id", "left")
-        .select(
-            F.expr(f"coalesce(product_category_name, '{UNKNOWN_CATEGORY}')").alias(
-                "product_category"
-            ),
-            "order_id",
-            "price",
-        )
-        .groupBy("product_category", "order_id")
-        .agg(
-            F.expr("count(1)").alias("total_items"),
-            F.count("price").alias("priced_items"),
-            F.sum("price").alias("revenue"),
-        )
-    )
+    items = fact_order_items.select("order_id", "product_id", "price")
+    return _category_totals(_with_category(items, dim_products))
 
 
 def mart_seller_performance(
@@ -66,23 +79,13 @@ def mart_seller_performance(
 ) -> DataFrame:
     """Per seller: orders, items, revenue, order-weighted means and late rate.
 
-    Items meet the delivered orders first, so both sides are shuffled by
-    ``order_id`` once and the (seller, order) totals reuse that partitioning
-    (order-level columns ride along as grouping keys: they depend on the order
-    only).  This equals grouping first and joining after because ``fact_orders``
-    holds one row per order (a silver test enforces it before gold is built),
-    and it saves a full shuffle of item-level rows.
+    Items are shuffled by ``order_id`` once; the (seller, order) totals and the
+    join with the delivered orders reuse that partitioning.  Grouping comes
+    before the join, so an order row that occurs twice counts twice, as in the
+    source system's view.
     """
-    items = fact_order_items.select("seller_id", "order_id", "price", "freight_value")
-    per_order = (
-        items.join(delivered_orders(fact_orders), "order_id")
-        .groupBy("seller_id", *_FACT_COLUMNS)
-        .agg(
-            F.expr("count(1)").alias("total_items"),
-            F.sum("price").alias("revenue"),
-            F.sum("freight_value").alias("freight"),
-        )
-    )
+    items = by_order(fact_order_items, "seller_id", "price", "freight_value")
+    per_order = _seller_totals(items).join(delivered_orders(fact_orders), "order_id")
     # Aggregate per seller *before* meeting the dimension: a seller with a large
     # share of all orders is combined map side (partial aggregate) instead of
     # landing in one join task, and the join sees one row per seller.  Same
@@ -120,8 +123,15 @@ def mart_seller_performance(
 def mart_category_performance(
     dim_products: DataFrame, fact_orders: DataFrame, fact_order_items: DataFrame
 ) -> DataFrame:
-    co = category_orders(fact_order_items, dim_products)
-    joined = co.join(delivered_orders(fact_orders), "order_id")
+    """Per category: orders, items, revenue, item-weighted price, order-weighted means.
+
+    Two shuffles of item rows at most: by product (without frequent and missing
+    products) and by order, which serves the (category, order) totals and the
+    join with the delivered orders.
+    """
+    items = fact_order_items.select("order_id", "product_id", "price")
+    totals = _category_totals(by_order(_with_category(items, dim_products), "product_category", "price"))
+    joined = totals.join(delivered_orders(fact_orders), "order_id")
     return joined.groupBy("product_category").agg(
         F.expr("count(1)").alias("total_orders"),
         F.expr("cast(sum(total_items) as bigint)").alias("total_items_sold"),
