@@ -1,8 +1,10 @@
 """Reusable table tests: each returns the failing rows (empty = pass).
 
 ``run_suite`` evaluates a list of declared tests and returns one row per test
-with its number of failing rows, as a single DataFrame (one query, so shared
-inputs are computed once and exchanges are reused).
+with its number of failing rows.  All tests of a table are compiled into one
+pass: row conditions are summed per key group, group conditions over the groups,
+so a table with one set of tested keys is scanned and shuffled once, whatever
+the number of its tests (each further key set adds a pass of its own).
 """
 
 from __future__ import annotations
@@ -129,23 +131,80 @@ GOLD_TESTS: tuple[TableTest, ...] = (
 ALL_TESTS: tuple[TableTest, ...] = SILVER_TESTS + GOLD_TESTS
 
 
-def failing_count(test: TableTest, df: DataFrame) -> DataFrame:
-    """One row: the test's identity and its number of failing rows."""
-    return test.failing(df).agg(F.count(F.lit(1)).alias("n_failing")).select(
-        F.lit(test.name).alias("test"),
-        F.lit(test.model).alias("model"),
-        F.lit(test.kind).alias("kind"),
-        F.lit(",".join(test.columns)).alias("columns"),
-        F.col("n_failing").cast("long").alias("n_failing"),
-    )
+def _key_set(test: TableTest) -> tuple[str, ...]:
+    return test.columns if test.kind in ("unique", "unique_columns") else ()
+
+
+def _row_failures(test: TableTest) -> Column:
+    """1 for a row that fails a row test, else 0."""
+    c = F.col(f"`{test.columns[0]}`")
+    bad = c.isNull() if test.kind == "not_null" else F.coalesce(_outside(c, test.minimum, test.maximum), F.lit(False))
+    return F.when(bad, F.lit(1)).otherwise(F.lit(0)).cast("long")
+
+
+def _group_failures(test: TableTest) -> Column:
+    """1 for a key group that fails a uniqueness test, else 0 (``unique`` skips NULL)."""
+    bad = F.col("__n") > 1
+    if test.kind == "unique":
+        bad = bad & F.col(f"`{test.columns[0]}`").isNotNull()
+    return F.when(bad, F.lit(1)).otherwise(F.lit(0)).cast("long")
+
+
+def _table_pass(df: DataFrame, tests: Sequence[TableTest]) -> DataFrame:
+    """One row per test of one table, from one pass; the tests name at most one key set."""
+    keys = next((_key_set(t) for t in tests if _key_set(t)), ())
+    by_row = {f"__r{i}": t for i, t in enumerate(tests) if t.kind in ("not_null", "between")}
+    by_group = {f"__g{i}": t for i, t in enumerate(tests) if _key_set(t)}
+    sums = [F.sum(_row_failures(t)).alias(name) for name, t in by_row.items()]
+    groups = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("__n"), *sums)
+    if keys:
+        flags = [_group_failures(t).alias(name) for name, t in by_group.items()]
+        groups = groups.select("__n", *by_row, *flags)
+    total = groups.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("__n", *by_row, *by_group)])
+
+    def result(i: int, t: TableTest) -> Column:
+        if t.kind == "nonempty":
+            return F.when(F.col("__n") == 0, F.lit(1)).otherwise(F.lit(0))
+        return F.col(f"__r{i}" if f"__r{i}" in by_row else f"__g{i}")
+
+    rows = [
+        F.struct(
+            F.lit(t.name).alias("test"),
+            F.lit(t.model).alias("model"),
+            F.lit(t.kind).alias("kind"),
+            F.lit(",".join(t.columns)).alias("columns"),
+            result(i, t).cast("long").alias("n_failing"),
+        )
+        for i, t in enumerate(tests)
+    ]
+    return total.select(F.inline(F.array(*rows)))
+
+
+def suite_passes(tests: Sequence[TableTest]) -> list[list[TableTest]]:
+    """The passes of a suite: per table, all tests with the first key set, then each further key set."""
+    known = {"nonempty", "not_null", "between", "unique", "unique_columns"}
+    bad = sorted({t.kind for t in tests} - known)
+    if bad:
+        raise ValueError(f"unknown test kind(s) {bad}")
+    passes: dict[tuple[str, tuple[str, ...]], list[TableTest]] = {}
+    first: dict[str, tuple[str, ...]] = {}
+    for t in tests:
+        if _key_set(t):
+            first.setdefault(t.model, _key_set(t))
+    for t in tests:
+        keys = _key_set(t) or first.get(t.model, ())
+        passes.setdefault((t.model, keys), []).append(t)
+    return list(passes.values())
 
 
 def run_suite(models: Mapping[str, DataFrame], tests: Sequence[TableTest]) -> DataFrame:
     """One row per test (test, model, kind, columns, n_failing) as one DataFrame."""
-    parts = [failing_count(t, models[t.model]) for t in tests]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = None
+    for group in suite_passes(tests):
+        part = _table_pass(models[group[0].model], group)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("a suite needs at least one test")
     return out
 
 
