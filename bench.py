@@ -32,8 +32,9 @@ from tradelens.contracts import CONTRACTS  # noqa: E402
 from tradelens.plans import serving  # noqa: E402
 from tradelens.plans.models import MODEL_ORDER, build_models  # noqa: E402
 from tradelens.plans.refresh import RefreshResult, publish_layer  # noqa: E402
-from tradelens.session import local_session, run_concurrently, scratch_path  # noqa: E402
-from tradelens.sinks.reload import publish, read_table  # noqa: E402
+from tradelens.session import local_session, scratch_path  # noqa: E402
+from tradelens.sinks.releases import Release  # noqa: E402
+from tradelens.sinks.reload import stage_all  # noqa: E402
 from tradelens.sources.binding import bind  # noqa: E402
 
 SERVED = {
@@ -63,13 +64,9 @@ def main() -> None:
     out: dict[str, float] = {}
 
     raw_src = bind(spark, sf_dir)
-    out["load_raw"] = timed(
-        lambda: run_concurrently({
-            t: (lambda t=t: publish(raw_src[t], warehouse, CONTRACTS[t].destination_table))
-            for t in CONTRACTS
-        })
-    )
-    raw = {t: read_table(spark, warehouse, CONTRACTS[t].destination_table) for t in CONTRACTS}
+    release = Release(spark, warehouse)
+    out["load_raw"] = timed(lambda: stage_all(release, raw_src, CONTRACTS))
+    raw = {t: release.read(CONTRACTS[t].destination_table) for t in CONTRACTS}
 
     # (a) models are views: defined (analysed) once, re-planned and run per query.
     views = build_models(raw)
@@ -78,7 +75,8 @@ def main() -> None:
 
     env = {f"raw.{t}": df for t, df in raw.items()}
     t0 = time.perf_counter()
-    publish_layer(spark, warehouse, MODEL_ORDER, env, RefreshResult())
+    publish_layer(release, MODEL_ORDER, env, RefreshResult())
+    release.commit()
     out["refresh_models"] = time.perf_counter() - t0
     materialised = {m: env[m] for m in MODEL_ORDER}
     # (b) silver, dimensions and facts published; marts still computed per query.

@@ -13,6 +13,10 @@ from tradelens.contracts import CONTRACTS
 from tradelens.operators.quality import DataQualityError
 from tradelens.plans.lineage import lineage_edges
 from tradelens.plans.refresh import run_refresh
+from tradelens.operators.checks import TableTestError
+from tradelens.plans import marts, models
+from tradelens.plans.refresh import ReconciliationError
+from tradelens.sinks import releases
 from tradelens.sinks.reload import read_table
 from tradelens.sources.csv import write_csv
 
@@ -40,6 +44,30 @@ def test_refresh_builds_and_tests_every_layer(spark, tmp_dir):
     assert part.model_rows == result.model_rows
 
 
+def test_failing_gold_test_and_reconciliation_leave_the_old_release(spark, tmp_dir, monkeypatch):
+    raw = raw_tables(spark)
+    land(raw, f"{tmp_dir}/landing")
+    run_refresh(spark, f"{tmp_dir}/landing", f"{tmp_dir}/wh")
+    before = releases.live_manifest(spark, f"{tmp_dir}/wh")
+    assert len(before) == 23
+    items = raw["order_items"]
+    land({"order_items": items.unionByName(items.limit(1))}, f"{tmp_dir}/more")
+    for name in CONTRACTS:
+        if name != "order_items":
+            os.symlink(f"{tmp_dir}/landing/{CONTRACTS[name].csv_filename}", f"{tmp_dir}/more/{CONTRACTS[name].csv_filename}")
+    with pytest.raises(TableTestError, match="unique_columns_order_items"):  # a silver test
+        run_refresh(spark, f"{tmp_dir}/more", f"{tmp_dir}/wh")
+    real = marts.mart_seller_performance
+    broken = {"total_revenue": -F.col("total_revenue")}, {"total_revenue": F.col("total_revenue") + 1}
+    for changed, error in zip(broken, (TableTestError, ReconciliationError), strict=True):  # gold test, then totals
+        monkeypatch.setitem(models._BUILDERS, "mart_seller_performance", lambda *x, c=changed: real(*x).withColumns(c))
+        with pytest.raises(error):
+            run_refresh(spark, f"{tmp_dir}/landing", f"{tmp_dir}/wh")
+    assert releases.live_manifest(spark, f"{tmp_dir}/wh") == before
+    folders = [f for t in before for f in os.listdir(releases.table_folder(f"{tmp_dir}/wh", t))]
+    assert len(folders) == 23  # what was staged is gone
+
+
 def test_validation_error_loads_nothing(spark, tmp_dir):
     raw = raw_tables(spark)
     bad_items = raw["order_items"].withColumn("price", -F.col("price"))

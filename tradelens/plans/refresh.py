@@ -1,10 +1,12 @@
-"""End-to-end refresh: extract -> validate (gate) -> typed reload -> models + tests.
+"""End-to-end refresh: extract -> validate (gate) -> typed reload -> models + tests -> release.
 
 Every step is a Spark job over whole tables.  Nothing is written before the
-validation gate passes.  Each model is published as a Parquet table and read
-back, so downstream models read the materialised table (the lineage is cut at
-every layer and a lost executor only recomputes from the last written table).
-A failing table test stops the refresh before the next layer is built.
+validation gate passes.  Raw tables and models are staged in one release: each
+layer is written as Parquet and read back from there, so the lineage is cut at
+every layer and a lost executor only recomputes from the last written table.
+All tests and the reconciliation run on the staged tables; only then one commit
+makes all of them live together.  Where anything fails, readers stay on the
+release before, and the staged versions are removed.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from tradelens.operators.quality import QualityReport
 from tradelens.plans.models import LINEAGE, MODEL_ORDER, SILVER, build_model, qualified
 from tradelens.plans.reconcile import reconcile_revenue
 from tradelens.session import run_concurrently, scratch_path
-from tradelens.sinks.reload import delete_path, load_dataset, publish, read_table
+from tradelens.sinks.releases import Release
+from tradelens.sinks.reload import delete_path, stage_all
 from tradelens.sources.csv import extract_datasets, validate_required_files
 from tradelens.sources.typed import typed_view, validate_text
 
@@ -38,6 +41,7 @@ class RefreshResult:
     model_rows: dict[str, int] = field(default_factory=dict)
     tests: list[dict] = field(default_factory=list)
     warnings: list[dict] = field(default_factory=list)
+    release: int = 0
 
     def table_rows(self) -> list[tuple[str, int]]:
         return [*self.raw_rows.items(), *self.model_rows.items()]
@@ -96,30 +100,28 @@ PUBLISH_SORT = {
 }
 
 
-def publish_layer(spark: SparkSession, warehouse: str, names: Iterable[str],
-                  env: dict[str, DataFrame], result: RefreshResult) -> None:
-    """Build, publish and read back the named models, level by level.
+def publish_layer(release: Release, names: Iterable[str], env: dict[str, DataFrame], result: RefreshResult) -> None:
+    """Build, stage and read back the named models, level by level.
 
-    ``env`` maps ``raw.<table>`` and already published models to DataFrames; it
-    is extended with the published (read-back) models.
+    ``env`` maps ``raw.<table>`` and already staged models to DataFrames; it
+    is extended with the staged (read-back) models.
     """
     for level in _levels(list(names)):
         frames = {name: build_model(name, env) for name in level}
         rows = run_concurrently(
             {
-                n: (lambda n=n: publish(frames[n], warehouse, qualified(n),
-                                        sort_within=PUBLISH_SORT.get(n)))
+                n: (lambda n=n: release.write(frames[n], qualified(n), sort_within=PUBLISH_SORT.get(n)))
                 for n in level
             }
         )
         for name in level:
             result.model_rows[qualified(name)] = rows[name]
-            env[name] = read_table(spark, warehouse, qualified(name))
+            env[name] = release.read(qualified(name))
 
 
-def _load_raw(spark: SparkSession, extracted: dict[str, DataFrame], warehouse: str,
-              result: RefreshResult) -> dict[str, DataFrame]:
-    """Stage, validate and reload the extracted datasets; the published raw tables."""
+def _load_raw(release: Release, extracted: dict[str, DataFrame], result: RefreshResult) -> dict[str, DataFrame]:
+    """Stage, validate and reload the extracted datasets; the new raw tables."""
+    spark = release.spark
     # CSV is read once into columnar text, so the validation and the load below
     # scan Parquet, not the CSV again.
     staged: list[str] = []
@@ -129,29 +131,19 @@ def _load_raw(spark: SparkSession, extracted: dict[str, DataFrame], warehouse: s
              for name, df in extracted.items()}
         )
 
-        logger.info("Step 3/6 — validating")
+        logger.info("Step 3/7 — validating")
         report = validate_extracted(extracted)
         report.log_summary()
         report.raise_for_errors()
         result.warnings = report.warnings
 
-        logger.info("Step 4/6 — loading raw tables")
-        loaded = run_concurrently(
-            {
-                name: (lambda n=name, df=df: load_dataset(typed_view(df, CONTRACTS[n]), CONTRACTS[n],
-                                                          warehouse))
-                for name, df in extracted.items()
-            }
-        )
+        logger.info("Step 4/7 — loading raw tables")
+        views = {n: typed_view(df, CONTRACTS[n]) for n, df in extracted.items()}
+        result.raw_rows = stage_all(release, views, CONTRACTS)
     finally:  # also where a check stops the run
         for path in staged:
             delete_path(spark, path)
-    raw = {}
-    for name in extracted:
-        table = CONTRACTS[name].destination_table
-        result.raw_rows[table] = loaded[name]
-        raw[f"raw.{name}"] = read_table(spark, warehouse, table)
-    return raw
+    return {f"raw.{n}": release.read(CONTRACTS[n].destination_table) for n in extracted}
 
 
 def run_refresh(
@@ -162,39 +154,37 @@ def run_refresh(
     datasets: Iterable[str] | None = None,
     trim_string_columns: bool = False,
 ) -> RefreshResult:
-    """Refresh everything from the CSV landing folder into the warehouse folder."""
+    """Refresh everything from the CSV landing folder into the warehouse folder, as one release."""
     names = [contract_for(n).name for n in (CONTRACTS if datasets is None else datasets)]
     result = RefreshResult()
-    # Datasets that are not reloaded come from the warehouse; one that is missing
-    # there ends the run before anything is written.
-    env = {
-        f"raw.{n}": read_table(spark, warehouse, c.destination_table)
-        for n, c in CONTRACTS.items() if n not in names
-    }
-
-    logger.info("Step 1/6 — checking source files")
-    validate_required_files(spark, names, data_dir=source_dir)
-
-    logger.info("Step 2/6 — extracting")
-    extracted = extract_datasets(
-        spark, names, data_dir=source_dir, trim_string_columns=trim_string_columns
-    )
-
-    env |= _load_raw(spark, extracted, warehouse, result)
-
-    logger.info("Step 5/6 — silver models and tests")
-    silver = [m for m in MODEL_ORDER if LINEAGE[m][0] == SILVER]
-    publish_layer(spark, warehouse, silver, env, result)
-    result.tests += assert_suite(run_suite(env, SILVER_TESTS))
-
-    logger.info("Step 6/6 — gold models and tests")
-    gold = [m for m in MODEL_ORDER if LINEAGE[m][0] != SILVER]
-    publish_layer(spark, warehouse, gold, env, result)
-    result.tests += assert_suite(run_suite(env, GOLD_TESTS))
-    raw = {k[4:]: v for k, v in env.items() if k.startswith("raw.")}
-    mismatches = [r.asDict() for r in reconcile_revenue(raw, env).collect()]
-    if mismatches:
-        raise ReconciliationError(f"revenue does not reconcile: {mismatches}")
-    result.tests.append({"test": "reconcile_source_revenue", "n_failing": 0})
-    logger.info("Refresh finished")
+    with Release(spark, warehouse) as release:
+        # Datasets that are not reloaded come from the warehouse; one that is missing
+        # there ends the run before anything is written.
+        env = {f"raw.{n}": release.read(c.destination_table) for n, c in CONTRACTS.items() if n not in names}
+
+        logger.info("Step 1/7 — checking source files")
+        validate_required_files(spark, names, data_dir=source_dir)
+
+        logger.info("Step 2/7 — extracting")
+        extracted = extract_datasets(spark, names, data_dir=source_dir, trim_string_columns=trim_string_columns)
+
+        env |= _load_raw(release, extracted, result)
+
+        logger.info("Step 5/7 — silver models and tests")
+        silver = [m for m in MODEL_ORDER if LINEAGE[m][0] == SILVER]
+        publish_layer(release, silver, env, result)
+        result.tests += assert_suite(run_suite(env, SILVER_TESTS))
+
+        logger.info("Step 6/7 — gold models and tests")
+        gold = [m for m in MODEL_ORDER if LINEAGE[m][0] != SILVER]
+        publish_layer(release, gold, env, result)
+        result.tests += assert_suite(run_suite(env, GOLD_TESTS))
+        raw = {k[4:]: v for k, v in env.items() if k.startswith("raw.")}
+        mismatches = [r.asDict() for r in reconcile_revenue(raw, env).collect()]
+        if mismatches:
+            raise ReconciliationError(f"revenue does not reconcile: {mismatches}")
+        result.tests.append({"test": "reconcile_source_revenue", "n_failing": 0})
+
+        logger.info("Step 7/7 — release")
+        result.release = release.commit().number
     return result
