@@ -18,7 +18,7 @@ from tradelens.plans import marts, models
 from tradelens.plans.refresh import ReconciliationError
 from tradelens.sinks import releases
 from tradelens.sinks.reload import read_table
-from tradelens.sources.csv import write_csv
+from tradelens.sources.landing import write_csv
 
 
 def land(raw, root, overrides=None):

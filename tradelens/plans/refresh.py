@@ -14,18 +14,19 @@ from __future__ import annotations
 import logging
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tradelens.contracts import CONTRACTS, contract_for
 from tradelens.operators.checks import GOLD_TESTS, SILVER_TESTS, assert_suite, run_suite
-from tradelens.operators.quality import QualityReport
+from tradelens.operators.quality import gate
 from tradelens.plans.models import LINEAGE, MODEL_ORDER, SILVER, build_model, qualified
 from tradelens.plans.reconcile import reconcile_revenue
 from tradelens.session import run_concurrently, scratch_path
 from tradelens.sinks.releases import Release
 from tradelens.sinks.reload import delete_path, stage_all
-from tradelens.sources.csv import extract_datasets, validate_required_files
+from tradelens.sources.landing import Landing
 from tradelens.sources.typed import typed_view, validate_text
 
 logger = logging.getLogger(__name__)
@@ -47,18 +48,13 @@ class RefreshResult:
         return [*self.raw_rows.items(), *self.model_rows.items()]
 
 
-def validate_extracted(extracted: dict[str, DataFrame]) -> QualityReport:
-    """Contract checks plus type rejects of every extracted dataset, as one report.
+def validate_extracted(extracted: dict[str, DataFrame]) -> DataFrame:
+    """Issues of the contract checks plus type rejects of every extracted dataset.
 
     One aggregate scan per dataset (plus the grouped duplicate-key count).
     """
-    parts = []
-    for name, df in extracted.items():
-        parts.append(validate_text(df, CONTRACTS[name]))
-    issues = parts[0]
-    for p in parts[1:]:
-        issues = issues.unionByName(p)
-    return QualityReport(issues)
+    parts = [validate_text(df, CONTRACTS[name]) for name, df in extracted.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _levels(names: list[str]) -> list[list[str]]:
@@ -132,10 +128,7 @@ def _load_raw(release: Release, extracted: dict[str, DataFrame], result: Refresh
         )
 
         logger.info("Step 3/7 — validating")
-        report = validate_extracted(extracted)
-        report.log_summary()
-        report.raise_for_errors()
-        result.warnings = report.warnings
+        result.warnings = gate(validate_extracted(extracted))
 
         logger.info("Step 4/7 — loading raw tables")
         views = {n: typed_view(df, CONTRACTS[n]) for n, df in extracted.items()}
@@ -163,10 +156,11 @@ def run_refresh(
         env = {f"raw.{n}": release.read(c.destination_table) for n, c in CONTRACTS.items() if n not in names}
 
         logger.info("Step 1/7 — checking source files")
-        validate_required_files(spark, names, data_dir=source_dir)
+        landing = Landing(spark, source_dir, trim=trim_string_columns)
+        landing.contracts(names)
 
         logger.info("Step 2/7 — extracting")
-        extracted = extract_datasets(spark, names, data_dir=source_dir, trim_string_columns=trim_string_columns)
+        extracted = landing.read_all(names)
 
         env |= _load_raw(release, extracted, result)
 

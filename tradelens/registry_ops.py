@@ -19,9 +19,9 @@ from tradelens.plans.models import Models, build_models
 from tradelens.plans.refresh import run_refresh
 from tradelens.session import run_concurrently, scratch_path
 from tradelens.sinks import records, reload
-from tradelens.sources import csv as csv_source
 from tradelens.sources import typed
 from tradelens.sources.binding import bind
+from tradelens.sources.landing import Landing, write_csv
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
@@ -100,16 +100,16 @@ def dq_date_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dq_null_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = quality.validate_all(_raw(spark, sf_dir))
-    return report.issues.where(F.col("check") == quality.NULL_HEAVY)
+    issues = quality.validate_all(_raw(spark, sf_dir))
+    return issues.where(F.col("check") == quality.NULL_HEAVY)
 
 
 def dq_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.validate_all(_raw(spark, sf_dir)).issues
+    return quality.validate_all(_raw(spark, sf_dir))
 
 
 def dq_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.validate_all(_raw(spark, sf_dir)).summary()
+    return quality.outcome(quality.validate_all(_raw(spark, sf_dir)))
 
 
 def dq_extract_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +218,7 @@ def _landing(spark: SparkSession, raw: Mapping[str, DataFrame], names: list[str]
         df = raw[name]
         if rename:
             df = df.toDF(*[rename(c) for c in df.columns])
-        csv_source.write_csv(df, f"{root}/{CONTRACTS[name].csv_filename}")
+        write_csv(df, f"{root}/{CONTRACTS[name].csv_filename}")
 
     run_concurrently({n: (lambda n=n: land(n)) for n in names})
     return root
@@ -227,23 +227,21 @@ def _landing(spark: SparkSession, raw: Mapping[str, DataFrame], names: list[str]
 def src_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir)
     root = _landing(spark, raw, ["order_reviews"])
-    text = csv_source.extract_dataset(spark, "order_reviews", data_dir=root)
+    text = Landing(spark, root).read("order_reviews")
     return typed.to_typed(text, CONTRACTS["order_reviews"])
 
 
 def src_header_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir)
     root = _landing(spark, raw, ["sellers"], rename=lambda c: f"  {c.upper()} ")
-    text = csv_source.extract_dataset(spark, "sellers", data_dir=root)
+    text = Landing(spark, root).read("sellers")
     return typed.to_typed(text, CONTRACTS["sellers"])
 
 
 def src_trim_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir)
     root = _landing(spark, raw, ["customers"])
-    text = csv_source.extract_dataset(
-        spark, "customers", data_dir=root, trim_string_columns=True
-    )
+    text = Landing(spark, root, trim=True).read("customers")
     return typed.to_typed(text, CONTRACTS["customers"])
 
 
