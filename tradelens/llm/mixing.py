@@ -27,6 +27,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradelens.session import ensure_checkpoint_dir
+
 #: Source tables of up to so many rows (about 100 bytes each) are broadcast.
 BROADCAST_SOURCES = 100_000
 _SECTIONS = 32
@@ -58,7 +60,7 @@ class Mix:
     seed: int
 
 
-def _bisect(sources: DataFrame, target_entropy: float | None, max_repeats: float | None, budget: float | None) -> float:
+def _bisect(sources: DataFrame, target_entropy: float | None, max_repeats: float | None, budget: int | None) -> float:
     """The largest exponent whose entropy reaches the target, or the smallest within the limit.
 
     ``l`` is the log of a source's tokens over the largest source's.
@@ -92,46 +94,75 @@ def _bisect(sources: DataFrame, target_entropy: float | None, max_repeats: float
     return lo if target_entropy is not None else hi
 
 
-def _budget(spend: float, top: int | None) -> Column:
-    """Whole tokens of a source's share of ``spend``; with ``top`` that source is taken exactly once and none less."""
-    # A millionth of a token keeps rounding from taking a whole epoch's last document.
-    share = F.floor(F.col("weight") * spend + 1e-6).cast("long")
-    return share if top is None else F.when(F.col("tokens") == top, F.col("tokens")).otherwise(F.greatest("tokens", share))
+def with_budgets(sources: DataFrame, exponent: float, total: int, live: int, top: int, budget: int | None) -> DataFrame:
+    """Sources (tokens, l) with weight and budget in whole tokens.
+
+    ``total`` tokens of ``live`` sources with any, the largest of ``top``.  At the
+    exponents 1 and 0 shares are exact fractions and budgets are computed in whole
+    numbers, so a source whose share is its own tokens gets exactly these;
+    in between the weights are no fractions and doubles decide.  Without a budget
+    the largest source is taken exactly once and no source less than once.
+    """
+    z = sources.where("tokens > 0").agg(F.sum(F.exp(exponent * F.col("l")))).first()[0] or 1.0
+    weight = F.when(F.col("tokens") > 0, F.exp(exponent * F.col("l")) / z).otherwise(0.0)
+    sources = sources.withColumn("weight", weight)
+    if budget is None:
+        share = F.when(F.col("tokens") == top, F.col("tokens")).otherwise(
+            F.greatest("tokens", F.floor(F.col("weight") * (float(top) * z) + 1e-6).cast("long"))
+        )
+        share = F.col("tokens") if exponent == 1.0 else F.lit(top).cast("long") if exponent == 0.0 else share
+    elif exponent == 1.0:
+        share = F.expr(f"cast(cast(tokens as decimal(19,0)) * cast({budget} as decimal(19,0)) div {max(total, 1)} as bigint)")
+    elif exponent == 0.0:
+        share = F.lit(budget // max(live, 1)).cast("long")
+    else:
+        share = F.floor(F.col("weight") * float(budget)).cast("long")
+    return sources.withColumn("budget", F.when(F.col("tokens") > 0, share).otherwise(F.lit(0).cast("long")))
+
+
+def natural_entropy(sources: DataFrame) -> float:
+    """Entropy of the sources' own token shares."""
+    row = sources.where("tokens > 0").agg(F.sum(F.exp("l")).alias("z"), F.sum(F.col("l") * F.exp("l")).alias("m")).first()
+    return math.log(row["z"]) - row["m"] / row["z"] if row["z"] else 0.0
 
 
 def plan_mix(
     docs: DataFrame,
     target_entropy_share: float | None = None,
+    flatten: float | None = None,
     max_repeats: float | None = None,
-    budget_tokens: float | None = None,
+    budget_tokens: int | None = None,
     block_tokens: int = 100_000,
     blocks: int = 1024,
     seed: int = 17,
 ) -> Mix:
     """Weights, budgets and cuts of every source.
 
-    Give either ``target_entropy_share`` (of the log of the number of sources)
-    or ``max_repeats``.  Without ``budget_tokens`` the largest source is taken
+    Give one of ``target_entropy_share`` (of the log of the number of sources),
+    ``flatten`` (part of the way from the entropy of the sources' own shares to
+    that of equal ones) and ``max_repeats``.  Without ``budget_tokens`` the largest source is taken
     exactly once, so every document stays; a budget of 0 stands for the
     corpus's own token count.
     """
-    if (target_entropy_share is None) == (max_repeats is None):
-        raise ValueError("give either target_entropy_share or max_repeats")
+    if sum(x is not None for x in (target_entropy_share, flatten, max_repeats)) != 1:
+        raise ValueError("give one of target_entropy_share, flatten and max_repeats")
+    ensure_checkpoint_dir(docs.sparkSession)
     rows = docs.select(
         source_key().alias("_src"), F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("u"), word_tokens().alias("n_tokens")
     ).checkpoint()
     totals = rows.groupBy("_src").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")).checkpoint()
     facts = totals.agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("all"), F.max("tokens").alias("top"), F.sum((F.col("tokens") > 0).cast("int")).alias("live")).first()
     few, top = facts["n"] <= BROADCAST_SOURCES, max(facts["top"] or 1, 1)
-    budget = float(facts["all"] or 0) if budget_tokens == 0 else budget_tokens
+    total, live = int(facts["all"] or 0), int(facts["live"] or 0)
+    budget = total if budget_tokens == 0 else None if budget_tokens is None else int(budget_tokens)
     sources = totals.withColumn("l", F.log(F.greatest(F.col("tokens"), F.lit(1)) / F.lit(float(top))))
-    target = None if target_entropy_share is None else target_entropy_share * math.log(max(facts["live"] or 1, 1))
+    target = None if max_repeats is not None else (target_entropy_share or 0.0) * math.log(max(live, 1))
+    if flatten is not None:
+        own = natural_entropy(sources)
+        target = own + flatten * (math.log(max(live, 1)) - own)
     exponent = _bisect(sources, target, max_repeats, budget)
-    z = sources.where("tokens > 0").agg(F.sum(F.exp(exponent * F.col("l")))).first()[0] or 1.0
-    spend = float(top) * z if budget is None else budget
-    sources = sources.withColumn("weight", F.when(F.col("tokens") > 0, F.exp(exponent * F.col("l")) / z).otherwise(0.0))
-    sources = sources.withColumn("budget", _budget(spend, top if budget is None else None)).withColumn(
-        "epochs", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1).cast("int")
+    sources = with_budgets(sources, exponent, total, live, top, budget).withColumn(
+        "epochs", F.when(F.col("tokens") > 0, F.expr("cast(budget div tokens as int)")).otherwise(1)
     )
     sources = sources.withColumn("part", F.when(F.col("tokens") > 0, F.col("budget") - F.col("epochs") * F.col("tokens")).otherwise(-1)).withColumn(
         "n_blocks", F.least(F.lit(blocks), F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens))).cast("int")

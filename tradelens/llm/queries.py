@@ -81,9 +81,9 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies of every document under an entropy target, at the corpus's own token count."""
+    """Copies of every document, half way from the sources' own entropy to equal shares, at the corpus's own token count."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
-    mix = mixing.plan_mix(docs, target_entropy_share=0.97, budget_tokens=0)
+    mix = mixing.plan_mix(docs, flatten=0.5, budget_tokens=0)
     out = mixing.apply_mix(docs.withColumn("n_tokens", mixing.word_tokens()).drop("text"), mix)
     return out.select("doc_id", "source", "n_tokens", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_order").alias("block_order"))
 
