@@ -30,7 +30,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tradelens.contracts import CONTRACTS  # noqa: E402
 from tradelens.plans import serving  # noqa: E402
-from tradelens.plans.models import MODEL_ORDER, build_models  # noqa: E402
+from tradelens.plans.models import MODEL_ORDER, SUPPORT, build_models  # noqa: E402
 from tradelens.plans.refresh import RefreshResult, publish_layer  # noqa: E402
 from tradelens.session import local_session, scratch_path  # noqa: E402
 from tradelens.sinks.releases import Release  # noqa: E402
@@ -75,12 +75,12 @@ def main() -> None:
 
     env = {f"raw.{t}": df for t, df in raw.items()}
     t0 = time.perf_counter()
-    publish_layer(release, MODEL_ORDER, env, RefreshResult())
+    publish_layer(release, [*MODEL_ORDER, *SUPPORT], env, RefreshResult())
     release.commit()
     out["refresh_models"] = time.perf_counter() - t0
-    materialised = {m: env[m] for m in MODEL_ORDER}
+    materialised = {m: env[m] for m in (*MODEL_ORDER, *SUPPORT)}
     # (b) silver, dimensions and facts published; marts still computed per query.
-    lower = {k: v for k, v in materialised.items() if not k.startswith("mart_")}
+    lower = {k: v for k, v in materialised.items() if not k.startswith("mart_") and k not in SUPPORT}
     facts = build_models(raw, overrides=lower)
     for name, q in SERVED.items():
         out[f"{name}_facts_published"] = median_of_three(lambda q=q: q(facts))

@@ -1,11 +1,7 @@
-"""Registered Spark queries against their DuckDB oracles on the smallest tables.
-
-A representative subset runs by default; TRADELENS_FULL_ORACLE=1 runs all.
-"""
+"""All registered queries of the library against their DuckDB oracles on the smallest tables."""
 
 from __future__ import annotations
 
-import os
 import sys
 from pathlib import Path
 
@@ -19,14 +15,8 @@ from oracle_check import TABLES, rows_of  # noqa: E402
 from tradelens.registry import queries as _library  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-DEFAULT = [
-    "mart_seller_performance", "mart_category_performance", "mart_geography_sales",
-    "fact_orders", "dim_products", "serve_states", "an_top10_share", "dq_report",
-    "dt_reconcile_detail", "raw_typed_order_items", "serve_readiness",
-    "an_late_rate_by_state", "an_late_rate_by_state_min100",
-]
 LIBRARY = set(_library())
-SELECTED = sorted(k for k in oracle_sql() if k in LIBRARY) if os.environ.get("TRADELENS_FULL_ORACLE") else DEFAULT
+SELECTED = sorted(k for k in oracle_sql() if k in LIBRARY)
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables absent")
 

@@ -14,7 +14,7 @@ from tradelens.operators.quality import DataQualityError
 from tradelens.plans.lineage import lineage_edges
 from tradelens.plans.refresh import run_refresh
 from tradelens.operators.checks import TableTestError
-from tradelens.plans import marts, models
+from tradelens.plans import analyses, marts, models, profiles, serving
 from tradelens.plans.refresh import ReconciliationError
 from tradelens.sinks import releases
 from tradelens.sinks.reload import read_table
@@ -49,7 +49,7 @@ def test_failing_gold_test_and_reconciliation_leave_the_old_release(spark, tmp_d
     land(raw, f"{tmp_dir}/landing")
     run_refresh(spark, f"{tmp_dir}/landing", f"{tmp_dir}/wh")
     before = releases.live_manifest(spark, f"{tmp_dir}/wh")
-    assert len(before) == 23
+    assert len(before) == 24  # 23 tables and the region sums
     items = raw["order_items"]
     land({"order_items": items.unionByName(items.limit(1))}, f"{tmp_dir}/more")
     for name in CONTRACTS:
@@ -65,7 +65,34 @@ def test_failing_gold_test_and_reconciliation_leave_the_old_release(spark, tmp_d
             run_refresh(spark, f"{tmp_dir}/landing", f"{tmp_dir}/wh")
     assert releases.live_manifest(spark, f"{tmp_dir}/wh") == before
     folders = [f for t in before for f in os.listdir(releases.table_folder(f"{tmp_dir}/wh", t))]
-    assert len(folders) == 23  # what was staged is gone
+    assert len(folders) == 24  # what was staged is gone
+
+
+def test_published_answers_need_no_order_rows_and_no_scan(spark, tmp_dir):
+    land(raw_tables(spark), f"{tmp_dir}/landing")
+    run_refresh(spark, f"{tmp_dir}/landing", f"{tmp_dir}/wh", catalog=True)
+    published = models.published_models(spark, f"{tmp_dir}/wh")
+    lazy = models.build_models(raw_tables(spark))
+    for answer in (serving.states, analyses.state_revenue, lambda m: analyses.late_rate_by_state(m, min_eligible=1)):
+        plan = answer(published)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "n_" in plan and "order_id" not in plan
+        assert answer(published).collect() == answer(lazy).collect()
+    for answer in (serving.readiness, profiles.view_counts):
+        assert "FileScan" not in answer(published)._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, answer(published).collect())) == sorted(map(tuple, answer(lazy).collect()))
+    # Another session names the tables as the source system does.
+    other = spark.newSession()
+    got = other.sql("SELECT customer_state, total_orders, total_revenue FROM analytics.mart_geography_sales").collect()
+    want = lazy["mart_geography_sales"].select("customer_state", "total_orders", "total_revenue").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) >= 2
+    assert other.sql("SELECT count(*) FROM silver.orders").first()[0] == published["orders"].count()
+    # The views follow the live release.
+    land({"sellers": raw_tables(spark)["sellers"].where("seller_id = 's1'")}, f"{tmp_dir}/few")
+    run_refresh(spark, f"{tmp_dir}/few", f"{tmp_dir}/wh", datasets=["sellers"], catalog=True)
+    assert other.sql("SELECT count(*) FROM analytics.dim_sellers").first()[0] == 1
+    assert published["dim_sellers"].count() == 3  # a reader stays on its release
+    for schema in ("analytics", "silver", "raw"):
+        spark.sql(f"DROP SCHEMA {schema} CASCADE")
 
 
 def test_validation_error_loads_nothing(spark, tmp_dir):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fixture import ITEMS, ORDERS, _item, _order, raw_tables, ts
 from tradelens.operators.hot_keys import hot_keys, lookup_join
 from tradelens.plans.models import build_models
+from tradelens.plans.reconcile import reconcile_detail
 
 HOT = 300
 
@@ -113,3 +114,26 @@ def test_a_repeated_order_row_counts_as_in_the_source_view(spark):
         twice = {r[key]: r["total_orders"] for r in m[mart].collect()}
         single = {r[key]: r["total_orders"] for r in once[mart].collect()}
         assert sum(twice.values()) > sum(single.values())
+
+
+def test_reconciliation_moves_item_rows_once(spark, tmp_dir):
+    """A seller with a third of the items is one summed row when it meets the sellers."""
+    orders = ORDERS + [_order(f"h{i}", "c1", "delivered", ts(9), ts(10)) for i in range(HOT)]
+    items = ITEMS + [_item(f"h{i}", 1, "p2", "s2", 1, 0.1) for i in range(HOT)]
+    raw = raw_tables(spark, orders=orders, items=items)
+    lazy = build_models(raw)
+    published = {}
+    for name in ("order_items", "orders"):
+        raw[name].write.parquet(f"{tmp_dir}/raw_{name}")
+    for name in ("mart_seller_performance", "mart_category_performance", "mart_geography_sales", "dim_sellers", "dim_customers"):
+        lazy[name].write.parquet(f"{tmp_dir}/{name}")
+        published[name] = spark.read.parquet(f"{tmp_dir}/{name}")
+    tables = {n: spark.read.parquet(f"{tmp_dir}/raw_{n}") for n in ("order_items", "orders")}
+    detail = reconcile_detail(tables, published)
+    plan = detail._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("price:decimal") == 1  # the items are read once
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert sum("hashpartitioning(order_id" in x for x in moved) == 2  # items and orders, to meet
+    assert not any("hashpartitioning(seller_id" in x or "hashpartitioning(customer_id" in x for x in moved)
+    rows = {r["mart"]: (r["actual"], r["expected"]) for r in detail.collect()}
+    assert set(rows) == {"seller", "category", "geography"} and all(a == e for a, e in rows.values())

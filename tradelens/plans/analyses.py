@@ -37,15 +37,14 @@ def category_mix(models: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def state_revenue(models: Mapping[str, DataFrame], limit: int = 5) -> DataFrame:
-    fo = models["fact_orders"].where("is_delivered").select("order_id", "customer_id")
-    joined = fo.join(models["dim_customers"].select("customer_id", "customer_state"), "customer_id")
-    joined = joined.join(models["order_item_summary"].select("order_id", "revenue"), "order_id")
     return (
-        joined.groupBy("customer_state")
+        models["region_totals"]
+        .groupBy("customer_state")
         .agg(
-            F.count(F.lit(1)).alias("delivered_orders"),
+            F.expr("cast(sum(n_orders) as bigint)").alias("delivered_orders"),
             F.round(F.sum("revenue"), 2).alias("item_revenue"),
         )
+        .where("delivered_orders > 0")
         .orderBy(
             F.col("item_revenue").desc_nulls_last(), F.col("customer_state").asc_nulls_last()
         )
@@ -114,13 +113,13 @@ def top10_share(models: Mapping[str, DataFrame], k: int = 10) -> DataFrame:
 def late_rate_by_state(
     models: Mapping[str, DataFrame], min_eligible: int = 500, limit: int = 5
 ) -> DataFrame:
-    fo = models["fact_orders"].where("is_delivered")
-    joined = fo.join(models["dim_customers"].select("customer_id", "customer_state"), "customer_id")
-    eligible = "count_if(has_delivery_outcome)"
-    late = "count_if(is_late_delivery)"
     return (
-        joined.groupBy("customer_state")
-        .agg(F.expr(eligible).alias("eligible"), exact_ratio(late, eligible, 4).alias("late_rate"))
+        models["region_totals"]
+        .groupBy("customer_state")
+        .agg(
+            F.expr("cast(sum(n_eligible) as bigint)").alias("eligible"),
+            exact_ratio("sum(n_late)", "sum(n_eligible)", 4).alias("late_rate"),
+        )
         .where(F.col("eligible") >= min_eligible)
         .orderBy(F.col("late_rate").desc_nulls_last(), F.col("customer_state").asc_nulls_last())
         .limit(limit)

@@ -142,48 +142,60 @@ def mart_category_performance(
     )
 
 
-def customer_totals(fact_orders: DataFrame, order_item_summary: DataFrame) -> DataFrame:
-    """Per customer: delivered orders with items, revenue, and partial sums/counts.
-
-    Aggregated *before* the customer dimension is joined, so a customer with a
-    large share of all orders is combined map side and the join sees one row
-    per customer.  The regional means are then combined from these parts
-    (``mean_of_sums``), which equals the one-level mean exactly.
+def region_totals(dim_customers: DataFrame, fact_orders: DataFrame, order_item_summary: DataFrame) -> DataFrame:
+    """Exact, mergeable sums and counts of delivered orders per (state, city).
+
+    Every regional answer (the geography mart, states, revenue and late rate by
+    state) is a sum over these rows, so they are published and nothing rescans
+    orders.  ``n_orders`` counts orders with items, ``n_eligible`` and ``n_late``
+    all delivered ones.  Orders are aggregated per customer *before* the customer
+    dimension is joined: a customer with a large share of all orders is combined
+    map side and the join sees one row per customer.
     """
-    fo = fact_orders.where("is_delivered").select("order_id", "customer_id", "avg_review_score")
-    return (
-        fo.join(order_item_summary, "order_id")
+    fo = fact_orders.where("is_delivered").select(
+        "order_id", "customer_id", "avg_review_score", "has_delivery_outcome", "is_late_delivery"
+    )
+    items = order_item_summary.select("order_id", "revenue", "freight", F.lit(True).alias("has_items"))
+    per_customer = (
+        fo.join(items, "order_id", "left")
         .groupBy("customer_id")
         .agg(
-            F.expr("count(1)").alias("n_orders"),
+            F.expr("count(has_items)").alias("n_orders"),
             F.sum("revenue").alias("revenue"),
             wide_sum("revenue + freight").alias("ticket_sum"),
             F.expr("count(revenue + freight)").alias("ticket_n"),
-            wide_sum("avg_review_score").alias("review_sum"),
-            F.expr("count(avg_review_score)").alias("review_n"),
+            wide_sum("CASE WHEN has_items THEN avg_review_score END").alias("review_sum"),
+            F.expr("count(CASE WHEN has_items THEN avg_review_score END)").alias("review_n"),
+            F.expr("count_if(has_delivery_outcome)").alias("n_eligible"),
+            F.expr("count_if(is_late_delivery)").alias("n_late"),
         )
     )
+    customers = dim_customers.select("customer_id", "customer_state", "customer_city")
+    return per_customer.join(customers, "customer_id").groupBy("customer_state", "customer_city").agg(
+        *[
+            F.expr(f"cast(sum({c}) as {kind})").alias(c)
+            for c, kind in (
+                ("n_orders", "bigint"), ("revenue", "decimal(38,2)"), ("ticket_sum", "decimal(38,14)"),
+                ("ticket_n", "bigint"), ("review_sum", "decimal(38,14)"), ("review_n", "bigint"),
+                ("n_eligible", "bigint"), ("n_late", "bigint"),
+            )
+        ]
+    )
 
 
-def region_sales(per_customer: DataFrame, dim_customers: DataFrame, *keys: str) -> DataFrame:
+def region_sales(totals: DataFrame, *keys: str) -> DataFrame:
     """Orders, revenue, mean ticket (items + freight) and mean review per region key."""
-    joined = per_customer.join(
-        dim_customers.select("customer_id", "customer_state", "customer_city"), "customer_id"
-    )
-    return joined.groupBy(*keys).agg(
-        F.expr("cast(sum(n_orders) as bigint)").alias("total_orders"),
-        F.expr("coalesce(sum(revenue), 0.00BD)").alias("total_revenue"),
-        mean_of_sums("ticket_sum", "ticket_n", 2).alias("avg_ticket"),
-        mean_of_sums("review_sum", "review_n", 2).alias("avg_review_score"),
+    return (
+        totals.groupBy(*keys)
+        .agg(
+            F.expr("cast(sum(n_orders) as bigint)").alias("total_orders"),
+            F.expr("coalesce(sum(revenue), 0.00BD)").alias("total_revenue"),
+            mean_of_sums("ticket_sum", "ticket_n", 2).alias("avg_ticket"),
+            mean_of_sums("review_sum", "review_n", 2).alias("avg_review_score"),
+        )
+        .where("total_orders > 0")
     )
 
 
-def mart_geography_sales(
-    dim_customers: DataFrame, fact_orders: DataFrame, order_item_summary: DataFrame
-) -> DataFrame:
-    return region_sales(
-        customer_totals(fact_orders, order_item_summary),
-        dim_customers,
-        "customer_state",
-        "customer_city",
-    )
+def mart_geography_sales(totals: DataFrame) -> DataFrame:
+    return region_sales(totals, "customer_state", "customer_city")

@@ -7,9 +7,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from pyspark.sql import DataFrame
+
+from pyspark.sql import DataFrame, SparkSession
 
 from tradelens.plans import gold, marts, silver
+from tradelens.sinks.releases import Manifest, Warehouse
 
 SILVER = "silver"
 GOLD = "analytics"
@@ -32,6 +34,19 @@ LINEAGE: dict[str, tuple[str, tuple[str, ...]]] = {
     "mart_geography_sales": (GOLD, ("dim_customers", "fact_orders", "order_item_summary")),
 }
 
+# Published beside the models: state that several answers are computed from.
+SUPPORT: dict[str, tuple[str, tuple[str, ...]]] = {
+    "region_totals": (GOLD, ("dim_customers", "fact_orders", "order_item_summary")),
+}
+
+# What a model is built from, where that is a support table in place of the lineage's inputs.
+_INPUTS = {"mart_geography_sales": ("region_totals",)}
+
+
+def inputs_of(model: str) -> tuple[str, ...]:
+    return _INPUTS.get(model) or (LINEAGE.get(model) or SUPPORT[model])[1]
+
+
 _BUILDERS = {
     "orders": silver.orders,
     "order_items": silver.order_items,
@@ -47,6 +62,7 @@ _BUILDERS = {
     "mart_seller_performance": marts.mart_seller_performance,
     "mart_category_performance": marts.mart_category_performance,
     "mart_geography_sales": marts.mart_geography_sales,
+    "region_totals": marts.region_totals,
 }
 
 MODEL_ORDER: tuple[str, ...] = tuple(LINEAGE)
@@ -66,10 +82,9 @@ class Models(Mapping[str, DataFrame]):
 
     def __getitem__(self, key: str) -> DataFrame:
         if key not in self._built:
-            if key not in LINEAGE:
+            if key not in _BUILDERS:
                 raise KeyError(key)
-            _, deps = LINEAGE[key]
-            inputs = [self._env[d] if d.startswith("raw.") else self[d] for d in deps]
+            inputs = [self._env[d] if d.startswith("raw.") else self[d] for d in inputs_of(key)]
             self._built[key] = _BUILDERS[key](*inputs)
         return self._built[key]
 
@@ -89,13 +104,12 @@ class Models(Mapping[str, DataFrame]):
 
 
 def qualified(model: str) -> str:
-    return f"{LINEAGE[model][0]}.{model}"
+    return f"{(LINEAGE.get(model) or SUPPORT[model])[0]}.{model}"
 
 
 def build_model(name: str, inputs: Mapping[str, DataFrame]) -> DataFrame:
     """Build one model from a mapping holding its inputs (``raw.x`` or model names)."""
-    _, deps = LINEAGE[name]
-    return _BUILDERS[name](*[inputs[d] for d in deps])
+    return _BUILDERS[name](*[inputs[d] for d in inputs_of(name)])
 
 
 def build_models(
@@ -109,6 +123,54 @@ def build_models(
     return Models(raw, overrides)
 
 
+class PublishedModels(Models):
+    """All models of one release of a warehouse; row counts and schemas come from its manifest."""
+
+    def __init__(self, warehouse: Warehouse):
+        self._warehouse = warehouse
+        tables = {m: qualified(m) for m in (*MODEL_ORDER, *SUPPORT) if qualified(m) in warehouse}
+        raw = {t[4:]: warehouse[t] for t in warehouse if t.startswith("raw.")}
+        super().__init__(raw, {m: warehouse[t] for m, t in tables.items()})
+
+    @property
+    def manifest(self) -> Manifest:
+        return self._warehouse.manifest
+
+    def rows(self, model: str) -> int | None:
+        """Rows of a published model without a scan; None if the release lacks it."""
+        found = self.manifest.get(qualified(model))
+        return None if found is None else found.rows
+
+
+def published_models(spark: SparkSession, root: str) -> PublishedModels:
+    """The models of the live release, all of that release whatever is committed later."""
+    return PublishedModels(Warehouse(spark, root))
+
+
+def register_catalog(spark: SparkSession, root: str) -> list[str]:
+    """Catalog views ``schema.table`` over the live release; their names.
+
+    Every session of the application (every user of a shared metastore) can then
+    query ``silver.orders`` or ``analytics.mart_geography_sales`` by name.  The
+    views are replaced together after each release; views of tables that the
+    release lacks are dropped.
+    """
+    warehouse = Warehouse(spark, root)
+    names = []
+    for schema in sorted({t.split(".")[0] for t in warehouse}):
+        spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{schema}`")
+        there = {r["viewName"] for r in spark.sql(f"SHOW VIEWS IN `{schema}`").collect() if not r["isTemporary"]}
+        live = {t.split(".")[1] for t in warehouse if t.startswith(f"{schema}.")}
+        for gone in sorted(there - live):
+            spark.sql(f"DROP VIEW `{schema}`.`{gone}`")
+    for table in warehouse:
+        schema, name = table.split(".")
+        path = warehouse.manifest[table].path(root, table).replace("`", "``")
+        spark.sql(f"CREATE OR REPLACE VIEW `{schema}`.`{name}` AS SELECT * FROM parquet.`{path}`")
+        names.append(table)
+    return names
+
+
 def register_models(models: Mapping[str, DataFrame]) -> list[str]:
     """Temporary views ``silver_<model>`` and ``analytics_<model>`` for SQL users; their names.
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tradelens.contracts import CONTRACTS, contract_for
 from tradelens.operators.checks import GOLD_TESTS, SILVER_TESTS, assert_suite, run_suite
 from tradelens.operators.quality import gate
-from tradelens.plans.models import LINEAGE, MODEL_ORDER, SILVER, build_model, qualified
+from tradelens.plans.models import LINEAGE, MODEL_ORDER, SILVER, SUPPORT, build_model, inputs_of, qualified, register_catalog
 from tradelens.plans.reconcile import reconcile_revenue
 from tradelens.session import run_concurrently, scratch_path
 from tradelens.sinks.releases import Release
@@ -40,6 +40,7 @@ class ReconciliationError(AssertionError):
 class RefreshResult:
     raw_rows: dict[str, int] = field(default_factory=dict)
     model_rows: dict[str, int] = field(default_factory=dict)
+    support_rows: dict[str, int] = field(default_factory=dict)
     tests: list[dict] = field(default_factory=list)
     warnings: list[dict] = field(default_factory=list)
     release: int = 0
@@ -65,7 +66,7 @@ def _levels(names: list[str]) -> list[list[str]]:
     while pending:
         ready = [
             n for n in pending
-            if all(d.startswith("raw.") or d in done or d not in names for d in LINEAGE[n][1])
+            if all(d.startswith("raw.") or d in done or d not in names for d in inputs_of(n))
         ]
         levels.append(ready)
         done.update(ready)
@@ -111,7 +112,7 @@ def publish_layer(release: Release, names: Iterable[str], env: dict[str, DataFra
             }
         )
         for name in level:
-            result.model_rows[qualified(name)] = rows[name]
+            (result.support_rows if name in SUPPORT else result.model_rows)[qualified(name)] = rows[name]
             env[name] = release.read(qualified(name))
 
 
@@ -146,8 +147,12 @@ def run_refresh(
     *,
     datasets: Iterable[str] | None = None,
     trim_string_columns: bool = False,
+    catalog: bool = False,
 ) -> RefreshResult:
-    """Refresh everything from the CSV landing folder into the warehouse folder, as one release."""
+    """Refresh everything from the CSV landing folder into the warehouse folder, as one release.
+
+    ``catalog`` also points the catalog views ``schema.table`` at the new release.
+    """
     names = [contract_for(n).name for n in (CONTRACTS if datasets is None else datasets)]
     result = RefreshResult()
     with Release(spark, warehouse) as release:
@@ -171,7 +176,7 @@ def run_refresh(
 
         logger.info("Step 6/7 — gold models and tests")
         gold = [m for m in MODEL_ORDER if LINEAGE[m][0] != SILVER]
-        publish_layer(release, gold, env, result)
+        publish_layer(release, [*SUPPORT, *gold], env, result)
         result.tests += assert_suite(run_suite(env, GOLD_TESTS))
         raw = {k[4:]: v for k, v in env.items() if k.startswith("raw.")}
         mismatches = [r.asDict() for r in reconcile_revenue(raw, env).collect()]
@@ -181,4 +186,6 @@ def run_refresh(
 
         logger.info("Step 7/7 — release")
         result.release = release.commit().number
+    if catalog:
+        register_catalog(spark, warehouse)
     return result

@@ -12,7 +12,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.plans.marts import customer_totals, region_sales
+from tradelens.plans.marts import region_sales
+from tradelens.plans.models import PublishedModels
 
 MAX_LIMIT = 100
 SELLER_ID_MAX = 32
@@ -81,11 +82,10 @@ def categories(models: Mapping[str, DataFrame], limit: int = 100) -> DataFrame:
 
 
 def states(models: Mapping[str, DataFrame], limit: int = 100) -> DataFrame:
-    """Per customer state, aggregated from the facts (not from the rounded city mart)."""
+    """Per customer state, from the exact sums per region (not from the rounded city mart)."""
     n = check_limit(limit)
-    per_customer = customer_totals(models["fact_orders"], models["order_item_summary"])
     return (
-        region_sales(per_customer, models["dim_customers"], "customer_state")
+        region_sales(models["region_totals"], "customer_state")
         .orderBy(
             F.col("total_revenue").desc_nulls_last(), F.col("customer_state").asc_nulls_last()
         )
@@ -98,8 +98,15 @@ def readiness(models: Mapping[str, DataFrame]) -> DataFrame:
 
     Resolving each plan (``schema``) fails on a missing or broken source before
     any job; the probe then reads at most one row of each (``limit(1)``), so an
-    empty source passes with ``sample_rows = 0``.
+    empty source passes with ``sample_rows = 0``.  Published sources are answered
+    from their release's manifest, without reading data.
     """
+    if isinstance(models, PublishedModels):
+        rows = [
+            (name, len(models[name].columns), min(1, models.rows(name) or 0)) for name in SERVING_SOURCES
+        ]
+        spark = models[SERVING_SOURCES[0]].sparkSession
+        return spark.createDataFrame(rows, "source string, n_columns int, sample_rows long")
     probes = []
     for name in SERVING_SOURCES:
         df = models[name]

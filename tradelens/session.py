@@ -53,12 +53,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a scratch one only where none is set.
 
     On a cluster ``spark.checkpoint.dir`` names a shared file system and is used
-    as is.  Only a session without it (a test, a laptop) gets a fresh scratch
-    directory so that lineage can still be cut.
+    as is.  Only a local session without it (a test, a laptop) gets a fresh
+    scratch directory so that lineage can still be cut; on a cluster, where the
+    driver's own folder is no use to executors, its absence is an error.
     """
     current = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="tradelens-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext.getCheckpointDir() or path

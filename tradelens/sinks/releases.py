@@ -61,9 +61,14 @@ class TableVersion:
     rows: int
     schema: str
 
+    def path(self, root: str, table: str) -> str:
+        return f"{table_folder(root, table)}/v={self.version}"
+
+    def struct(self) -> T.StructType:
+        return T.StructType.fromJson(json.loads(self.schema))
+
     def frame(self, spark: SparkSession, root: str, table: str) -> DataFrame:
-        path = f"{table_folder(root, table)}/v={self.version}"
-        return spark.read.schema(T.StructType.fromJson(json.loads(self.schema))).parquet(path)
+        return spark.read.schema(self.struct()).parquet(self.path(root, table))
 
 
 @dataclass(frozen=True)
