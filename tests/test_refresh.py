@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from decimal import Decimal as D
 
@@ -95,6 +96,26 @@ def test_published_answers_need_no_order_rows_and_no_scan(spark, tmp_dir):
         spark.sql(f"DROP SCHEMA {schema} CASCADE")
 
 
+def test_rejected_values_go_to_quarantine(spark, tmp_dir):
+    raw = raw_tables(spark)
+    n = raw["order_items"].where("seller_id = 's1'").count()
+    text = {name: raw[name].select(*[F.col(c).cast("string").alias(c) for c in raw[name].columns]) for name in ("order_items", "order_reviews")}
+    items = text["order_items"].withColumn("price", F.when(F.col("seller_id") == "s1", "n/a").otherwise(F.col("price")))
+    reviews = text["order_reviews"].withColumn("review_creation_date", F.lit("a\nb"))
+    land(raw, f"{tmp_dir}/landing", {"order_items": items, "order_reviews": reviews})
+    with pytest.raises(DataQualityError, match="does not fit price.*rejected value"):
+        run_refresh(spark, f"{tmp_dir}/landing", f"{tmp_dir}/wh")
+    assert releases.live_manifest(spark, f"{tmp_dir}/wh").number == 0
+    run = os.listdir(f"{tmp_dir}/wh/_quarantine")
+    rows = spark.read.parquet(f"{tmp_dir}/wh/_quarantine/{run[0]}").collect()
+    assert {(r["table"], r["column"]) for r in rows} == {("raw.order_items", "price"), ("raw.order_reviews", "review_creation_date")}
+    prices = [r for r in rows if r["column"] == "price"]
+    assert len(prices) == n and {(r["value"], r["reason"]) for r in prices} == {("n/a", "not a decimal(8,2)")}
+    assert all(CONTRACTS["order_items"].csv_filename in r["file"] and json.loads(r["record"])["seller_id"] == "s1" for r in prices)
+    dates = [r for r in rows if r["column"] == "review_creation_date"]
+    assert len(dates) == reviews.count() and all(r["value"] == "a\nb" and r["file"] for r in dates)
+
+
 def test_validation_error_loads_nothing(spark, tmp_dir):
     raw = raw_tables(spark)
     bad_items = raw["order_items"].withColumn("price", -F.col("price"))

@@ -187,6 +187,18 @@ def test_typed_projection_counts_rejects(spark):
     assert first["shipping_limit_date"] == dt.datetime(2020, 1, 1, 10)
 
 
+def test_quarantine_has_a_row_per_counted_reject(spark):
+    c = CONTRACTS["order_reviews"]
+    rows = [("r1", "o1", "9", None), ("r" * 33, "o" * 40, "x", "2020-01-01 00:00:00"), ("r2", "o2", "5", "never")]
+    df = spark.createDataFrame(rows, "review_id string, order_id string, review_score string, review_creation_date string")
+    kept = typed.quarantined(typed.with_rejects(df, c), c).collect()
+    counted = {r["column"]: r["n_rows"] for r in typed.type_rejects(df, c).collect()}
+    assert Counter(r["column"] for r in kept) == counted and len(kept) == 5
+    assert {r["reason"] for r in kept if r["column"] == "review_score"} == {"out of bounds", "not a smallint"}
+    empty = typed.with_rejects(spark.createDataFrame([("x",)], "odd string"), c)
+    assert typed.quarantined(empty, c).count() == 0
+
+
 def test_enum_and_bounds_rejected(spark):
     o = CONTRACTS["orders"]
     df = spark.createDataFrame([("o1", "delivered"), ("o2", "lost")], "order_id string, order_status string")

@@ -12,22 +12,25 @@ release before, and the staged versions are removed.
 from __future__ import annotations
 
 import logging
+import time
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from tradelens.contracts import CONTRACTS, contract_for
 from tradelens.operators.checks import GOLD_TESTS, SILVER_TESTS, assert_suite, run_suite
-from tradelens.operators.quality import gate
+from tradelens.operators.quality import DataQualityError, gate
 from tradelens.plans.models import LINEAGE, MODEL_ORDER, SILVER, SUPPORT, build_model, inputs_of, qualified, register_catalog
 from tradelens.plans.reconcile import reconcile_revenue
 from tradelens.session import run_concurrently, scratch_path
 from tradelens.sinks.releases import Release
 from tradelens.sinks.reload import delete_path, stage_all
 from tradelens.sources.landing import Landing
-from tradelens.sources.typed import typed_view, validate_text
+from tradelens.sources.typed import REJECTS, TYPE_REJECTED, quarantined, typed_view, validate_text, with_rejects
 
 logger = logging.getLogger(__name__)
 
@@ -79,10 +82,27 @@ def _stage(spark: SparkSession, name: str, df: DataFrame, paths: list[str]) -> D
         return df
     path = scratch_path(spark, f"stage-{name}")
     paths.append(path)
-    df.write.parquet(path)
+    with_rejects(df, CONTRACTS[name]).write.parquet(path)
     return spark.read.parquet(path)
 
 
+#: Column of the staged text that holds a record's source file.
+SOURCE_FILE = "__source_file"
+
+
+def _text(staged: DataFrame) -> DataFrame:
+    return staged.drop(REJECTS, SOURCE_FILE)
+
+
+def write_quarantine(staged: dict[str, DataFrame], folder: str) -> int:
+    """Write the rejected values of staged datasets below ``folder``, one folder a table; their number."""
+    rows = {n: quarantined(df, CONTRACTS[n], SOURCE_FILE) for n, df in staged.items() if REJECTS in df.columns}
+    bad = reduce(DataFrame.unionByName, rows.values())
+    seen = Observation(f"rejects_{uuid.uuid4().hex[:8]}")
+    bad.observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy("table").parquet(folder)
+    return int(seen.get["n"])
+
+
 # Published tables are sorted within each file by their lookup keys (a local
 # sort per task, no shuffle), so Parquet min/max statistics let a pushed key
 # filter -- e.g. one seller's items -- skip row groups.
@@ -129,10 +149,18 @@ def _load_raw(release: Release, extracted: dict[str, DataFrame], result: Refresh
         )
 
         logger.info("Step 3/7 — validating")
-        result.warnings = gate(validate_extracted(extracted))
+        text = {n: _text(df) for n, df in extracted.items()}
+        try:
+            result.warnings = gate(validate_extracted(text))
+        except DataQualityError as e:
+            if TYPE_REJECTED not in str(e):
+                raise
+            folder = f"{release.root}/_quarantine/{time.time_ns():020d}"
+            n = write_quarantine(extracted, folder)
+            raise DataQualityError(f"{e}; {n} rejected value(s) in {folder}") from e
 
         logger.info("Step 4/7 — loading raw tables")
-        views = {n: typed_view(df, CONTRACTS[n]) for n, df in extracted.items()}
+        views = {n: typed_view(df, CONTRACTS[n]) for n, df in text.items()}
         result.raw_rows = stage_all(release, views, CONTRACTS)
     finally:  # also where a check stops the run
         for path in staged:
@@ -165,7 +193,7 @@ def run_refresh(
         landing.contracts(names)
 
         logger.info("Step 2/7 — extracting")
-        extracted = landing.read_all(names)
+        extracted = landing.read_all(names, SOURCE_FILE)
 
         env |= _load_raw(release, extracted, result)
 

@@ -127,15 +127,26 @@ def dq_extract_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dq_type_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _misfit_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _text(_raw(spark, sf_dir)["order_items"])
-    items = items.withColumn(
+    return items.withColumn(
         "price", F.when(_key_mod("order_id", 499), F.lit("n/a")).otherwise(F.col("price"))
     ).withColumn(
         "seller_id",
         F.when(_key_mod("order_id", 503), F.lit("9" * 40)).otherwise(F.col("seller_id")),
     )
-    return typed.type_rejects(items, CONTRACTS["order_items"])
+
+
+def dq_type_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typed.type_rejects(_misfit_items(spark, sf_dir), CONTRACTS["order_items"])
+
+
+def dq_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rejected value with its record's key."""
+    staged = typed.with_rejects(_misfit_items(spark, sf_dir), CONTRACTS["order_items"])
+    rows = typed.quarantined(staged, CONTRACTS["order_items"])
+    key = F.from_json("record", "order_id string, order_item_id string")
+    return rows.select("table", "column", "value", "reason", key["order_id"].alias("order_id"), key["order_item_id"].alias("order_item_id"))
 
 
 # --- table tests --------------------------------------------------------------------
@@ -310,7 +321,7 @@ QUERIES = {
     fn.__name__: fn
     for fn in (
         dq_missing_columns, dq_duplicate_keys, dq_negative_money, dq_out_of_bounds,
-        dq_date_order, dq_null_heavy, dq_report, dq_gate, dq_extract_issues, dq_type_rejects,
+        dq_date_order, dq_null_heavy, dq_report, dq_gate, dq_extract_issues, dq_type_rejects, dq_quarantine,
         dt_nonempty, dt_unique_columns, dt_between, dt_not_null, dt_unique,
         dt_reconcile_revenue, dt_reconcile_detail, dt_suite_summary,
         src_csv_roundtrip, src_header_normalize, src_trim_strings,

@@ -63,8 +63,11 @@ class Landing:
             raise FileNotFoundError(f"not in {self.folder}: {', '.join(absent)}")
         return asked
 
-    def read(self, dataset: str) -> DataFrame:
-        """One dataset with normalised column names (only its first line is read now)."""
+    def read(self, dataset: str, file_column: str | None = None) -> DataFrame:
+        """One dataset with normalised column names (only its first line is read now).
+
+        ``file_column`` names one more column for the file that a record comes from.
+        """
         contract = contract_for(dataset)
         path = self.path(contract)
         first = self.spark.read.option("lineSep", "\n").text(path).limit(1).collect()
@@ -73,16 +76,17 @@ class Landing:
             return self.spark.createDataFrame([], T.StructType([]))
         names = column_names(header)
         if contract.multiline:
-            df = read_quoted(self.spark, path, first[0][0], names)
+            df = read_quoted(self.spark, path, first[0][0], names, file_column)
         else:
             # Text schema named as the first header; Spark holds every file's header against it.
             schema = T.StructType([T.StructField(n, T.StringType()) for n in header])
             df = self.spark.read.options(**READ_OPTIONS).schema(schema).csv(path).toDF(*names)
-        return df.select(*[strip_ws(F.col(f"`{c}`")).alias(c) for c in names]) if self.trim else df
+            df = df.withColumn(file_column, F.input_file_name()) if file_column else df
+        return df.withColumns({c: strip_ws(F.col(f"`{c}`")) for c in names}) if self.trim else df
 
-    def read_all(self, datasets: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    def read_all(self, datasets: Iterable[str] | None = None, file_column: str | None = None) -> dict[str, DataFrame]:
         """Frames by dataset name; nothing is read if a file is absent."""
-        return {c.name: self.read(c.name) for c in self.contracts(datasets)}
+        return {c.name: self.read(c.name, file_column) for c in self.contracts(datasets)}
 
 
 # Spark's CSV writer trims values and cuts timestamps to milliseconds unless

@@ -89,7 +89,7 @@ def _header_or_fail(header: str) -> Column:
 
 
 def quoted_records(spark: SparkSession, path: str, header: str) -> DataFrame:
-    """One row per record (``record``), the header lines taken off."""
+    """One row per record (``file``, ``record``), the header lines taken off."""
     states = _line_states(text_lines(spark, path))
     known = states.join(_range_states(states), list(_PLACE))
     paired = F.when(
@@ -115,15 +115,18 @@ def quoted_records(spark: SparkSession, path: str, header: str) -> DataFrame:
         .groupBy("file", "key")
         .agg(F.array_join(F.transform(parts, lambda x: x["value"]), "\n").alias("record"))
     )
-    whole = known.where("whole").select(F.col("value").alias("record"))
-    records = whole.unionByName(broken.select("record"))
+    whole = known.where("whole").select("file", F.col("value").alias("record"))
+    records = whole.unionByName(broken.select("file", "record"))
     if header.endswith("\r"):  # CR LF is one line end, also inside quotes, as for Spark's own reader
-        records = records.select(F.regexp_replace("record", r"\r(?=\n|\z)", "").alias("record"))
+        records = records.withColumn("record", F.regexp_replace("record", r"\r(?=\n|\z)", ""))
     return records.where("record <> ''")
 
 
-def read_quoted(spark: SparkSession, path: str, header: str, names: Sequence[str]) -> DataFrame:
-    """The records' fields as text columns."""
+def read_quoted(
+    spark: SparkSession, path: str, header: str, names: Sequence[str], file_column: str | None = None
+) -> DataFrame:
+    """The records' fields as text columns; with ``file_column`` also the file of each."""
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
     parsed = F.from_csv("record", schema, PARSE_OPTIONS)
-    return quoted_records(spark, path, header).select(parsed.alias("r")).select("r.*")
+    fields = quoted_records(spark, path, header).select(parsed.alias("r"), "file")
+    return fields.select("r.*", *([F.col("file").alias(file_column)] if file_column else []))

@@ -47,6 +47,56 @@ def to_typed(df: DataFrame, contract: DatasetContract) -> DataFrame:
     return df.select(*cols)
 
 
+REJECTS = "__rejects"
+
+
+def with_rejects(df: DataFrame, contract: DatasetContract) -> DataFrame:
+    """``df`` with one more column: the values of a record that do not fit (column, value, reason).
+
+    It is computed while the text is staged, so finding the bad records later
+    reads only that column's statistics and their rows, not the source again.
+    """
+    found = [
+        F.when(
+            _violates(F.col(f"`{n}`"), _typed(F.col(f"`{n}`"), r), r),
+            F.struct(
+                F.lit(n).alias("column"),
+                F.col(f"`{n}`").alias("value"),
+                _reason(F.col(f"`{n}`"), _typed(F.col(f"`{n}`"), r), r).alias("reason"),
+            ),
+        )
+        for n, r in contract.columns
+        if n in df.columns
+    ]
+    none = F.expr("cast(array() as array<struct<column:string,value:string,reason:string>>)")
+    return df.withColumn(REJECTS, F.array_compact(F.array(*found)) if found else none)
+
+
+def _reason(raw: Column, typed: Column, rule: ColumnRule) -> Column:
+    """Why a value that ``_violates`` its rule does not fit."""
+    why = F.when(raw.isNotNull() & typed.isNull(), F.lit(f"not a {rule.dtype.simpleString()}"))
+    if rule.max_length is not None:
+        why = why.when(F.length(raw) > rule.max_length, F.lit(f"longer than {rule.max_length}"))
+    if rule.allowed is not None:
+        why = why.when(~raw.isin(*rule.allowed), F.lit("not an allowed value"))
+    return why.otherwise(F.lit("out of bounds"))
+
+
+def quarantined(staged: DataFrame, contract: DatasetContract, file_column: str | None = None) -> DataFrame:
+    """One row per rejected value: table, file, column, value, reason and the whole record as JSON.
+
+    ``staged`` comes from ``with_rejects``.
+    """
+    fields = [c for c in staged.columns if c not in (REJECTS, file_column)]
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in fields]), {"ignoreNullFields": "false"})
+    return staged.where(F.size(REJECTS) > 0).select(
+        F.lit(contract.destination_table).alias("table"),
+        (F.col(f"`{file_column}`") if file_column else F.lit(None).cast("string")).alias("file"),
+        record.alias("record"),
+        F.inline(REJECTS),
+    )
+
+
 def type_rejects(df: DataFrame, contract: DatasetContract) -> DataFrame:
     """Issue rows (one per column with rejected values), from one aggregate."""
     present = [(n, r) for n, r in contract.columns if n in df.columns]
