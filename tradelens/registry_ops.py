@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tradelens.contracts import CONTRACTS
 from tradelens.operators import checks, quality
-from tradelens.plans import profiles, reconcile
+from tradelens.plans import profiles, reconcile, serving
 from tradelens.plans.models import Models, build_models
 from tradelens.plans.refresh import run_refresh
 from tradelens.session import run_concurrently, scratch_path
@@ -309,6 +309,16 @@ def out_seller_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.to_json_records(m["mart_seller_performance"])
 
 
+def out_category_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, m = _models(spark, sf_dir)
+    return records.to_json_records(serving.categories(m))
+
+
+def out_state_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, m = _models(spark, sf_dir)
+    return records.to_json_records(serving.states(m))
+
+
 # --- refresh ---------------------------------------------------------------------------
 def refresh_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir)
@@ -327,7 +337,7 @@ QUERIES = {
         src_csv_roundtrip, src_header_normalize, src_trim_strings,
         raw_typed_orders, raw_typed_order_items, raw_delivered_sample, src_sample_counts,
         sink_full_reload, sink_projection, sink_row_counts,
-        prof_view_counts, prof_heaviest_product, out_seller_json,
+        prof_view_counts, prof_heaviest_product, out_seller_json, out_category_json, out_state_json,
         refresh_summary,
     )
 }
