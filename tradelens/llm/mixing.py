@@ -94,6 +94,12 @@ def _bisect(sources: DataFrame, target_entropy: float | None, max_repeats: float
     return lo if target_entropy is not None else hi
 
 
+def _budget(spend: float, top: int) -> Column:
+    """Whole tokens of a source's share of ``spend``; the source of ``top`` is taken exactly once and none less."""
+    share = F.floor(F.col("weight") * spend + 1e-6).cast("long")
+    return F.when(F.col("tokens") == top, F.col("tokens")).otherwise(F.greatest("tokens", share))
+
+
 def with_budgets(sources: DataFrame, exponent: float, total: int, live: int, top: int, budget: int | None) -> DataFrame:
     """Sources (tokens, l) with weight and budget in whole tokens.
 
@@ -107,9 +113,7 @@ def with_budgets(sources: DataFrame, exponent: float, total: int, live: int, top
     weight = F.when(F.col("tokens") > 0, F.exp(exponent * F.col("l")) / z).otherwise(0.0)
     sources = sources.withColumn("weight", weight)
     if budget is None:
-        share = F.when(F.col("tokens") == top, F.col("tokens")).otherwise(
-            F.greatest("tokens", F.floor(F.col("weight") * (float(top) * z) + 1e-6).cast("long"))
-        )
+        share = _budget(float(top) * z, top)
         share = F.col("tokens") if exponent == 1.0 else F.lit(top).cast("long") if exponent == 0.0 else share
     elif exponent == 1.0:
         share = F.expr(f"cast(cast(tokens as decimal(19,0)) * cast({budget} as decimal(19,0)) div {max(total, 1)} as bigint)")
