@@ -8,9 +8,10 @@ class of the remaining words (by their last letters); within a class a word
 has its smoothed share of the class's counts.
 
 Each round's expected counts cover all training texts; they are summed per
-partition and then by Spark.  Scoring is the
+partition and then by Spark, with the round's log likelihood.  Scoring is the
 scaled forward recursion over the whole text: the exact likelihood.  Sequences
-of over ``LONGEST`` tokens are trained on in consecutive parts (never scored so).
+of over ``LONGEST`` tokens are trained on in consecutive parts, each with a
+start of its own (never scored so): a time step then has many rows.
 
 Null text counts as empty (one end token); equal rows get equal rows; with
 nothing to train on the base model gives every token probability 1 over V + 1;
@@ -37,7 +38,8 @@ COMMON, SYMBOLS, CLASSES = 1 << 18, 1 << 13, 1 << 11
 STATES = 8
 #: Baum-Welch rounds; each reads all training texts.
 ROUNDS = 8
-LONGEST = 1 << 20
+#: Tokens of a training part.
+LONGEST = 512
 _FLUSH = 300_000
 
 
@@ -107,6 +109,8 @@ class Hmm:
     start: np.ndarray  # [state]
     move: np.ndarray  # [state, state]
     emit: np.ndarray  # [symbol, state]
+    #: Natural log likelihood of the training parts before each round.
+    history: tuple[float, ...] = ()
 
 
 #: Symbol of the end token; classes follow it.
@@ -154,6 +158,11 @@ def log_likelihood(seqs: list[np.ndarray], hmm: Hmm) -> np.ndarray:
 
 def baum_welch_counts(seqs: list[np.ndarray], hmm: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected start, move and emission counts of the sequences."""
+    return expected_counts(seqs, hmm)[:3]
+
+
+def expected_counts(seqs: list[np.ndarray], hmm: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected start, move and emission counts of the sequences and their natural log likelihood."""
     _, flat, first = _padded(seqs)
     steps = len(first) - 1
     # States are rows here: sums and products run over consecutive tokens.
@@ -182,7 +191,7 @@ def baum_welch_counts(seqs: list[np.ndarray], hmm: Hmm) -> tuple[np.ndarray, np.
         alpha[:, a:b] *= back
     alpha /= alpha.sum(axis=0)
     emit = np.stack([np.bincount(flat, g, minlength=len(hmm.emit)) for g in alpha], axis=1)
-    return alpha[:, : first[1]].sum(axis=1), move * hmm.move, emit
+    return alpha[:, : first[1]].sum(axis=1), move * hmm.move, emit, -float(np.log(scale).sum())
 
 
 def _symbols(texts: DataFrame, lex: Lexicon) -> DataFrame:
@@ -257,27 +266,28 @@ def train(seqs: DataFrame, rounds: int = ROUNDS) -> Hmm:
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             hmm = shared.value
-            total = np.zeros((size + STATES + 1, STATES))  # emissions, moves, start
+            total = np.zeros((size + STATES + 2, STATES))  # emissions, moves, start, likelihood (in the first state)
             for b in batches:
                 for _, rows in _groups(b, 1 << 18):
                     parts = [s[i : i + LONGEST] for s in rows for i in range(0, len(s), LONGEST)]
-                    start, move, emit = baum_welch_counts(parts, hmm)
+                    start, move, emit, log = expected_counts(parts, hmm)
                     total[:size] += emit
-                    total[size:-1] += move
-                    total[-1] += start
+                    total[size:-2] += move
+                    total[-2] += start
+                    total[-1, 0] += log
             at = np.flatnonzero(total.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *[pa.array(total[at, k]) for k in range(STATES)]], ["at", *[f"g{k}" for k in range(STATES)]])
 
         got = seqs.select("seq").mapInArrow(expect, "at int, " + ", ".join(f"g{k} double" for k in range(STATES))).groupBy("at").agg(*sums).toArrow()
         if not got.num_rows:
             break
-        total = np.zeros((size + STATES + 1, STATES))
+        total = np.zeros((size + STATES + 2, STATES))
         total[got["at"].to_numpy()] = np.stack([got[f"g{k}"].to_numpy() for k in range(STATES)], axis=1)
-        emit, move, start = total[:size], total[size:-1], total[-1]
+        emit, move, start = total[:size], total[size:-2], total[-2]
         overall = emit.sum(axis=1, keepdims=True) + 0.5
         emit = emit + 20.0 * overall / overall.sum()  # a little of the pooled emissions
         move, start = move + 0.1, start + 0.1
-        hmm = Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        hmm = Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), (*hmm.history, float(total[-1, 0])))
     return hmm
 
 
