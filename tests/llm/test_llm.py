@@ -343,3 +343,79 @@ def test_largest_source_is_whole(spark):
     top, z = next((t, z) for t in range(30_000_000_001, 30_000_001_000) for z in (1.1, 1.3, 1.7) if math.floor((1 / z) * (t * z) + 1e-6) < t)
     sources = spark.createDataFrame([(top, 1 / z), (5, 1e-12), (0, 0.0)], "tokens long, weight double")
     assert sorted(r.budget for r in sources.select(mixing._budget(top * z, top).alias("budget")).collect()) == [0, 5, top]
+
+
+def test_bit_sets_bound_the_overlap():
+    rng = np.random.default_rng(12)
+    pool = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
+    for n, m, shared in ((1, 1, 0), (5, 3, 3), (300, 260, 250), (900, 1200, 100), (1500, 1200, 1200)):
+        a = np.sort(pool[:n])
+        b = np.sort(pool[n - shared : n - shared + m])
+        data, at = jaccard_join._bit_sets(np.concatenate([a, b]), np.array([0, n, n + m]))
+        got = jaccard_join.most_shared(data[at[0] : at[1]], n, data[at[1] : at[2]], m)
+        assert shared <= got <= min(n, m, shared + 5 + (n + m) // 8)
+
+
+def test_jaccard_scratch_is_discarded(spark, docs):
+    """Only what the result reads is left of the join's written steps."""
+    from pathlib import Path
+
+    from tradelens.session import ensure_checkpoint_dir
+
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    got = jaccard_join.join_components(table(spark, docs))
+    left = {x.name.rsplit("-", 1)[0] for x in set(folder.iterdir()) - before}
+    assert left <= {"names", "classes", "roots", "checked", "met", "star"} and got.count() == len(docs)
+
+
+def test_hmm_score_end_to_end(spark):
+    """Scores against Baum-Welch and forward runs in plain unscaled steps, one sequence at a time."""
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice(["a", "b", "cc", "dd", "e"][i % 2 :]) for _ in range(rng.randint(0, 15)))) for i in range(40)]
+    df = table(spark, rows)
+    got = {r.doc_id: r for r in hmm_lm.score_texts(df, language_id.crc_remainder(7) == 2).collect()}
+    split = {k: t.encode().split() for k, t in rows}
+    train = [k for k in split if zlib.crc32(str(k).encode()) % 7 != 2]
+    c = Counter(w for k in train for w in split[k])
+    index = {w: i for i, w in enumerate(sorted(c, key=lambda w: (-c[w], w)))}
+    seqs = {k: [*(index[w] for w in ws), hmm_lm.END] for k, ws in split.items()}
+    hmm, logs = hmm_lm.initial(), []
+    for _ in range(hmm_lm.ROUNDS):
+        emit, move, start, log = np.zeros_like(hmm.emit), np.zeros_like(hmm.move), np.zeros_like(hmm.start), 0.0
+        for s in (seqs[k] for k in train):
+            alpha = [hmm.start * hmm.emit[s[0]]]
+            for x in s[1:]:
+                alpha.append((alpha[-1] @ hmm.move) * hmm.emit[x])
+            beta = [np.ones(hmm_lm.STATES)]
+            for x in s[:0:-1]:
+                beta.insert(0, hmm.move @ (hmm.emit[x] * beta[0]))
+            total = alpha[-1].sum()
+            log += math.log(total)
+            for t, x in enumerate(s):
+                emit[x] += alpha[t] * beta[t] / total
+                if t:
+                    move += np.outer(alpha[t - 1], hmm.emit[x] * beta[t]) * hmm.move / total
+            start += alpha[0] * beta[0] / total
+        logs.append(log)
+        overall = emit.sum(axis=1, keepdims=True) + 0.5
+        emit = emit + 20.0 * overall / overall.sum()
+        start, move = start + 0.1, move + 0.1
+        hmm = hmm_lm.Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    for k, s in seqs.items():
+        a = hmm.start * hmm.emit[s[0]]
+        for x in s[1:]:
+            a = (a @ hmm.move) * hmm.emit[x]
+        assert math.isclose(got[k].score, math.log10(a.sum()), rel_tol=1e-7)
+    seen = spark.createDataFrame([(np.array(seqs[k], "<u2").tobytes(),) for k in train], "seq binary")
+    history = hmm_lm.train(seen).history
+    assert np.allclose(history, logs)
+
+
+def test_hmm_long_sequences_train_in_parts(spark):
+    """A long sequence counts as its parts, every token once."""
+    rng = np.random.default_rng(5)
+    s = rng.integers(0, 9, 3 * hmm_lm.LONGEST + 7).astype("<u2")
+    parts = [s[i : i + hmm_lm.LONGEST] for i in range(0, len(s), hmm_lm.LONGEST)]
+    whole, split = (hmm_lm.train(spark.createDataFrame([(x.tobytes(),) for x in r], "seq binary"), rounds=2) for r in ([s], parts))
+    assert np.allclose(whole.emit, split.emit) and np.allclose(whole.history, split.history)

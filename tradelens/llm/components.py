@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradelens.llm.stored import stored
+from tradelens.llm.stored import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -24,9 +24,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest reachable node) of every node that has an edge a - b."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    before = None
+    before = last = None
     while True:
         edges = stored(_small_star(_large_star(edges)).distinct(), "star")
+        if last is not None:
+            discard(last)
+        last = edges
         seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

@@ -12,8 +12,9 @@ equal members (by 128 bits of hash) one is searched.  Every cell
 has an R-tree (a cell of up to ``FANOUT`` points is one leaf); a query point
 descends where the bound allows a link, and each point proposes its smallest
 surviving neighbours of other components (over all cells: one in the first
-round, ``MORE`` times as many in each later one).  Proposals are verified on the full
-sets, components are merged, and rounds follow until no pair is left that the
+round, ``MORE`` times as many in each later one).  Proposals meet as bit sets of
+``BITS`` bits or more an item, which bound the overlap from above; pairs that these allow are
+verified on the full sets, components are merged, and rounds follow until no pair is left that the
 bound allows, that is not connected and that was not refuted (or a round has
 offered all such pairs).  So no link is
 lost, and a group of near copies proposes a few pairs per member, never all.
@@ -24,9 +25,12 @@ A cell of over ``CELL`` points is dealt to blocks of about ``CELL``: first each
 block is searched by itself; later the members of the commonest component have
 blocks of their own, and each block of the others meets itself and every other
 block once, a pair of blocks in one part.  A shingle that many sets hold makes
-such a cell where it is in their prefixes, so shingles found to make one come
+such a cell where it is in their prefixes, so shingles found to make one (a first
+pass counts them, somewhat beyond the prefixes) come
 last in the order that prefixes are taken from (any order finds all links).
 
+Written steps that no later one reads are deleted on the way.
+
 Null text and text without a word have an empty set and link with nothing; a
 text of fewer words than a shingle is one shingle; rows with equal sets share
 their component; null ids never name a component unless nothing else can;
@@ -55,12 +59,14 @@ from tradelens.llm.flat import (
     word_hashes,
     word_spans,
 )
-from tradelens.llm.stored import stored
+from tradelens.llm.stored import discard, stored
 
 SHINGLE, PERCENT = 4, 85
 GROUPS, FANOUT, CELL, HUB, MORE = 128, 16, 2000, 500, 32
 #: Orders of shingles tried at most, and commonest shingles put last by each (8 bytes each, shipped to tasks).
-ORDERS, COMMON = 3, 1 << 16
+ORDERS, COMMON = 2, 1 << 16
+#: Least bits of a bit set for each item, and bytes of sets in one batch (a larger set is one batch).
+BITS, SETS_BYTES = 8, 8 << 20
 #: Measured bytes of verdicts and visits (a few per near copy) that may be broadcast.
 BROADCAST_LISTS = 16 << 20
 
@@ -88,6 +94,39 @@ def _narrow(most: int) -> str:
     return "u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4"
 
 
+def _prefix(h: np.ndarray, first: np.ndarray, percent: int, common: np.ndarray, spare: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The prefixes of all sets (half as long again if ``spare``) and their lengths; ``common`` shingles come last in the order."""
+    n = np.diff(first)
+    row = np.repeat(np.arange(len(n)), n)
+    take = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+    if spare:
+        take = np.minimum(take + take // 2, n)
+    ranked = h[np.lexsort((h, np.isin(h, common), row))] if len(common) else h
+    return ranked[np.arange(len(h)) - first[row] < take[row]].view(np.int64), take
+
+
+def _cell_counts(batches: Iterator[pa.RecordBatch], width: int, percent: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        buf, offsets = flat_text(b.column("text"))
+        for lo, hi in doc_slices(offsets):
+            h, first = shingle_sets(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
+            cell, c = np.unique(_prefix(h, first, percent, common, spare=True)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(c, pa.int32())], ["cell", "c"])
+
+
+def _common_shingles(rows: DataFrame, width: int, percent: int) -> np.ndarray:
+    """Shingles in the prefixes of over ``CELL`` rows, the commonest ``COMMON`` of each order."""
+    common = np.zeros(0, np.uint64)
+    for _ in range(ORDERS - 1):
+        counts = rows.mapInArrow(lambda x, common=common: _cell_counts(x, width, percent, common), "cell long, c int").groupBy("cell").agg(F.sum("c").alias("c"))
+        large = counts.where(F.col("c") > CELL).orderBy(F.desc("c"), "cell").limit(COMMON).toArrow()
+        new = np.setdiff1d(large["cell"].to_numpy().view(np.uint64), common)
+        if not len(new):
+            break
+        common = np.union1d(common, new)
+    return common
+
+
 def _row_ids(b: pa.RecordBatch, lo: int, hi: int) -> list[pa.Array]:
     return [b.column(c).slice(lo, hi - lo) for c in ("doc_id", "text_hash")]
 
@@ -102,10 +141,7 @@ def _points(batches: Iterator[pa.RecordBatch], width: int, percent: int, common:
             row = np.repeat(np.arange(len(n)), n)
             total = np.r_[np.uint64(0), np.cumsum(mix64(h ^ np.uint64(0x5851F42D4C957F2D)))]
             name = mix64(total[first[1:]] - total[first[:-1]] + n.astype(np.uint64)).view(np.int64)
-            take = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
-            place = np.arange(len(h)) - first[row]
-            ranked = h[np.lexsort((h, np.isin(h, common), row))] if len(common) else h
-            cells = ranked[place < take[row]].view(np.int64)
+            cells, take = _prefix(h, first, percent, common)
             counts = np.bincount(row * GROUPS + (mix64(h) % np.uint64(GROUPS)).astype(np.int64), minlength=len(n) * GROUPS)
             points = counts.astype("<u4").reshape(-1, GROUPS)
             yield pa.RecordBatch.from_arrays(
@@ -120,34 +156,64 @@ def _points(batches: Iterator[pa.RecordBatch], width: int, percent: int, common:
             )
 
 
-def _visits(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """The set of each row, once per visit."""
+def _bit_sets(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bit sets of all rows' items, a power of two and at least ``BITS`` bits an item, as bytes, and each row's first byte."""
+    n = np.diff(first)
+    bits = 1 << np.ceil(np.log2(np.maximum(n * BITS, 64))).astype(np.int64)
+    start = np.r_[0, np.cumsum(bits)]
+    row = np.repeat(np.arange(len(n)), n)
+    hit = np.zeros(start[-1], bool)
+    hit[start[row] + (h & (bits[row] - 1).astype(np.uint64)).astype(np.int64)] = True
+    return np.packbits(hit, bitorder="little"), start // 8
+
+
+def most_shared(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> int:
+    """At least the number of items that two sets share, from their bit sets and sizes.
+
+    Shared items hit shared bits; those that fall together do so in either set.
+    A larger bit set is folded to the smaller one's size.
+    """
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(x.reshape(-1, size), axis=0) for x in (a, b))
+    ones = lambda x: int(np.bitwise_count(x).sum(dtype=np.int64))
+    return min(ones(a & b) + min(n_a - ones(a), n_b - ones(b)), n_a, n_b)
+
+
+def _visits(batches: Iterator[pa.RecordBatch], width: int, as_bits: bool) -> Iterator[pa.RecordBatch]:
+    """The set of each row (8 bytes an item) or its bit set, once per visit."""
     for b in batches:
         buf, offsets = flat_text(b.column("text"))
         for lo, hi in doc_slices(offsets):
             h, first = shingle_sets(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
-            sets = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))
+            data, at = _bit_sets(h, first) if as_bits else (h.view(np.uint8), first * 8)
+            sets = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
             visits = b.column("visits").slice(lo, hi - lo)
-            row = pa.array(np.repeat(np.arange(hi - lo), np.diff(np.array(visits.offsets))))
-            flat = visits.flatten()
-            yield pa.RecordBatch.from_arrays(
-                [flat.field("part"), flat.field("hub"), b.column("class").slice(lo, hi - lo).take(row), sets.take(row)], ["part", "hub", "class", "items"]
-            )
-
-
-def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Sets sorted by part, the hub's first -> exact verdicts on (hub, class)."""
-    hub, own = None, np.zeros(0, np.int64)
+            row = np.repeat(np.arange(hi - lo), np.diff(np.array(visits.offsets)))
+            flat, names, n = visits.flatten(), b.column("class").slice(lo, hi - lo), np.diff(first)
+            batch = np.cumsum(np.diff(at)[row]) // SETS_BYTES
+            for part in np.split(np.arange(len(row)), np.flatnonzero(np.diff(batch)) + 1):
+                if len(part):
+                    k = pa.array(row[part])
+                    own = flat.slice(int(part[0]), len(part))
+                    yield pa.RecordBatch.from_arrays(
+                        [own.field("part"), own.field("hub"), names.take(k), pa.array(n[row[part]]), sets.take(k).cast(pa.binary())],
+                        ["part", "hub", "class", "n", "items"],
+                    )
+
+
+def _compare(batches: Iterator[pa.RecordBatch], percent: int, as_bits: bool) -> Iterator[pa.RecordBatch]:
+    """Sets sorted by part, the hub's first -> verdicts on (hub, class): exact, or whether bit sets allow the similarity."""
+    hub, own, size = None, np.zeros(0, np.uint8), 0
     for b in batches:
-        hubs, names, items = b.column("hub").to_pylist(), b.column("class").to_pylist(), b.column("items")
+        hubs, names, sizes, items = b.column("hub").to_pylist(), b.column("class").to_pylist(), b.column("n").to_pylist(), b.column("items")
         out = []
-        for k, (h, name) in enumerate(zip(hubs, names, strict=True)):
-            values = items[k].values.to_numpy()
+        for k, (h, name, n) in enumerate(zip(hubs, names, sizes, strict=True)):
+            values = np.frombuffer(items[k].as_buffer(), np.uint8 if as_bits else np.uint64)
             if h == name:
-                hub, own = h, values
+                hub, own, size = h, values.copy(), n
             elif h == hub:
-                shared = len(np.intersect1d(own, values, assume_unique=True))
-                out.append((h, name, 100 * shared >= percent * (len(own) + len(values) - shared)))
+                shared = most_shared(own, size, values, n) if as_bits else len(np.intersect1d(own, values, assume_unique=True))
+                out.append((h, name, 100 * shared >= percent * (size + n - shared)))
         cols = list(zip(*out, strict=True)) if out else [[]] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "linked"])
 
@@ -297,21 +363,17 @@ def join_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
     """doc_id, text_hash, n_shingles, component_id (smallest doc_id of linked documents), group of every row."""
     rows = row_key(docs)
     schema = "doc_id long, text_hash long, n long, class long, cells array<long>, point binary"
-    common = np.zeros(0, np.uint64)
-    for k in range(ORDERS):
-        seen = stored(rows.mapInArrow(lambda x, common=common: _points(x, width, percent, common), schema), "points")
-        full = seen.where("n > 0")
-        classes = full.groupBy("class").agg(
-            F.min("doc_id").alias("low"), F.min_by(F.struct("doc_id", "text_hash"), F.struct("doc_id", "text_hash")).alias("one"), F.first("n").alias("n"),
-            F.first("cells").alias("cells"), F.first("point").alias("point"),
-        )
-        classes = stored(classes, "classes")
-        cells = classes.select(F.explode("cells").alias("cell"), "class")
-        if k < ORDERS - 1:
-            large = cells.groupBy("cell").count().where(F.col("count") > CELL).orderBy(F.desc("count"), "cell").limit(COMMON).toArrow()
-            if not large.num_rows:
-                break
-            common = np.union1d(common, large["cell"].to_numpy().view(np.uint64))
+    common = _common_shingles(rows, width, percent)
+    points = stored(rows.mapInArrow(lambda x: _points(x, width, percent, common), schema), "points")
+    classes = points.where("n > 0").groupBy("class").agg(
+        F.min("doc_id").alias("low"), F.min_by(F.struct("doc_id", "text_hash"), F.struct("doc_id", "text_hash")).alias("one"), F.first("n").alias("n"),
+        F.first("cells").alias("cells"), F.first("point").alias("point"),
+    )
+    classes = stored(classes, "classes")
+    seen = stored(points.select("doc_id", "text_hash", "n", "class"), "names")
+    discard(points)
+    full = seen.where("n > 0")
+    cells = classes.select(F.explode("cells").alias("cell"), "class")
     # A class is once in a cell, so exclusive ors name the members; most cells of a pair of near copies hold just them.
     names = [F.bit_xor("class").alias("x"), F.bit_xor(F.xxhash64("class")).alias("y")]
     many = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), *names).where("m > 1")
@@ -339,18 +401,25 @@ def join_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
         # The first round searches split cells by their parts only; later ones search all.
         done = turn > 0 and n_held == 0 and n_offered == n_proposed
         if turn and not n_offered:
+            discard(found, offered)
             break
         if not done:
             busy = found.where("a IS NULL AND cell IS NOT NULL").select("cell", F.lit(True).alias("busy"))
+            searched = members
             members = members.join(busy, "cell", "left").where(F.col("busy") | F.lit(turn == 0) & (F.col("m") > CELL)).drop("busy")
             members = stored(members, "members")
-        checked = stored(_verified(rows, classes, offered, width, percent).distinct(), "checked")
+            discard(searched)
+        checked = _verified(rows, classes, offered, width, percent)
+        discard(found, offered)
         new = checked.where("linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
         no = checked.where(~F.col("linked")).select("a", "b")
         refuted = no if refuted is None else refuted.unionByName(no)
-        roots = stored(components(links).withColumnRenamed("node", "class"), "roots")
+        before, roots = roots, stored(components(links).withColumnRenamed("node", "class"), "roots")
+        if before is not None:
+            discard(before)
         turn += 1
+    discard(members)
     points = classes.select("class").join(roots, "class", "left").select("class", F.coalesce("root", "class").alias("comp"))
     named = classes.select("class", "low").join(points, "class")
     lows = named.groupBy("comp").agg(F.min("low").alias("component_id"))
@@ -385,7 +454,19 @@ def _text_hash():
 
 
 def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b, linked: the exact similarity of the classes' sets, rebuilt from one text of each class.
+    """a, b, linked: verdicts on pairs of classes (stored), by bit sets first and exactly where these allow a link."""
+    allowed = _met(rows, classes, pairs, width, percent, as_bits=True)
+    left = allowed.where("linked").select("a", "b")
+    if left.isEmpty():
+        return allowed
+    exact = _met(rows, classes, left, width, percent, as_bits=False)
+    checked = stored(exact.unionByName(allowed.where("NOT linked")), "checked")
+    discard(allowed, exact)
+    return checked
+
+
+def _met(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int, as_bits: bool) -> DataFrame:
+    """a, b, linked of pairs of classes (stored), whose sets are rebuilt from one text of each class.
 
     The smaller class of a pair is the hub that the other's set visits; a hub
     of many is copied, one copy per ``HUB`` visitors.
@@ -400,8 +481,10 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     lists = stored(lists, "visits")
     size = lists.agg(F.sum(F.size("visits") * 16 + 64)).first()[0] or 0
     found = beside_rows(rows, lists, size, BROADCAST_LISTS).where("visits IS NOT NULL")
-    sets = found.mapInArrow(lambda x: _visits(x, width), "part long, hub long, class long, items array<long>")
+    sets = found.mapInArrow(lambda x: _visits(x, width, as_bits), "part long, hub long, class long, n long, items binary")
     sets = sets.repartition("part").sortWithinPartitions("part", F.col("hub") != F.col("class"), "hub")
-    return sets.mapInArrow(lambda x: _compare(x, percent), "a long, b long, linked boolean")
+    out = stored(sets.mapInArrow(lambda x: _compare(x, percent, as_bits), "a long, b long, linked boolean").distinct(), "met")
+    discard(lists)
+    return out
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tradelens.session import ensure_checkpoint_dir
+from tradelens.sinks.files import Files
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -15,3 +16,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote and that no later plan reads."""
+    for df in tables:
+        base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if f"/{base.rsplit('/', 1)[-1]}/" in folder:
+                Files(df.sparkSession, folder).delete(folder)
