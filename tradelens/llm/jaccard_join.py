@@ -62,7 +62,7 @@ from tradelens.llm.flat import (
 from tradelens.llm.stored import discard, stored
 
 SHINGLE, PERCENT = 4, 85
-GROUPS, FANOUT, CELL, HUB, MORE = 128, 16, 2000, 500, 32
+GROUPS, FANOUT, CELL, HUB, MORE = 256, 16, 2000, 500, 4
 #: Orders of shingles tried at most, and commonest shingles put last by each (8 bytes each, shipped to tasks).
 ORDERS, COMMON = 2, 1 << 16
 #: Least bits of a bit set for each item, and bytes of sets in one batch (a larger set is one batch).
@@ -389,7 +389,7 @@ def join_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
             points = points.join(refuted.groupBy(F.col("a").alias("class")).agg(F.collect_set("b").alias("refuted")), "class", "left")
         # Names are dealt first; points join them once, on their way to the parts.
         dealt = _parts(members, roots).join(points, "class").repartition("part").sortWithinPartitions("part")
-        most = MORE ** min(turn, 4)
+        most = MORE ** min(turn, 10)
         found = dealt.mapInArrow(lambda x, most=most: _propose(x, percent, most), "a long, b long, cell long")
         found = stored(found.distinct(), "proposed")
         proposed = found.where("a IS NOT NULL").select("a", "b")
