@@ -21,13 +21,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradelens.llm.stored import stored
+
 #: Longest leaf in characters; of a paragraph up to SHORT characters; their patterns.
 PIECE, SHORT_PIECE, SHORT = 240, 24, 200
 LEAVES = rf"(?s).{{1,{PIECE}}}?(?:[.!?]\s+|\z)|.{{1,{PIECE}}}"
 SHORT_LEAVES = rf"(?s).{{1,{SHORT_PIECE}}}(?:\s+|\z)|.{{1,{SHORT_PIECE}}}"
-#: Documents of one neighbour bucket, and buckets of one bucket of buckets.
-BUCKET, BUCKETS = 256, 4096
-#: Ids that may be broadcast when a neighbour lies in another bucket (16 bytes each).
+#: Ids of one neighbour bucket; rows of one id from which its bucket is split by id and hash.
+BUCKET, HEAVY = 256, 4096
+#: Columns of a neighbour cell, in order.
+CELL = ("_bucket", "_id", "_part")
+#: Ids that may be broadcast when a neighbour lies in another cell (40 bytes each).
 BROADCAST_IDS = 1_000_000
 
 
@@ -80,31 +84,41 @@ def first_difference(a: str, b: str) -> Column:
 def neighbours(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Adds next_<column>: of the next row by descending doc_id (after the last: the first).
 
-    Rows meet in buckets of neighbouring ids; only the first row of a bucket
-    needs one from another, found through the buckets' largest ids.  A null id
-    sorts as the smallest; equal ids are ordered by a hash of their columns.
+    Rows meet in cells: ``BUCKET`` neighbouring ids, or, where an id (or null)
+    has more than ``HEAVY`` rows, one id and the upper bits of its rows' hashes.
+    Only the first row of a cell needs one from another; the cells' last ids are
+    dealt by range, so each part finds these among its own and the part before.
+    A null id sorts as the smallest; equal ids are ordered by a hash of their columns.
     """
-    rows = rows.withColumn("_key", F.coalesce("doc_id", F.lit(-(1 << 62)))).withColumn("_tie", F.xxhash64(*columns))
-    rows = rows.withColumn("_bucket", F.floor(F.col("_key") / BUCKET).cast("long"))
-    near = Window.partitionBy("_bucket").orderBy("_key", "_tie")
+    rows = rows.withColumn("_key", F.coalesce("doc_id", F.expr("-9223372036854775807L - 1L"))).withColumn("_tie", F.xxhash64(*columns))
+    rows = rows.withColumn("_bucket", F.floor(F.col("_key") / F.lit(BUCKET)).cast("long"))
+    heavy = rows.groupBy("_bucket", "_key").count().where(F.col("count") > HEAVY).select("_bucket").distinct()
+    heavy = stored(heavy.withColumn("_heavy", F.lit(True)), "heavy-ids")
+    rows = rows.join(_small(heavy), "_bucket", "left")
+    rows = rows.withColumn("_id", F.when(F.col("_heavy"), F.col("_key")).otherwise(0))
+    rows = rows.withColumn("_part", F.when(F.col("_heavy"), F.shiftright("_tie", 52)).otherwise(0).cast("long")).drop("_heavy")
     got = F.struct(*[F.col(c) for c in columns])
-    inner = rows.withColumn("_next", F.lag(got).over(near))
-
-    tops = rows.groupBy("_bucket").agg(F.max("_key").alias("_top")).withColumn("_far", F.floor(F.col("_bucket") / BUCKETS))
-    far = tops.groupBy("_far").agg(F.max("_top").alias("_far_top"))
-    order = Window.orderBy("_far")  # one row per million ids
-    last = F.last("_far_top").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    far = far.select("_far", F.coalesce(F.lag("_far_top").over(order), last).alias("_before_far"))
-    before = tops.withColumn("_before", F.lag("_top").over(Window.partitionBy("_far").orderBy("_bucket"))).join(F.broadcast(far), "_far")
-    before = before.select("_bucket", F.coalesce("_before", "_before_far").alias("_before")).checkpoint()
-    few = before.count() <= BROADCAST_IDS
-    small = F.broadcast if few else (lambda x: x)
-    ends = rows.join(small(before.select(F.col("_before").alias("_key"))), "_key", "left_semi")
-    ends = ends.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("_tie")))).where("_n = 1")
-    ends = ends.select(F.col("_key").alias("_before"), got.alias("_end")).join(small(before), "_before").select("_bucket", "_end")
+    inner = rows.withColumn("_next", F.lag(got).over(Window.partitionBy(*CELL).orderBy("_key", "_tie")))
+
+    tops = rows.groupBy(*CELL).agg(F.max(F.struct("_key", "_tie")).alias("_top"))
+    tops = stored(tops.repartitionByRange(*CELL).withColumn("_range", F.spark_partition_id()), "id-tops")
+    ranges = tops.groupBy("_range").agg(F.max("_top").alias("_range_top"))
+    order = Window.orderBy("_range")  # one row per shuffle partition, whatever the ids are
+    last = F.last("_range_top").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ranges = ranges.select("_range", F.coalesce(F.lag("_range_top").over(order), last).alias("_before_range"))
+    before = tops.withColumn("_before", F.lag("_top").over(Window.partitionBy("_range").orderBy(*CELL))).join(F.broadcast(ranges), "_range")
+    before = stored(before.select(*CELL, F.expr("coalesce(_before, _before_range)").alias("_before")).select(*CELL, "_before._key", "_before._tie"), "id-before")
+    ends = rows.select("_key", "_tie", *columns).join(_small(before.select("_key", "_tie")), ["_key", "_tie"], "left_semi")
+    ends = ends.dropDuplicates(["_key", "_tie"]).select("_key", "_tie", got.alias("_end"))
+    ends = ends.join(_small(before), ["_key", "_tie"]).select(*CELL, "_end")
     # The window's partitioning serves this join, too: texts are shuffled once.
-    out = inner.join(ends, "_bucket", "left").withColumn("_next", F.coalesce("_next", "_end")).drop("_end")
-    return out.select("*", *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns]).drop("_key", "_tie", "_bucket", "_next")
+    out = inner.join(ends, list(CELL), "left").withColumn("_next", F.coalesce("_next", "_end")).drop("_end")
+    return out.select("*", *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns]).drop("_key", "_tie", *CELL, "_next")
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """A stored list of ids, marked for broadcast up to ``BROADCAST_IDS`` rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
