@@ -48,3 +48,17 @@ def test_neighbours_of_any_ids(spark, monkeypatch, heavy):
 def test_one_document_is_its_own_neighbour(spark):
     df = spark.createDataFrame([(None, "alone")], "doc_id long, text string")
     assert [tuple(r) for r in merkle.neighbours(df, ["text"]).collect()] == [(None, "alone", "alone")]
+
+
+def test_likeness(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta. ", "so!\n", "end.\n\n"]) for _ in range(n))
+    rows = [(i * 10**15, say(rng.choice([0, 1, 5, 60, 400]))) for i in range(60)] + [(7, "y" * 2_000_000), (8, "One line. " * 200_000)]
+    got = {r.doc_id: r for r in merkle.compare_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    order = sorted(rows, reverse=True)
+    for i, (k, t) in enumerate(order):
+        nxt = order[(i + 1) % len(order)][1]
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + nxt[:cut]
+        assert got[k].near_edited == pytest.approx(like(t, edited)), k
+        assert got[k].near_next == pytest.approx(like(t, nxt)), k

@@ -76,7 +76,7 @@ def likeness(a: str, b: str) -> Column:
 def first_difference(a: str, b: str) -> Column:
     """Index of the first paragraph that differs; null if none does."""
     return F.expr(
-        f"CASE WHEN {a} = {b} THEN NULL ELSE coalesce(element_at(filter(sequence(0, greatest(least(size({a}), size({b})) - 1, 0)), "
+        f"CASE WHEN {a} = {b} THEN NULL ELSE coalesce(try_element_at(filter(sequence(0, greatest(least(size({a}), size({b})) - 1, 0)), "
         f"i -> get({a}, i) <> get({b}, i)), 1), least(size({a}), size({b}))) END"
     )
 
