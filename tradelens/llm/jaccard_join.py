@@ -65,6 +65,8 @@ SHINGLE, PERCENT = 4, 85
 GROUPS, FANOUT, CELL, HUB, MORE = 256, 16, 2000, 500, 4
 #: Orders of shingles tried at most, and commonest shingles put last by each (8 bytes each, shipped to tasks).
 ORDERS, COMMON = 2, 1 << 16
+#: Bytes of text handled at once (a longer text is one slice): small slices stay in the cache and bound a worker's arrays.
+SLICE = 1 << 19
 #: Least bits of a bit set for each item, and bytes of sets in one batch (a larger set is one batch).
 BITS, SETS_BYTES = 8, 8 << 20
 #: Measured bytes of verdicts and visits (a few per near copy) that may be broadcast.
@@ -108,7 +110,7 @@ def _prefix(h: np.ndarray, first: np.ndarray, percent: int, common: np.ndarray,
 def _cell_counts(batches: Iterator[pa.RecordBatch], width: int, percent: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in batches:
         buf, offsets = flat_text(b.column("text"))
-        for lo, hi in doc_slices(offsets):
+        for lo, hi in doc_slices(offsets, SLICE):
             h, first = shingle_sets(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
             cell, c = np.unique(_prefix(h, first, percent, common, spare=True)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(c, pa.int32())], ["cell", "c"])
@@ -135,7 +137,7 @@ def _points(batches: Iterator[pa.RecordBatch], width: int, percent: int, common:
     """Rows with their points and prefixes; ``common`` shingles come last in a prefix's order."""
     for b in batches:
         buf, offsets = flat_text(b.column("text"))
-        for lo, hi in doc_slices(offsets):
+        for lo, hi in doc_slices(offsets, SLICE):
             h, first = shingle_sets(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
             n = np.diff(first)
             row = np.repeat(np.arange(len(n)), n)
@@ -183,7 +185,7 @@ def _visits(batches: Iterator[pa.RecordBatch], width: int, as_bits: bool) -> Ite
     """The set of each row (8 bytes an item) or its bit set, once per visit."""
     for b in batches:
         buf, offsets = flat_text(b.column("text"))
-        for lo, hi in doc_slices(offsets):
+        for lo, hi in doc_slices(offsets, SLICE):
             h, first = shingle_sets(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
             data, at = _bit_sets(h, first) if as_bits else (h.view(np.uint8), first * 8)
             sets = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
