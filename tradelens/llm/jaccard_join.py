@@ -67,6 +67,8 @@ GROUPS, FANOUT, CELL, HUB, MORE = 256, 16, 2000, 500, 4
 ORDERS, COMMON = 2, 1 << 16
 #: Bytes of text handled at once (a longer text is one slice): small slices stay in the cache and bound a worker's arrays.
 SLICE = 1 << 19
+#: Smallest cells of a class that travel with it, by which a pair is proposed in one of its common cells.
+FIRSTS = 6
 #: Least bits of a bit set for each item, and bytes of sets in one batch (a larger set is one batch).
 BITS, SETS_BYTES = 8, 8 << 20
 #: Measured bytes of verdicts and visits (a few per near copy) that may be broadcast.
@@ -274,6 +276,16 @@ class CountTree:
         return ok
 
 
+def met_before(cell: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the pairs with smallest cells ``a`` and ``b`` (padded with the cell itself or more) share one below ``cell``."""
+    out = np.zeros(len(cell), bool)
+    for x in range(a.shape[1]):
+        low = a[:, x] < cell
+        for y in range(b.shape[1]):
+            out |= low & (a[:, x] == b[:, y])
+    return out
+
+
 def _propose(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iterator[pa.RecordBatch]:
     """Sorted members of whole cells (by part) -> pairs of classes to verify.
 
@@ -291,13 +303,20 @@ def _propose(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iter
         side = t["side"].to_numpy()  # 0 is searched by 1, 2 by itself
         order = np.lexsort((name, size, side, part))
         part, side, size, name, comp, cell, points = part[order], side[order], size[order], name[order], comp[order], cell[order], points[order]
+        firsts = np.full((len(raw), FIRSTS), np.iinfo(np.int64).max)
+        for k, x in enumerate(t["firsts"].to_pylist()):
+            firsts[k, : len(x or ())] = x or ()
+        firsts = firsts[order]
         refuted = {int(name[k]): set(x) for k, x in enumerate(t["refuted"].take(pa.array(order)).to_pylist()) if x}
         left, right = [], []
         target = np.where(side == 0, -1, np.where(side == 1, 3 * part, 3 * part + 2))
         for i, j in CountTree(3 * part + side, target, size, points, percent).pairs():
             other = (comp[i] != comp[j]) & (name[i] != name[j])
-            left.append(i[other])
-            right.append(j[other])
+            i, j = i[other], j[other]
+            # A smaller cell that both are known to be in proposes the pair (or holds it back).
+            new = ~met_before(cell[i], firsts[i], firsts[j])
+            left.append(i[new])
+            right.append(j[new])
         i, j = np.concatenate(left), np.concatenate(right)
         a, b, at, cell = np.minimum(name[i], name[j]), np.maximum(name[i], name[j]), part[i], cell[i]
         if refuted and len(a):
@@ -389,6 +408,10 @@ def join_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCEN
             points = points.withColumn("refuted", F.lit(None).cast("array<long>"))
         else:
             points = points.join(refuted.groupBy(F.col("a").alias("class")).agg(F.collect_set("b").alias("refuted")), "class", "left")
+        # Cells split in the first round do not show all their pairs then, so they stand for none there.
+        whole = members.where(F.col("m") <= CELL) if turn == 0 else members
+        firsts = whole.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("cell")), 1, FIRSTS).alias("firsts"))
+        points = points.join(firsts, "class", "left")
         # Names are dealt first; points join them once, on their way to the parts.
         dealt = _parts(members, roots).join(points, "class").repartition("part").sortWithinPartitions("part")
         most = MORE ** min(turn, 10)
