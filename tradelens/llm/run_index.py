@@ -18,24 +18,38 @@ import numpy as np
 from tradelens.llm.flat import mix64, prefix_sums, span_hash
 
 
-def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; separators must differ from each other."""
-    n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1
-    width = 1
+def suffix_order(text: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Suffix array of the strings text[first[k]:first[k + 1]], each ended by a separator of its own.
+
+    Separators sort before all bytes, by the strings' order, so suffixes are
+    compared within their strings.  The first key packs as many letters as 63
+    bits hold, the later ones the ranks of two or three places each, so that few
+    sorts reach the longest string; equal rests keep the order of their strings.
+    """
+    size, k = np.diff(first), len(first) - 1
+    n = len(text) + k
+    used = np.zeros(256, bool)
+    used[text] = True
+    rank = np.zeros(n, np.int64)  # 0: a separator
+    rank[np.arange(len(text)) + np.repeat(np.arange(k), size)] = np.cumsum(used)[text]
+    rest = np.repeat(first[1:] + np.arange(k), size + 1) - np.arange(n)  # letters before the string's end
+    longest, width, most = int(size.max(initial=0)) + 1, 1, int(used.sum())
     while True:
-        later = np.zeros(n, np.int64)
-        if width < n:
-            later[: n - width] = rank[width:]
-        key = rank * (rank.max() + 2) + later
-        order = np.argsort(key, kind="stable")
+        bits = max(most.bit_length(), 1)
+        parts = min(63 // bits, -(-longest // width))
+        key = rank.copy()
+        for i in range(1, parts):
+            key <<= bits
+            at = i * width
+            key[: n - at] |= np.where(rest[: n - at] >= at, rank[at:], 0)
+        width *= parts
+        if width >= longest:
+            return np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.r_[True, sorted_key[1:] != sorted_key[:-1]])
-        rank = new
-        if rank.max() == n:
-            return order
-        width *= 2
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.r_[False, sorted_key[1:] != sorted_key[:-1]])
+        most = int(rank[order[-1]])
 
 
 class RunLengthIndex:
@@ -48,7 +62,7 @@ class RunLengthIndex:
         self.symbols = np.empty(n, np.int64)  # separators 0 to k - 1, then bytes
         self.symbols[at] = text.astype(np.int64) + k
         self.symbols[first[1:] + np.arange(k)] = np.arange(k)
-        order = suffix_order(self.symbols)
+        order = suffix_order(text, first)
         letter = np.maximum(self.symbols[order - 1] - k, -1)  # before each suffix; -1: a separator
         new = np.r_[True, letter[1:] != letter[:-1]]
         self.start = np.flatnonzero(new)
