@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ SAMPLE_DOCS, MAX_LANGUAGES = 4_000, 500
 LONGEST_PIECE, LONGEST, MARK = 12, 40, "▁"
 #: Distinct chunks remembered by a task.
 CACHE_CHUNKS = 200_000
+#: Rows handled, and given back, at once.
+SLICE_ROWS = 500
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -205,40 +208,48 @@ def fit(labelled: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS, ro
     return LanguageModel(vocabulary, languages, table)
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default doc_id), lang_pred and score (the language's posterior) of every row."""
+def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """``keep`` columns (default doc_id), lang_pred and score (the language's posterior) of every row.
+
+    ``text`` names the text, which may be a field of a kept struct (``_doc.text``):
+    then it crosses to Python once.  Rows come back in slices of ``SLICE_ROWS``.
+    """
     keep = keep or ["doc_id"]
+    whole, _, name = text.partition(".")
+    inside = keep.index(whole) if name else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model.vocabulary)
         count = len(model.languages)
         known: dict[str, int] = {}
         logs = np.zeros((0, count))
-        for b in batches:
-            texts = b.column("_text").to_pylist()
+        slices = (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS))
+        for b in slices:
+            column = b.column("_text") if inside is None else pc.struct_field(b.column(inside), name).cast(pa.string())
+            texts = column.to_pylist()
             names, scores = [], []
-            for at in range(0, len(texts), 500):
-                split = [(t or "").lower().split() for t in texts[at : at + 500]]
-                if len(known) > CACHE_CHUNKS:
-                    known, logs = {}, np.zeros((0, count))
-                new = list(set().union(*split).difference(known))
-                logs = np.concatenate([logs, _chunk_logs(new, pieces, model.table, count)])
-                known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                for text, chunks in zip(texts[at : at + 500], split, strict=True):
-                    if not count or not text or not any(map(str.isalpha, text)):
-                        names.append("und")
-                        scores.append(0.0)
-                        continue
-                    total = logs[np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))].sum(axis=0)
-                    best = int(total.argmax())
-                    names.append(model.languages[best])
-                    scores.append(float(1.0 / np.exp(total - total[best]).sum()))
+            split = [(t or "").lower().split() for t in texts]
+            if len(known) > CACHE_CHUNKS:
+                known, logs = {}, np.zeros((0, count))
+            new = list(set().union(*split).difference(known))
+            logs = np.concatenate([logs, _chunk_logs(new, pieces, model.table, count)])
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            for text, chunks in zip(texts, split, strict=True):
+                if not count or not text or not any(map(str.isalpha, text)):
+                    names.append("und")
+                    scores.append(0.0)
+                    continue
+                total = logs[np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))].sum(axis=0)
+                best = int(total.argmax())
+                names.append(model.languages[best])
+                scores.append(float(1.0 / np.exp(total - total[best]).sum()))
             kept = [b.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [f"c{i}" for i in range(len(keep))] + ["lang_pred", "score"]
             )
 
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("_text"))
+    apart = [F.col(text).cast("string").alias("_text")] if inside is None else []
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], *apart)
     schema = ", ".join([f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(keep))] + ["lang_pred string", "score double"])
     out = rows.mapInArrow(run, schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
