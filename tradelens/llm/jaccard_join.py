@@ -59,14 +59,14 @@ from tradelens.llm.flat import (
     word_hashes,
     word_spans,
 )
-from tradelens.llm.stored import discard, stored
+from tradelens.llm.stored import discard, small_batches, stored
 
 SHINGLE, PERCENT = 4, 85
 GROUPS, FANOUT, CELL, HUB, MORE = 256, 16, 2000, 500, 4
 #: Orders of shingles tried at most, and commonest shingles put last by each (8 bytes each, shipped to tasks).
 ORDERS, COMMON = 2, 1 << 16
 #: Bytes of text handled at once (a longer text is one slice): small slices stay in the cache and bound a worker's arrays.
-SLICE = 1 << 19
+SLICE = 1 << 17
 #: Smallest cells of a class that travel with it, by which a pair is proposed in one of its common cells.
 FIRSTS = 6
 #: Least bits of a bit set for each item, and bytes of sets in one batch (a larger set is one batch).
@@ -123,7 +123,8 @@ def _common_shingles(rows: DataFrame, width: int, percent: int) -> np.ndarray:
     common = np.zeros(0, np.uint64)
     for _ in range(ORDERS - 1):
         counts = rows.mapInArrow(lambda x, common=common: _cell_counts(x, width, percent, common), "cell long, c int").groupBy("cell").agg(F.sum("c").alias("c"))
-        large = counts.where(F.col("c") > CELL).orderBy(F.desc("c"), "cell").limit(COMMON).toArrow()
+        with small_batches(rows.sparkSession):
+            large = counts.where(F.col("c") > CELL).orderBy(F.desc("c"), "cell").limit(COMMON).toArrow()
         new = np.setdiff1d(large["cell"].to_numpy().view(np.uint64), common)
         if not len(new):
             break

@@ -42,7 +42,9 @@ from tradelens.llm.stored import stored
 
 WIDTH, GRAM = 50, 24
 #: Text bytes per packed batch and per shard of anchors, piece bytes per index; shards at least.
-BATCH_BYTES, SHARD_BYTES, INDEX_BYTES, LEAST_SHARDS = 8 << 20, 16 << 20, 2 << 20, 48
+BATCH_BYTES, SHARD_BYTES, INDEX_BYTES, LEAST_SHARDS = 4 << 20, 16 << 20, 1 << 20, 48
+#: Bytes of text hashed at once (a longer text is one slice): small slices stay in the cache and bound a worker's arrays.
+SLICE = 1 << 19
 _LAST = np.iinfo(np.int64).max
 _ENTRY = np.dtype([("h", "<u8"), ("r", "<u8"), ("doc", "<u4"), ("lo", "<u4"), ("n", "u1")])
 
@@ -55,7 +57,7 @@ def _entries(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Reco
         ids = b.column("doc_id").fill_null(_LAST).to_numpy()
         hashes = b.column("text_hash").to_numpy()
         found = []
-        for lo, hi in doc_slices(offsets):
+        for lo, hi in doc_slices(offsets, SLICE):
             part, off = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             values = byte_values(part)
             sums = prefix_sums(values)
