@@ -62,3 +62,30 @@ def test_written_steps_send_small_batches_and_leave_the_setting(spark):
     seen = [r["n"] for r in stored.stored(sizes, "sizes").collect()]
     assert sum(seen) == 9000 and max(seen) <= stored.BATCH_ROWS  # before: one batch of 9000
     assert spark.conf.get(ROWS) == own
+
+
+def test_proposals_are_made_for_a_few_parts_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    parts, each, groups = 40, 1000, jaccard_join.GROUPS
+    n = parts * each
+    points = rng.integers(0, 2, (n, groups)).astype("u1")
+    points[1::50] = points[::50]
+    size = points.sum(axis=1, dtype=np.int64)
+    none = pa.array([None] * n, pa.list_(pa.int64()))
+    table = pa.table(
+        {
+            "part": pa.array(np.repeat(np.arange(parts), each)), "side": pa.array(np.full(n, 2, np.int32)),
+            "cell": pa.array(np.repeat(np.arange(parts) + 7, each)), "n": pa.array(size), "class": pa.array(np.arange(n)),
+            "comp": pa.array(np.arange(n)), "point": pa.array([p.tobytes() for p in points], pa.binary()), "firsts": none, "refuted": none,
+        }
+    )
+
+    def rows() -> set[tuple]:
+        out = jaccard_join._propose(iter(table.to_batches(max_chunksize=2000)), 80, 4)
+        return {tuple(r.values()) for b in out for r in b.to_pylist()}
+
+    own, few = _peak(rows), rows()
+    print("MB held", own)
+    monkeypatch.setattr(jaccard_join, "FLUSH", 40_000)
+    assert few == rows() and len(few) > 700
+    assert own < 60  # 114 with all parts at once and 2,000 searches at a time

@@ -69,6 +69,8 @@ ORDERS, COMMON = 2, 1 << 16
 SLICE = 1 << 17
 #: Smallest cells of a class that travel with it, by which a pair is proposed in one of its common cells.
 FIRSTS = 6
+#: Members of cells whose proposals are made at once (whole parts; the largest, a pair of blocks, has about two cells' worth).
+FLUSH = 8_000
 #: Least bits of a bit set for each item, and bytes of sets in one batch (a larger set is one batch).
 BITS, SETS_BYTES = 8, 8 << 20
 #: Measured bytes of verdicts and visits (a few per near copy) that may be broadcast.
@@ -252,7 +254,7 @@ class CountTree:
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of a point and one of its target cell whose bound reaches the similarity, each once."""
-        step = 2_000
+        step = 500
         for a in range(0, len(self.queries), step):
             query, node = self.queries[a : a + step], self.root[a : a + step]
             for children, box, low, high in reversed(self.levels):
@@ -272,7 +274,7 @@ class CountTree:
         low, high = low[node], high[node]
         ok = (100 * high >= p * n) & (100 * n >= p * low)
         least = p * (n + np.maximum(low, (p * n + 99) // 100))
-        for k in np.array_split(np.flatnonzero(ok), max(1, int(ok.sum()) // 20_000)):
+        for k in np.array_split(np.flatnonzero(ok), max(1, int(ok.sum()) // 5_000)):
             ok[k] = (100 + p) * np.minimum(self.points[query[k]], box[node[k]]).sum(axis=1, dtype=np.int64) >= least[k]
         return ok
 
@@ -343,7 +345,7 @@ def _propose(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iter
     for b in batches:
         held.append(b)
         rows += b.num_rows
-        if rows >= 40_000:  # all parts but the last are complete
+        if rows >= FLUSH:  # all parts but the last are complete
             t = pa.Table.from_batches(held).combine_chunks()
             part = t["part"].to_numpy()
             cut = int(np.flatnonzero(np.r_[True, part != part[-1]])[-1])
