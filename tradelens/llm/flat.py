@@ -82,6 +82,15 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: in
     return mix64(raw + (ends - starts).astype(_U) * _U(0xA24BAED4963EE407))
 
 
+def sums_windows(sums: np.ndarray, width: int) -> np.ndarray:
+    """``span_hash`` of every range of ``width`` values, in order."""
+    n = max(len(sums) - width, 0)
+    raw = sums[width : width + n] - sums[:n]
+    raw *= _powers(pow(BASES[0], -1, 1 << 64), n)
+    raw += _U(width * 0xA24BAED4963EE407 & (1 << 64) - 1)
+    return mix64(raw)
+
+
 def byte_values(buf: np.ndarray) -> np.ndarray:
     return _BYTE_VALUE[buf]
 
@@ -141,11 +150,9 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
     """Hash of values[i:i+width] for every i (empty if there are fewer values)."""
-    n = len(values) - width + 1
-    if n <= 0:
+    if len(values) < width:
         return np.zeros(0, _U)
-    at = np.arange(n)
-    return span_hash(prefix_sums(values), at, at + width)
+    return sums_windows(prefix_sums(values), width)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -182,13 +189,13 @@ def minimizer_runs(grams: np.ndarray, row_first: np.ndarray, gram: int, window:
     low = _U((1 << PLACE_BITS) - 1)
     packed = (grams & ~low) | np.arange(len(grams), dtype=_U)
     anchor = (sliding_min(packed, span) & low).astype(np.int64)
-    at = np.flatnonzero(within_rows(row_first, window, n))
-    if not len(at):
-        return none, none, none
-    anchor = anchor[at]
-    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]
-    first = np.flatnonzero(new)
-    return at[first], np.diff(np.r_[first, len(at)]), anchor[first]
+    inside = within_rows(row_first, window, n)
+    new = inside.copy()
+    new[1:] &= ~inside[:-1] | (anchor[1:] != anchor[:-1])
+    edges = np.flatnonzero(new | ~inside)
+    run = np.flatnonzero(new[edges])
+    first = edges[run]
+    return first, np.r_[edges, n][run + 1] - first, anchor[first]
 
 
 def row_key(docs: DataFrame) -> DataFrame:

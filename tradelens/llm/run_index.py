@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tradelens.llm.flat import mix64, prefix_sums, span_hash
+from tradelens.llm.flat import mix64, prefix_sums, sums_windows
 
 
 def suffix_order(text: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -24,7 +24,8 @@ def suffix_order(text: np.ndarray, first: np.ndarray) -> np.ndarray:
     Separators sort before all bytes, by the strings' order, so suffixes are
     compared within their strings.  The first key packs as many letters as 63
     bits hold, the later ones the ranks of two or three places each, so that few
-    sorts reach the longest string; equal rests keep the order of their strings.
+    sorts reach the longest string, and only suffixes that are still equal to
+    others are sorted again; equal rests keep the order of their strings.
     """
     size, k = np.diff(first), len(first) - 1
     n = len(text) + k
@@ -32,24 +33,36 @@ def suffix_order(text: np.ndarray, first: np.ndarray) -> np.ndarray:
     used[text] = True
     rank = np.zeros(n, np.int64)  # 0: a separator
     rank[np.arange(len(text)) + np.repeat(np.arange(k), size)] = np.cumsum(used)[text]
-    rest = np.repeat(first[1:] + np.arange(k), size + 1) - np.arange(n)  # letters before the string's end
-    longest, width, most = int(size.max(initial=0)) + 1, 1, int(used.sum())
-    while True:
-        bits = max(most.bit_length(), 1)
+    rest = np.repeat((first[1:] + np.arange(k)).astype(np.int32), size + 1)
+    rest -= np.arange(n, dtype=np.int32)  # letters before the string's end
+    longest, bits = int(size.max(initial=0)) + 1, max(int(used.sum()).bit_length(), 1)
+    parts = min(63 // bits, longest)
+    key = rank.copy()
+    for at in range(1, parts):
+        key <<= bits
+        key[: n - at] |= np.where(rest[: n - at] >= at, rank[at:], 0)
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key, width, bits = key[order], parts, max((n - 1).bit_length(), 1)
+    places, who = np.arange(n, dtype=np.int32), order
+    while width < longest:
+        new = np.r_[True, key[1:] != key[:-1]]
+        rank[who] = places[np.flatnonzero(new)[np.cumsum(new) - 1]]  # the first place of equal suffixes
+        # Suffixes that are alone, or end within the letters compared, have found their place.
+        more = np.flatnonzero(~(new & np.r_[new[1:], True]))
+        more = more[rest[who[more]] >= width]
+        if not len(more):
+            break
+        places, who = places[more], who[more]
         parts = min(63 // bits, -(-longest // width))
-        key = rank.copy()
+        key, left = rank[who], rest[who]
         for i in range(1, parts):
-            key <<= bits
             at = i * width
-            key[: n - at] |= np.where(rest[: n - at] >= at, rank[at:], 0)
+            key = (key << bits) | np.where(left >= at, rank[np.minimum(who + at, n - 1)], 0)
+        by = np.argsort(key, kind="stable")
+        key, who = key[by], who[by]
+        order[places] = who
         width *= parts
-        if width >= longest:
-            return np.argsort(key, kind="stable")
-        order = np.argsort(key)
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[False, sorted_key[1:] != sorted_key[:-1]])
-        most = int(rank[order[-1]])
+    return order
 
 
 class RunLengthIndex:
@@ -59,39 +72,40 @@ class RunLengthIndex:
         self.cap, self.count = cap, k
         at = np.arange(len(text)) + np.repeat(np.arange(k), size)
         n = len(text) + k
-        self.symbols = np.empty(n, np.int64)  # separators 0 to k - 1, then bytes
-        self.symbols[at] = text.astype(np.int64) + k
+        self.symbols = np.empty(n, np.int32)  # separators 0 to k - 1, then bytes
+        self.symbols[at] = text.astype(np.int32) + k
         self.symbols[first[1:] + np.arange(k)] = np.arange(k)
         order = suffix_order(text, first)
-        letter = np.maximum(self.symbols[order - 1] - k, -1)  # before each suffix; -1: a separator
+        letter = np.maximum(self.symbols[order - 1] - k, -1).astype(np.int16)  # before each suffix; -1: a separator
         new = np.r_[True, letter[1:] != letter[:-1]]
-        self.start = np.flatnonzero(new)
-        stop = np.r_[self.start[1:], n]
+        self.start = np.flatnonzero(new).astype(np.int32)
+        self.run_of = (np.cumsum(new) - 1).astype(np.int32)  # the run of each row
+        stop = np.r_[self.start[1:], np.int32(n)]
         self.letter = letter[self.start]
         length = stop - self.start
         by = np.argsort(self.letter, kind="stable")
         before = np.cumsum(length[by]) - length[by]
-        group = np.searchsorted(self.letter[by], self.letter[by])
-        self.before = np.empty(len(by), np.int64)
-        self.before[by] = before - before[group]
-        self.smaller = np.r_[0, np.cumsum(np.bincount(np.maximum(self.symbols - k, -1) + 1, minlength=257))]  # letter + 1
+        runs_of = np.bincount(self.letter + 1, minlength=257)  # by letter + 1
+        group = np.repeat(np.cumsum(runs_of) - runs_of, runs_of)
+        counted = np.empty(len(by), np.int64)
+        counted[by] = before - before[group]
+        smaller = np.r_[0, np.cumsum(np.bincount(letter + 1, minlength=257))]
+        del letter, at
+        self.shift = smaller[self.letter + 1] + counted - self.start  # LF mapping: row + shift of its run
         self.first_place, self.last_place = order[self.start], order[stop - 1]
         self.last_row = stop - 1
-        self.keys = np.sort((self.letter + 1) * len(self.letter) + np.arange(len(self.letter)))
+        self.keys = (self.letter[by].astype(np.int64) + 1) * len(by) + by
         # Classes: rows that agree in their first `cap` bytes.
-        place_owner = np.repeat(owner, size + 1)
         h = np.zeros(n, np.uint64)
         if n > cap:
-            sums = prefix_sums(mix64(self.symbols.astype(np.uint64) + np.uint64(7)))
-            h[: n - cap] = span_hash(sums, np.arange(n - cap), np.arange(cap, n))
+            h[: n - cap] = sums_windows(prefix_sums(mix64(self.symbols.astype(np.uint64) + np.uint64(7))), cap)[: n - cap]
             h[n - cap :] = np.arange(cap, dtype=np.uint64)
         h = h[order]
-        self.class_start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        self.class_owner = np.minimum.reduceat(place_owner[order], self.class_start)
-
-    def step(self, row: np.ndarray, run: np.ndarray) -> np.ndarray:
-        """LF mapping of rows within runs."""
-        return self.smaller[self.letter[run] + 1] + self.before[run] + row - self.start[run]
+        new = np.r_[True, h[1:] != h[:-1]]
+        self.class_of = (np.cumsum(new) - 1).astype(np.int32)  # the class of each row
+        del h
+        place_owner = np.repeat(owner, size + 1)[order]
+        self.class_owner = np.minimum.reduceat(place_owner, np.flatnonzero(new))
 
     def shared(self, patterns: np.ndarray, who: np.ndarray, at: int, ends: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Bytes (up to cap) that patterns[who] from column ``at`` share with the text at ``place``."""
@@ -113,44 +127,43 @@ class RunLengthIndex:
         first ``ends`` columns count.  Owners are -1 where the match is shorter.
         """
         m, width = patterns.shape
-        patterns = patterns.astype(np.int64)
-        lengths, owners = np.zeros((m, width), np.int64), np.full((m, width), -1, np.int64)
+        columns = np.ascontiguousarray(patterns.T, np.int16)
+        patterns = patterns.astype(np.int32)
+        lengths, owners = np.zeros((width, m), np.int64), np.full((width, m), -1, np.int64)
         row, place, have = np.zeros(m, np.int64), np.full(m, self.first_place[0]), np.zeros(m, np.int64)
         total = len(self.letter)
         for at in range(width - 1, -1, -1):
             who = np.flatnonzero(ends > at)
-            letter = patterns[who, at]
-            run = np.searchsorted(self.start, row[who], side="right") - 1
+            letter = columns[at, who]
+            r, p, shares = row[who], place[who], have[who]
+            run = self.run_of[r]
             fits = self.letter[run] == letter
             miss = np.flatnonzero(~fits)
             if len(miss):
                 w = who[miss]
-                key = (letter[miss] + 1) * total + run[miss]
+                wanted = letter[miss].astype(np.int64) + 1
+                key = wanted * total + run[miss]
                 spot = np.searchsorted(self.keys, key)
                 below = self.keys[np.minimum(spot, total - 1)]
                 above = self.keys[np.maximum(spot - 1, 0)]
-                has_below = (spot < total) & (below // total == letter[miss] + 1)
-                has_above = (spot > 0) & (above // total == letter[miss] + 1)
+                has_below = (spot < total) & (below // total == wanted)
+                has_above = (spot > 0) & (above // total == wanted)
                 down, up = np.where(has_below, below % total, 0), np.where(has_above, above % total, 0)
                 with_down = np.where(has_below, self.shared(patterns, w, at + 1, ends, self.first_place[down]), -1)
                 with_up = np.where(has_above, self.shared(patterns, w, at + 1, ends, self.last_place[up]), -1)
                 choose = with_down >= with_up
                 best = np.maximum(with_down, with_up)
                 found = best >= 0
-                new_run = np.where(choose, down, up)
-                run[miss] = np.where(found, new_run, run[miss])
-                row[w] = np.where(found, np.where(choose, self.start[down], self.last_row[up]), row[w])
-                place[w] = np.where(found, np.where(choose, self.first_place[down], self.last_place[up]), place[w])
-                have[w] = np.where(found, best, -1)  # -1: the letter does not occur
+                run[miss] = np.where(found, np.where(choose, down, up), run[miss])
+                r[miss] = np.where(found, np.where(choose, self.start[down], self.last_row[up]), r[miss])
+                p[miss] = np.where(found, np.where(choose, self.first_place[down], self.last_place[up]), p[miss])
+                shares[miss] = np.where(found, best, -1)  # -1: the letter does not occur
                 fits[miss] = found
-            ok = np.flatnonzero(fits)
-            w = who[ok]
-            row[w] = self.step(row[w], run[ok])
-            place[w] -= 1
-            have[w] = np.minimum(have[w] + 1, self.cap)
-            gone = who[~fits]
-            have[gone] = 0
-            lengths[who, at] = have[who]
-            full = who[have[who] >= self.cap]
-            owners[full, at] = self.class_owner[np.searchsorted(self.class_start, row[full], side="right") - 1]
-        return lengths, owners
+            r += np.where(fits, self.shift[run], 0)
+            p -= fits
+            shares = np.minimum(shares + 1, self.cap)
+            row[who], place[who], have[who] = r, p, shares
+            lengths[at, who] = shares
+            full = np.flatnonzero(shares >= self.cap)
+            owners[at, who[full]] = self.class_owner[self.class_of[r[full]]]
+        return lengths.T, owners.T

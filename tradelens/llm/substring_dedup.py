@@ -8,10 +8,12 @@ with the smallest hash, at the same offset wherever the string occurs.
    anchor's hash, packed by batch.  A shard settles equal runs (all but the
    smallest id are marked whole).
 2. Where one anchor has several different runs, the run of the smallest id of
-   each is cut from its text, and shards of these pieces build a run-length
+   each is cut from its text (once: further copies of it inside the text are
+   noted by their places), and shards of these pieces build a run-length
    index (``run_index``), stream the pieces' matching statistics through it
    and mark the windows of full matches whose class starts in a smaller id.
-3. Marks return to the documents, which drop the covered bytes.
+3. Marks return to the documents, which give those of a piece to its copies
+   and drop the covered bytes.
 
 Null text counts as empty; a null id is larger than all others; rows with equal
 ids are not earlier than each other; empty tables give empty results; extra
@@ -24,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from tradelens.llm.flat import (
+    PLACE_BITS,
     beside_rows,
     byte_values,
     doc_slices,
@@ -36,17 +39,21 @@ from tradelens.llm.flat import (
     prefix_sums,
     row_key,
     span_hash,
+    sums_windows,
 )
 from tradelens.llm.run_index import RunLengthIndex
 from tradelens.llm.stored import stored
 
 WIDTH, GRAM = 50, 24
 #: Text bytes per packed batch and per shard of anchors, piece bytes per index; shards at least.
-BATCH_BYTES, SHARD_BYTES, INDEX_BYTES, LEAST_SHARDS = 4 << 20, 16 << 20, 1 << 20, 48
+BATCH_BYTES, SHARD_BYTES, INDEX_BYTES, LEAST_SHARDS = 4 << 20, 16 << 20, 1 << 19, 48
+#: Indexes of one task (about a second's work).
+TASK_INDEXES = 4
 #: Bytes of text hashed at once (a longer text is one slice): small slices stay in the cache and bound a worker's arrays.
 SLICE = 1 << 19
 _LAST = np.iinfo(np.int64).max
-_ENTRY = np.dtype([("h", "<u8"), ("r", "<u8"), ("doc", "<u4"), ("lo", "<u4"), ("n", "u1")])
+#: Bits for a run's number of windows (at most WIDTH - GRAM + 1) beside two places.
+_COUNT_BITS = 7
 
 
 def _entries(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
@@ -61,29 +68,30 @@ def _entries(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Reco
             part, off = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             values = byte_values(part)
             sums = prefix_sums(values)
-            at = np.arange(max(len(part) - GRAM + 1, 0))
-            grams = span_hash(sums, at, at + GRAM)
+            grams = sums_windows(sums, GRAM)
             begin, n, anchor = minimizer_runs(grams, off, GRAM, WIDTH)
-            e = np.empty(len(begin), _ENTRY)
             row = np.searchsorted(off, begin, side="right") - 1
-            e["h"], e["r"] = grams[anchor], span_hash(sums, begin, begin + n + WIDTH - 1)
-            e["doc"], e["lo"], e["n"] = row + lo, begin - off[row], n
-            found.append(e)
+            run = span_hash(sums, begin, begin + n + WIDTH - 1)
+            found.append((grams[anchor], run, (row + lo).astype("<u4"), (begin - off[row]).astype("<u4"), n.astype("u1")))
         if not found:
             continue
-        e = np.concatenate(found)
-        shard = (e["h"] >> np.uint64(20)) % np.uint64(shards)
+        cols = [np.concatenate(c) for c in zip(*found, strict=True)]
+        shard = ((cols[0] >> np.uint64(20)) % np.uint64(shards)).astype(np.uint16 if shards < 1 << 16 else np.uint32)
         order = np.argsort(shard, kind="stable")
-        e, shard = e[order], shard[order]
-        edges = np.searchsorted(shard, np.arange(shards + 1))
+        h, r, doc, first, n = (c[order] for c in cols)
+        shard = shard[order]
+        edges = np.r_[0, np.cumsum(np.bincount(shard, minlength=shards))]
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (shard[1:] != shard[:-1])][: len(doc)]
+        used = doc[new]  # the documents of each shard, ascending as the entries are
+        base = np.r_[0, np.cumsum(new)][edges]
+        local = np.cumsum(new) - 1 - np.repeat(base[:-1], np.diff(edges))
         rows = []
         for s in np.flatnonzero(np.diff(edges)).tolist():
-            own = e[edges[s] : edges[s + 1]]
-            used, local = np.unique(own["doc"], return_inverse=True)
-            kind = np.uint16 if len(used) < 1 << 16 else np.uint32
-            doc_rows = ids[used].astype("<i8").tobytes() + hashes[used].astype("<i8").tobytes()
-            cols = [own["h"].tobytes(), own["r"].tobytes(), own["lo"].tobytes(), own["n"].tobytes(), local.astype(kind).tobytes()]
-            rows.append((s, doc_rows, b"".join(cols), len(own)))
+            own, docs = slice(edges[s], edges[s + 1]), used[base[s] : base[s + 1]]
+            kind = np.uint16 if len(docs) < 1 << 16 else np.uint32
+            doc_rows = ids[docs].astype("<i8").tobytes() + hashes[docs].astype("<i8").tobytes()
+            entries = [c[own].tobytes() for c in (h, r, first, n)] + [local[own].astype(kind).tobytes()]
+            rows.append((s, doc_rows, b"".join(entries), own.stop - own.start))
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int32()), strict=True)],
@@ -110,24 +118,36 @@ def _unpacked(t: pa.Table) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in cols)
 
 
-def _doc_rows(ids: np.ndarray, hashes: np.ndarray, doc: np.ndarray, mark: np.ndarray, lo: np.ndarray, n: np.ndarray, g: np.ndarray) -> pa.Table:
-    """One row per document: marks and wanted pieces as lists of (lo, n) packed, with the pieces' groups."""
+def _doc_rows(
+    ids: np.ndarray, hashes: np.ndarray, doc: np.ndarray, mark: np.ndarray, lo: np.ndarray, n: np.ndarray, g: np.ndarray, source: np.ndarray
+) -> pa.Table:
+    """One row per document: marks and wanted pieces as lists of (lo, n) packed, with the pieces' groups.
+
+    Runs with a ``source`` (or else -1) are copies of the document's run there, packed as (lo, source, n).
+    """
     packed = (lo.astype(np.int64) << 8) | n
     order = np.lexsort((packed, doc))
-    doc, mark, packed, g = doc[order], mark[order], packed[order], g[order]
+    doc, mark, packed, g, source = doc[order], mark[order], packed[order], g[order], source[order]
+    copy = source >= 0
+    copies = (packed >> 8 << PLACE_BITS + _COUNT_BITS) | (source << _COUNT_BITS) | (packed & 255)
     who = np.unique(doc)
     lists = []
-    for keep, values in ((mark, packed), (~mark, packed), (~mark, g)):
+    for keep, values in ((mark, packed), (~mark & ~copy, packed), (~mark & ~copy, g), (copy, copies)):
         cut = np.searchsorted(doc[keep], np.r_[who, _LAST])
         lists.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(values[keep], pa.int64())))
     doc_ids = pa.array(ids[who], pa.int64(), mask=ids[who] == _LAST)
-    return pa.Table.from_arrays([doc_ids, pa.array(hashes[who], pa.int64()), *lists], ["doc_id", "text_hash", "marks", "wanted", "groups"])
+    return pa.Table.from_arrays([doc_ids, pa.array(hashes[who], pa.int64()), *lists], ["doc_id", "text_hash", "marks", "wanted", "groups", "copies"])
 
 
 def _settle(t: pa.Table) -> pa.Table:
     h, r, lo, n, doc, ids, hashes = _unpacked(t)
-    order = np.lexsort((r, h))
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    order = order[np.r_[False, same] | np.r_[same, False]]  # anchors of one entry say nothing
+    order = order[np.lexsort((r[order], h[order]))]
     h, r, lo, n, doc = h[order], r[order], lo[order], n[order], doc[order]
+    if not len(h):
+        return _doc_rows(ids, hashes, doc, np.zeros(0, bool), lo, n, np.zeros(0, np.int64), doc)
     owner = ids[doc]
     new_h = np.r_[True, h[1:] != h[:-1]]
     new_r = new_h | np.r_[True, r[1:] != r[:-1]]
@@ -138,7 +158,14 @@ def _settle(t: pa.Table) -> pa.Table:
     mark = owner > low
     keep = mark | (runs_of_anchor > 1)
     g = (h >> np.uint64(1)).view(np.int64)
-    return _doc_rows(ids, hashes, doc[keep], mark[keep], lo[keep], n[keep], g[keep])
+    source = np.full(len(h), -1)
+    wanted = np.flatnonzero(keep & ~mark)
+    if len(wanted):
+        at = wanted[np.lexsort((lo[wanted], doc[wanted], run[wanted]))]
+        again = np.r_[False, (run[at[1:]] == run[at[:-1]]) & (doc[at[1:]] == doc[at[:-1]])]
+        first = np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))
+        source[at[again]] = lo[at[first[again]]]
+    return _doc_rows(ids, hashes, doc[keep], mark[keep], lo[keep], n[keep], g[keep], source[keep])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
@@ -182,19 +209,36 @@ def _match(t: pa.Table) -> pa.Table:
     i, j = i[late], j[late]
     lo = t["lo"].to_numpy()[i] + j
     ones = np.ones(len(i), np.int64)
-    return _doc_rows(ids, hashes, i, np.ones(len(i), bool), lo, ones, ones).select(["doc_id", "text_hash", "marks"])
+    return _doc_rows(ids, hashes, i, np.ones(len(i), bool), lo, ones, ones, -ones).select(["doc_id", "text_hash", "marks"])
+
+
+def _gone(size: int, marks: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Which of a text's bytes its marked windows cover, those of copied runs included."""
+    edge = np.zeros(size + 1, np.int32)
+    if len(copies):
+        np.add.at(edge, marks >> 8, 1)
+        np.add.at(edge, (marks >> 8) + (marks & 255), -1)
+        window = np.cumsum(edge) > 0
+        n = copies & (1 << _COUNT_BITS) - 1
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        source = np.repeat(copies >> _COUNT_BITS & (1 << PLACE_BITS) - 1, n) + step
+        window[(np.repeat(copies >> PLACE_BITS + _COUNT_BITS, n) + step)[window[source]]] = True
+        lo = np.flatnonzero(window)
+        edge[:] = 0
+        edge[lo] = 1
+        edge[lo + WIDTH] -= 1
+    else:
+        np.add.at(edge, marks >> 8, 1)
+        np.add.at(edge, (marks >> 8) + (marks & 255) + WIDTH - 1, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def _cut(batches: Iterator[pa.RecordBatch], whole_chars: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for text, marks in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("marks"), strict=True):
+        for text, marks, copies in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("marks"), b.column("copies"), strict=True):
             if marks.is_valid and len(marks.values):
-                m = marks.values.to_numpy()
-                edge = np.zeros(len(text) + 1, np.int32)
-                np.add.at(edge, m >> 8, 1)
-                np.add.at(edge, (m >> 8) + (m & 255) + WIDTH - 1, -1)
-                gone = np.cumsum(edge[:-1]) > 0
+                gone = _gone(len(text), marks.values.to_numpy(), copies.values.to_numpy())
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 if whole_chars:
                     kept = kept.decode("utf-8", "ignore").encode()
@@ -209,12 +253,22 @@ def _cut(batches: Iterator[pa.RecordBatch], whole_chars: bool) -> Iterator[pa.Re
         )
 
 
+def _by_shard(df: DataFrame, tasks: int) -> GroupedData:
+    """Groups of one shard each, dealt to a given number of tasks.
+
+    AQE would merge tasks by their few shuffled bytes until each core has one or two
+    of them; the time goes into the work on these bytes, and one late task holds up all.
+    """
+    return df.repartition(tasks, "shard").groupBy("shard")
+
+
 def repeated_marks(rows: DataFrame) -> DataFrame:
-    """doc_id, text_hash, marks: first window << 8 | number of windows, of the rows with repeated strings."""
+    """doc_id, text_hash, marks (first window << 8 | number of windows) and copies (see ``_doc_rows``) of the rows with repeated strings."""
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(LEAST_SHARDS, -(-n_bytes // SHARD_BYTES))
     packed = rows.mapInArrow(lambda x: _entries(x, shards), "shard int, docs binary, entries binary, k int")
-    settled = packed.groupBy("shard").applyInArrow(_settle, "doc_id long, text_hash long, marks array<long>, wanted array<long>, groups array<long>")
+    lists = "marks array<long>, wanted array<long>, groups array<long>, copies array<long>"
+    settled = _by_shard(packed, shards).applyInArrow(_settle, f"doc_id long, text_hash long, {lists}")
     settled = stored(settled, "settled")
     wanted = settled.where(F.size("wanted") > 0).groupBy("doc_id", "text_hash").agg(
         F.flatten(F.collect_list("wanted")).alias("wanted"), F.flatten(F.collect_list("groups")).alias("groups")
@@ -225,9 +279,10 @@ def repeated_marks(rows: DataFrame) -> DataFrame:
     indexes = max(LEAST_SHARDS, -(-n_pieces * (WIDTH + GRAM) // INDEX_BYTES))
     pieces = beside_rows(rows, wanted, size).where("wanted IS NOT NULL")
     pieces = pieces.mapInArrow(lambda x: _pieces(x, indexes), "shard int, doc_id long, text_hash long, lo long, piece binary")
-    matched = pieces.groupBy("shard").applyInArrow(_match, "doc_id long, text_hash long, marks array<long>")
-    marks = settled.where(F.size("marks") > 0).select("doc_id", "text_hash", "marks").unionByName(matched)
-    return marks.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+    matched = _by_shard(pieces, max(LEAST_SHARDS, indexes // TASK_INDEXES)).applyInArrow(_match, "doc_id long, text_hash long, marks array<long>")
+    matched = matched.withColumn("copies", F.expr("cast(array() as array<long>)"))
+    marks = settled.where(F.size("marks") + F.size("copies") > 0).select("doc_id", "text_hash", "marks", "copies").unionByName(matched)
+    return marks.groupBy("doc_id", "text_hash").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("marks", "copies")])
 
 
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None, whole_chars: bool = False) -> DataFrame:
@@ -236,8 +291,8 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, whole_chars:
     With ``whole_chars`` the bytes left of a character cut in two go, too.
     """
     rows = row_key(docs)
-    marks = stored(repeated_marks(rows), "marks")
-    size = marks.agg(F.sum(F.size("marks")) * 8 + F.count(F.lit(1)) * 64).first()[0] or 0
+    marks = stored(repeated_marks(rows).where(F.size("marks") > 0), "marks")
+    size = marks.agg(F.sum(F.size("marks") + F.size("copies")) * 8 + F.count(F.lit(1)) * 64).first()[0] or 0
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     kept = F.struct(F.lit(None).cast("int").alias("_none"), *[F.col(f"`{c}`") for c in keep or []])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"), kept.alias("_doc"))
