@@ -14,7 +14,7 @@ from __future__ import annotations
 import logging
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -26,7 +26,7 @@ from tradelens.operators.checks import GOLD_TESTS, SILVER_TESTS, assert_suite, r
 from tradelens.operators.quality import DataQualityError, gate
 from tradelens.plans.models import LINEAGE, MODEL_ORDER, SILVER, SUPPORT, build_model, inputs_of, qualified, register_catalog
 from tradelens.plans.reconcile import reconcile_revenue
-from tradelens.session import run_concurrently, scratch_path
+from tradelens.session import run_concurrently, scratch_path, short_shuffles
 from tradelens.sinks.releases import Release
 from tradelens.sinks.reload import delete_path, stage_all
 from tradelens.sources.landing import Landing
@@ -77,12 +77,15 @@ def _levels(names: list[str]) -> list[list[str]]:
     return levels
 
 
-def _stage(spark: SparkSession, name: str, df: DataFrame, paths: list[str]) -> DataFrame:
+def _stage(spark: SparkSession, name: str, df: DataFrame, paths: list[str], discard: str | None = None) -> DataFrame:
+    """The dataset as written text; then the ``discard`` folder it was read from goes."""
     if not df.columns:
         return df
     path = scratch_path(spark, f"stage-{name}")
     paths.append(path)
     with_rejects(df, CONTRACTS[name]).write.parquet(path)
+    if discard:
+        delete_path(spark, discard)
     return spark.read.parquet(path)
 
 
@@ -136,7 +139,9 @@ def publish_layer(release: Release, names: Iterable[str], env: dict[str, DataFra
             env[name] = release.read(qualified(name))
 
 
-def _load_raw(release: Release, extracted: dict[str, DataFrame], result: RefreshResult) -> dict[str, DataFrame]:
+def _load_raw(
+    release: Release, extracted: dict[str, DataFrame], result: RefreshResult, discard: Mapping[str, str]
+) -> dict[str, DataFrame]:
     """Stage, validate and reload the extracted datasets; the new raw tables."""
     spark = release.spark
     # CSV is read once into columnar text, so the validation and the load below
@@ -144,7 +149,7 @@ def _load_raw(release: Release, extracted: dict[str, DataFrame], result: Refresh
     staged: list[str] = []
     try:
         extracted = run_concurrently(
-            {name: (lambda n=name, df=df: _stage(spark, n, df, staged))
+            {name: (lambda n=name, df=df: _stage(spark, n, df, staged, discard.get(n)))
              for name, df in extracted.items()}
         )
 
@@ -176,26 +181,29 @@ def run_refresh(
     datasets: Iterable[str] | None = None,
     trim_string_columns: bool = False,
     catalog: bool = False,
+    discard_source: bool = False,
 ) -> RefreshResult:
     """Refresh everything from the CSV landing folder into the warehouse folder, as one release.
 
     ``catalog`` also points the catalog views ``schema.table`` at the new release.
+    ``discard_source`` says that the landed files are the caller's scratch: each
+    dataset's is deleted once its text is staged, whatever becomes of the run.
     """
     names = [contract_for(n).name for n in (CONTRACTS if datasets is None else datasets)]
     result = RefreshResult()
-    with Release(spark, warehouse) as release:
+    with short_shuffles(spark), Release(spark, warehouse) as release:
         # Datasets that are not reloaded come from the warehouse; one that is missing
         # there ends the run before anything is written.
         env = {f"raw.{n}": release.read(c.destination_table) for n, c in CONTRACTS.items() if n not in names}
 
         logger.info("Step 1/7 — checking source files")
         landing = Landing(spark, source_dir, trim=trim_string_columns)
-        landing.contracts(names)
+        landed = {c.name: landing.path(c) for c in landing.contracts(names)}
 
         logger.info("Step 2/7 — extracting")
         extracted = landing.read_all(names, SOURCE_FILE)
 
-        env |= _load_raw(release, extracted, result)
+        env |= _load_raw(release, extracted, result, landed if discard_source else {})
 
         logger.info("Step 5/7 — silver models and tests")
         silver = [m for m in MODEL_ORDER if LINEAGE[m][0] == SILVER]
